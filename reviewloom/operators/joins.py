@@ -1,0 +1,17 @@
+"""Join help shared by the operators that look words up in a table of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark `df` for broadcast only when a count that stops at the bound shows that it is small.
+
+    Larger tables are left to a shuffled join, where adaptive execution splits skewed keys. Meant for tables of
+    short rows (a word and a value), so the row bound is also a size bound.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
