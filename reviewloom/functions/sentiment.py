@@ -11,12 +11,17 @@ from reviewloom import vocab
 from reviewloom.functions.lookup import let, lookup
 
 
-def bare_words(light: Column) -> Column:
-    """Words without surrounding punctuation; words that would shrink to two characters (emoticons) stay whole."""
+def bare_words(text: Column) -> Column:
+    """Lower-case words without surrounding punctuation; words that would shrink to two characters (emoticons)
+    stay whole. Only words with punctuation at an end are trimmed, since trimming is the costly part.
+    """
+    marks = list(vocab.PUNCTUATION)
+
     def bare(word: Column) -> Column:
+        edged = F.substring(word, 1, 1).isin(marks) | F.substring(word, -1, 1).isin(marks)
         trimmed = F.btrim(word, F.lit(vocab.PUNCTUATION))
-        return F.when(F.length(trimmed) <= 2, word).otherwise(trimmed)
-    return F.transform(F.split(F.coalesce(light, F.lit("")), " "), bare)
+        return F.when(edged & (F.length(trimmed) > 2), trimmed).otherwise(word)
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), bare)
 
 
 def compound_label(compound: Column) -> Column:
@@ -45,36 +50,40 @@ def is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def context_valence_sum(words: Column, lower_words: Column, but_at: Column, valences: Mapping[str, float]) -> Column:
+def context_valence_sum(words: Column, cased_words: Column, but_at: Column, valences: Mapping[str, float]) -> Column:
     """Sum of word valences after the context rules: capitals, intensifiers and negation among the three words
     before, and the weight shift at the first "but".
+
+    `words` come from `bare_words`, `cased_words` are the same words as written.
     """
-    known, negations = list(valences), list(vocab.NEGATIONS)
-    mixed_case = F.exists(words, lambda w: ~is_upper(w))
+    known, negations, boosters = list(valences), list(vocab.NEGATIONS), list(vocab.BOOSTERS)
+
+    def shouted(position: Column) -> Column:
+        # Capitals only count when some other word is not in capitals.
+        return is_upper(F.get(cased_words, position)) & F.exists(cased_words, lambda w: ~is_upper(w))
 
     def look_back(position: Column):
         def step(value: Column, distance: Column) -> Column:
-            before, before_cased = F.get(lower_words, position - distance), F.get(words, position - distance)
-            caps = F.when(is_upper(before_cased) & mixed_case, F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0))
+            before = F.get(words, position - distance)
+            strength = lookup(before, vocab.BOOSTERS, "double") + F.when(
+                shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0))
             damping = F.element_at(F.lit(vocab.BOOST_DAMPING), distance)
-            boost = lookup(before, vocab.BOOSTERS, "double") * F.signum(value) + caps * F.signum(value)
+            boosted = F.when(before.isin(boosters), value + strength * F.signum(value) * damping).otherwise(value)
             negated = before.isin(negations) | before.contains("n't")
-            shifted = value + F.coalesce(boost, F.lit(0.0)) * damping
-            scaled = shifted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
+            scaled = boosted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
             return F.when(before.isNull() | before.isin(known), value).otherwise(scaled)
         return step
 
     def contribution(position: Column) -> Column:
-        base = lookup(F.get(lower_words, position), valences, "double")
-        caps = F.when(is_upper(F.get(words, position)) & mixed_case, F.signum(base) * vocab.CAPS_BOOST)
-        start = base + F.coalesce(caps, F.lit(0.0))
+        base = lookup(F.get(words, position), valences, "double")
+        start = let(base, lambda v: v + F.when(shouted(position), F.signum(v) * vocab.CAPS_BOOST).otherwise(F.lit(0.0)))
         value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, look_back(position))
         weight = (F.when((but_at > 0) & (position + 1 < but_at), F.lit(vocab.BEFORE_BUT))
                   .when((but_at > 0) & (position + 1 > but_at), F.lit(vocab.AFTER_BUT))
                   .otherwise(F.lit(1.0)))
         return value * weight
 
-    hits = F.filter(F.sequence(F.lit(0), F.size(lower_words) - 1), lambda i: F.get(lower_words, i).isin(known))
+    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(known))
     return tidy_sum(F.aggregate(hits, F.lit(0.0), lambda total, i: total + contribution(i)))
 
 
@@ -92,11 +101,11 @@ def punctuation_emphasis(light: Column) -> Column:
 def lexicon_compound(light: Column, valences: Mapping[str, float], context: bool = True) -> Column:
     """Compound score of a cleaned text in [-1, 1]; 0.0 for blank and null."""
     def plain(text: Column) -> Column:
-        return valence_sum(F.transform(bare_words(text), F.lower), valences)
+        return valence_sum(bare_words(text), valences)
 
     def in_context(text: Column) -> Column:
-        total = let(bare_words(text), lambda words: let(F.transform(words, F.lower), lambda lower: let(
-            F.array_position(lower, "but"), lambda but_at: context_valence_sum(words, lower, but_at, valences))))
+        total = let(bare_words(text), lambda words: let(F.split(text, " "), lambda cased: let(
+            F.array_position(words, "but"), lambda but_at: context_valence_sum(words, cased, but_at, valences))))
         return let(total, lambda t: t + F.signum(t) * punctuation_emphasis(text))
     total = let(F.coalesce(light, F.lit("")), in_context if context else plain)
     return let(total, normalize_compound)
