@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Mapping
+import zlib
+from collections.abc import Callable, Iterable, Mapping
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # A table this small travels with the plan; a larger one belongs in a DataFrame and a join.
 MAX_LITERAL_ENTRIES = 20_000
+MAX_PARTS = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,27 +23,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def literal_map(mapping: Mapping[str, object], value_type: str) -> Column:
-    """A map constant. Spark folds the expression to one literal when it optimises the plan."""
-    text = "\n".join(f"{k}\t{v}" for k, v in mapping.items())
-    return F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t")).cast(f"map<string,{value_type}>")
+def _quoted(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+@lru_cache(maxsize=64)
+def _literals(words: tuple[str, ...], application: str) -> tuple[Column, ...]:
+    # Making a literal is a round trip to the JVM, so each list is made once per application.
+    return tuple(F.lit(w) for w in words)
+
+
+def one_of(word: Column, words: Iterable[str]) -> Column:
+    """Whether `word` is one of `words`: a hash probe. Null for null."""
+    return word.isin(*_literals(tuple(words), SparkSession.active().sparkContext.applicationId))
 
 
 def lookup(word: Column, mapping: Mapping[str, object], value_type: str, default: Column | None = None) -> Column:
     """``mapping[word]``, or `default` (null) when absent.
 
-    Membership is a hash probe (``IN`` over literals), so a word that is not in the table, the common case,
-    costs O(1). Spark scans map keys one by one, hence the split by the first two letters.
+    Most words of a text are in none of the tables, so a hash probe of the keys comes first. Spark scans the
+    keys of a map one by one, hence the table is dealt into parts of about one entry by checksum. The parts are
+    one constant of the plan, written as SQL because that takes a single call to the JVM.
     """
     if len(mapping) > MAX_LITERAL_ENTRIES:
         raise ValueError(f"{len(mapping)} entries exceed {MAX_LITERAL_ENTRIES}: use the join form of this operator")
-    if not mapping:
-        return F.lit(None).cast(value_type) if default is None else default
-    parts: dict[str, dict[str, object]] = defaultdict(dict)
+    count = max(1, min(len(mapping), MAX_PARTS))
+    parts: list[list[str]] = [[] for _ in range(count)]
     for key, value in mapping.items():
-        parts[key[:2]][key] = value
-    nested = F.map_from_arrays(F.array(*[F.lit(p) for p in parts]),
-                               F.array(*[literal_map(m, value_type) for m in parts.values()]))
-    found = F.element_at(F.element_at(nested, F.substring(word, 1, 2)), word)
-    hit = F.when(word.isin(list(mapping)), found)
-    return hit if default is None else hit.otherwise(default)
+        parts[zlib.crc32(key.encode()) % count] += [_quoted(key), _quoted(value)]
+    maps = ", ".join(f"CAST(map({', '.join(part)}) AS MAP<STRING, {value_type}>)" for part in parts)
+    part = F.get(F.expr(f"array({maps})"), (F.crc32(word) % count).cast("int"))
+    found = F.when(one_of(word, mapping), F.element_at(part, word))
+    return found if default is None else F.coalesce(found, default)
+
+
+def text_array(values: Iterable[str]) -> Column:
+    """A constant array of strings."""
+    return F.expr(f"CAST(array({', '.join(_quoted(v) for v in values)}) AS ARRAY<STRING>)")

@@ -8,18 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewloom import vocab
-from reviewloom.functions.lookup import let, lookup
+from reviewloom.functions.lookup import let, lookup, one_of
 
 
 def bare_words(text: Column) -> Column:
     """Lower-case words without surrounding punctuation; words that would shrink to two characters (emoticons)
     stay whole. Only words with punctuation at an end are trimmed, since trimming is the costly part.
     """
-    marks = list(vocab.PUNCTUATION)
+    marks = F.lit(vocab.PUNCTUATION)
 
     def bare(word: Column) -> Column:
-        edged = F.substring(word, 1, 1).isin(marks) | F.substring(word, -1, 1).isin(marks)
-        trimmed = F.btrim(word, F.lit(vocab.PUNCTUATION))
+        edged = F.contains(marks, F.substring(word, 1, 1)) | F.contains(marks, F.substring(word, -1, 1))
+        trimmed = F.btrim(word, marks)
         return F.when(edged & (F.length(trimmed) > 2), trimmed).otherwise(word)
     return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), bare)
 
@@ -42,7 +42,7 @@ def tidy_sum(total: Column) -> Column:
 
 def valence_sum(lower_words: Column, valences: Mapping[str, float]) -> Column:
     """Sum of word valences, regardless of context."""
-    hits = F.filter(lower_words, lambda w: w.isin(list(valences)))
+    hits = F.filter(lower_words, lambda w: one_of(w, valences))
     return tidy_sum(F.aggregate(hits, F.lit(0.0), lambda total, w: total + lookup(w, valences, "double")))
 
 
@@ -56,8 +56,6 @@ def context_valence_sum(words: Column, cased_words: Column, but_at: Column, vale
 
     `words` come from `bare_words`, `cased_words` are the same words as written.
     """
-    known, negations, boosters = list(valences), list(vocab.NEGATIONS), list(vocab.BOOSTERS)
-
     def shouted(position: Column) -> Column:
         # Capitals only count when some other word is not in capitals.
         return is_upper(F.get(cased_words, position)) & F.exists(cased_words, lambda w: ~is_upper(w))
@@ -65,13 +63,13 @@ def context_valence_sum(words: Column, cased_words: Column, but_at: Column, vale
     def look_back(position: Column):
         def step(value: Column, distance: Column) -> Column:
             before = F.get(words, position - distance)
-            strength = lookup(before, vocab.BOOSTERS, "double") + F.when(
-                shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0))
-            damping = F.element_at(F.lit(vocab.BOOST_DAMPING), distance)
-            boosted = F.when(before.isin(boosters), value + strength * F.signum(value) * damping).otherwise(value)
-            negated = before.isin(negations) | before.contains("n't")
+            damping = F.element_at(F.expr(f"array({', '.join(f'{d}D' for d in vocab.BOOST_DAMPING)})"), distance)
+            boosted = let(lookup(before, vocab.BOOSTERS, "double"), lambda boost: F.when(
+                boost.isNotNull(), value + F.signum(value) * damping * (boost + F.when(
+                    shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0)))).otherwise(value))
+            negated = one_of(before, vocab.NEGATIONS) | before.contains("n't")
             scaled = boosted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
-            return F.when(before.isNull() | before.isin(known), value).otherwise(scaled)
+            return F.when(before.isNull() | one_of(before, valences), value).otherwise(scaled)
         return step
 
     def contribution(position: Column) -> Column:
@@ -83,7 +81,7 @@ def context_valence_sum(words: Column, cased_words: Column, but_at: Column, vale
                   .otherwise(F.lit(1.0)))
         return value * weight
 
-    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(known))
+    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: one_of(F.get(words, i), valences))
     return tidy_sum(F.aggregate(hits, F.lit(0.0), lambda total, i: total + contribution(i)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom import vocab
-from reviewloom.functions.lookup import lookup
+from reviewloom.functions.lookup import lookup, one_of
 
 # The characters Python calls whitespace; Java's \s is ASCII only.
 SPACE_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
@@ -85,7 +85,8 @@ def content_words(text: Column, stop_words: Iterable[str] | None = None,
     stop = list(vocab.STOP_WORDS if stop_words is None else stop_words)
     table = vocab.LEMMAS if lemmas is None else lemmas
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_LETTER)
-    return F.transform(F.filter(words, lambda w: ~w.isin([*stop, ""])), lambda w: lookup(w, table, "string", default=w))
+    kept = F.filter(words, lambda w: ~one_of(w, [*stop, ""]))
+    return F.transform(kept, lambda w: lookup(w, table, "string", default=w))
 
 
 def deep_clean(text: Column, stop_words: Iterable[str] | None = None, lemmas: Mapping[str, str] | None = None) -> Column:

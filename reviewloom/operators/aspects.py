@@ -31,7 +31,7 @@ def tag_aspects_with_table(df: DataFrame, key: str, lexicon: DataFrame, text: st
 
     A word repeated in a text is joined once, and only hits reach the shuffle on `key`.
     """
-    words = df.select(key, F.explode(F.array_distinct(words_of(F.col(text)))).alias("keyword"))
+    words = df.select(key, F.explode_outer(F.array_distinct(words_of(F.col(text)))).alias("keyword"))
     hits = words.join(broadcast_if_small(lexicon), "keyword")
     ordered = F.sort_array(F.collect_set(F.struct("aspect_ord", "aspect")))
     tags = hits.groupBy(key).agg(F.transform(ordered, lambda a: a["aspect"]).alias("aspects"))
@@ -46,8 +46,12 @@ def lexicon_table(spark, lexicon: Lexicon | None = None) -> DataFrame:
 
 
 def aspect_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """One row per (review, aspect) with the given columns; reviews without an aspect give none."""
-    return df.select(*columns, F.explode("aspects").alias("aspect"))
+    """One row per (review, aspect) with the given columns; reviews without an aspect give none.
+
+    For a plain explode Spark adds a filter on the list's size and pushes it to the scan, where it computes the
+    tags a second time. The outer form has no such filter.
+    """
+    return df.select(*columns, F.explode_outer("aspects").alias("aspect")).where(F.col("aspect").isNotNull())
 
 
 def unmatched(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def deep_clean_with_tables(df: DataFrame, key: str, stop_words: DataFrame, lemma
     `stop_words(word)` and `lemmas(word, lemma)` are tables. Only (key, position, word) is shuffled; the words
     of one text meet again in one row, which is as large as the text was. `key` must be unique.
     """
-    words = df.select(key, F.posexplode(F.split(txt.deep_prepare(F.col(text)), " ")).alias("position", "word"))
+    words = df.select(key, F.posexplode_outer(F.split(txt.deep_prepare(F.col(text)), " ")).alias("position", "word"))
     kept = (words.where(F.col("word") != "")
             .join(broadcast_if_small(stop_words.select("word")), "word", "left_anti")
             .join(broadcast_if_small(lemmas.select("word", "lemma")), "word", "left"))

@@ -144,10 +144,10 @@ def word_count_histogram(df: DataFrame, column: str = "word_count", bins: int =
     Rows are first counted per value. The range and the bins come from that small table, so the texts behind
     `column` are read once. Every bin is returned, with 0 when empty.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    bounds = values.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    values = df.groupBy(F.col(column).alias("v")).agg(F.count(column).alias("n"))
+    bounds = values.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), F.sum("n").alias("rows"))
     widen = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
-    bounds = bounds.where(F.col("lo").isNotNull()).select(
+    bounds = bounds.where(F.col("rows") > 0).select(
         (F.col("lo") - widen).alias("lo"), ((F.col("hi") - F.col("lo") + 2 * widen) / bins).alias("width"))
     lo, width = bounds.select("lo").scalar(), bounds.select("width").scalar()
     counts = (values.select(F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / width)).alias("bin"), "n")

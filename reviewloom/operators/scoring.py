@@ -36,7 +36,7 @@ def score_lexicon_with_table(df: DataFrame, key: str, valences: DataFrame, text:
     Words without a valence leave at the join, and the sums are combined before the shuffle, which then carries
     one number per text.
     """
-    words = df.select(key, F.explode(sent.bare_words(F.col(text))).alias("word"))
+    words = df.select(key, F.explode_outer(sent.bare_words(F.col(text))).alias("word"))
     sums = (words.join(broadcast_if_small(valences.select("word", "valence")), "word")
             .groupBy(key).agg(F.sum("valence").alias("_total")))
     total = sent.tidy_sum(F.coalesce("_total", F.lit(0.0)))

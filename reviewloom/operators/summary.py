@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import vocab
 from reviewloom.functions.numeric import share
-from reviewloom.functions.text import parse_date, words_of
+from reviewloom.functions.text import parse_date
 
 DATASET = ("dataset_id",)
 
@@ -98,7 +98,7 @@ def has_dates(df: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
 
 def word_frequencies(df: DataFrame, by: Sequence[str] = (), text: str = "clean_deep") -> DataFrame:
     """Occurrences of every word; counted before the shuffle, never by joining texts together."""
-    return (df.select(*by, F.explode(words_of(F.col(text))).alias("word"))
+    return (df.select(*by, F.explode_outer(F.split(F.col(text), " ")).alias("word")).where(F.col("word") != "")
             .groupBy(*by, "word").agg(F.count("*").alias("n")))
 
 

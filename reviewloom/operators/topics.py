@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom import vocab
+from reviewloom.functions.lookup import one_of
 from reviewloom.operators.joins import broadcast_if_small
 
 MIN_DOCUMENTS = 50
@@ -75,8 +76,9 @@ def topic_terms(df: DataFrame, topic: str = "topic", text: str = "clean_light",
                 stop_words: Sequence[str] | None = None) -> DataFrame:
     """Term counts per topic: words of two or more characters that are not stop words."""
     stop = list(vocab.STOP_WORDS if stop_words is None else stop_words)
-    words = F.filter(F.split(F.lower(F.col(text)), TERM_BREAK), lambda w: (F.length(w) >= 2) & ~w.isin(stop))
-    return df.select(topic, F.explode(words).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("tf"))
+    words = df.select(topic, F.explode_outer(F.split(F.lower(F.col(text)), TERM_BREAK)).alias("term"))
+    kept = words.where((F.length("term") >= 2) & ~one_of(F.col("term"), stop))
+    return kept.groupBy(topic, "term").agg(F.count("*").alias("tf"))
 
 
 def topic_keywords(terms: DataFrame, n: int = 10, topic: str = "topic") -> DataFrame:
