@@ -297,7 +297,7 @@ def compound_label(spark, sf_dir):
 
 @register
 def model_sentiment(spark, sf_dir):
-    df = light_reviews(reviews(spark, sf_dir))
+    df = stages.write_stage(light_reviews(reviews(spark, sf_dir)), fresh_path(spark, "light"))
     scored = scoring.score_model(df, scoring.fit_sentiment_model(df))
     return scored.select("review_id", F.col("transformer_label").alias("model_label"),
                          F.bround("transformer_confidence", 4).alias("model_confidence"))
@@ -370,8 +370,7 @@ def topic_assign_text(spark, sf_dir):
 
 def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term counts per document source, the fixed topic assignment of the keyword queries."""
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "source")
-    return topics.topic_terms(light_reviews(reviews(spark, sf_dir)).join(sources, "review_id"), "source")
+    return topics.topic_terms(light_reviews(reviews(spark, sf_dir, "source")), "source")
 
 
 @register
@@ -394,8 +393,7 @@ def topic_representatives(spark, sf_dir):
 @register
 def topic_lexicon_gap(spark, sf_dir):
     keywords = topics.topic_keywords(source_terms(spark, sf_dir), topic="source")
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "source")
-    tagged = aspects.tag_aspects(deep_reviews(reviews(spark, sf_dir))).join(sources, "review_id")
+    tagged = aspects.tag_aspects(deep_reviews(reviews(spark, sf_dir, "source")))
     return tidy(topics.topic_lexicon_gap(tagged, keywords, aspects.lexicon_table(spark), "source"), "share_without_aspect")
 
 

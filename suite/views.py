@@ -43,15 +43,15 @@ def _rating(key: Column) -> Column:
     return F.when(key % 11 == 0, None).when(key % 7 == 0, (1 + key % 5).cast("double")).otherwise(base)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review per document: long texts in four languages, four datasets."""
+def reviews(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """One review per document: long texts in four languages, four datasets. `extra` columns pass through."""
     key = F.col("doc_id")
     date = F.date_add(F.lit("2026-01-01").cast("date"), (key % 60).cast("int")).cast("string")
     return table(spark, sf_dir, "documents").select(
         key.alias("review_id"), F.concat(F.lit("docs_"), "lang").alias("dataset_id"),
         F.concat(_pick([p for p, _ in PHRASES], key), F.lit(" "), "text").alias("review_text"),
         _rating(key).alias("rating"),
-        F.when(key % 13 == 0, None).when(key % 17 == 0, "not a date").otherwise(date).alias("review_date"))
+        F.when(key % 13 == 0, None).when(key % 17 == 0, "not a date").otherwise(date).alias("review_date"), *extra)
 
 
 def reviews_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
