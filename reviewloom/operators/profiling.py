@@ -38,6 +38,8 @@ def _quoted(name: str) -> Column:
 def text_column_profile(df: DataFrame) -> DataFrame:
     """Mean length of every string column, longest first, ties in column order. One pass over the table."""
     names = _string_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column_name string, mean_length double")
     row = df.agg(*[F.avg(F.length(_quoted(n))).alias(f"m{i}") for i, n in enumerate(names)])
     entries = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column_name"),
                                  F.col(f"m{i}").alias("mean_length")) for i, n in enumerate(names)])
