@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from reviewloom import vocab
 from reviewloom.functions.text import parse_date, word_count
-from reviewloom.schema import RATING, TEXT
+from reviewloom.schema import RATING, TEXT, ColumnMapping
 
 
 def name_score(name: str, any_of: Sequence[str], all_of: Sequence[str] = ()) -> int:
@@ -56,6 +56,14 @@ def guess_text_column(df: DataFrame) -> str | None:
     return None if longest is None else longest["column_name"]
 
 
+def guess_mapping(df: DataFrame) -> ColumnMapping:
+    """Which columns hold text, rating and date, judged by name and, for the text, by length if no name fits."""
+    text = guess_text_column(df)
+    if text is None:
+        raise KeyError(f"no column can hold the review text; found {df.columns}")
+    return ColumnMapping(text, pick_column(df.columns, vocab.RATING_KEYWORDS), pick_column(df.columns, vocab.DATE_KEYWORDS))
+
+
 def column_roles(df: DataFrame) -> DataFrame:
     """One row per column: name scores, mean length, shares that parse as number and date, and the role it gets.
 
@@ -104,8 +112,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def _text_key(text: str) -> Column:
-    # A digest instead of the text: the shuffle moves 64 bytes per distinct text, not the text.
-    return F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
+    # A digest instead of the text: the shuffle moves 32 bytes per distinct text, not the text.
+    return F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b"null"))
 
 
 def duplicate_count(df: DataFrame, text: str = TEXT) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom import vocab
 from reviewloom.functions.lookup import lookup
@@ -110,6 +112,30 @@ def strategy_prompts(context: DataFrame) -> DataFrame:
     return context.select("dataset_id", F.concat(F.lit(PROMPT_PREFACE), document, F.lit(PROMPT_SCHEMA)).alias("prompt"))
 
 
+Writer = Callable[[str], str]
+
+
+def ask_writer(prompts: DataFrame, load_writer: Callable[[], Writer]) -> DataFrame:
+    """Add the `answer` of a strategy writer the caller brings to every prompt.
+
+    `load_writer` runs once per task and returns a function from prompt to answer.
+    """
+    @F.pandas_udf(T.StringType())
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        writer = load_writer()
+        for part in parts:
+            yield part.map(writer)
+    return prompts.withColumn("answer", ask(F.col("prompt")))
+
+
+def strategy_documents(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """`strategy_json` as it is stored: the JSON without its fence, or the whole answer under "raw"."""
+    body = strip_fences(F.col(answer))
+    raw = F.to_json(F.struct(F.col(answer).alias("raw")))
+    return answers.withColumn("_body", body).withColumn(
+        "strategy_json", F.when(F.try_parse_json("_body").isNotNull(), F.col("_body")).otherwise(raw)).drop("_body")
+
+
 _LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85  "
 
 

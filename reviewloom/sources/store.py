@@ -27,6 +27,17 @@ class ReviewStore:
     def table_path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
+    def create_tables(self, database: str = "default") -> None:
+        """Declare the tables in the catalog, so that SQL can name them. Repeating it finds new datasets."""
+        for table, schema in self.TABLES.items():
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+            location = self.table_path(table).replace("'", "\\'")
+            name = f"{database}.{table}"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (dataset_id) "
+                           f"LOCATION '{location}'")
+            if path_exists(self.spark, self.table_path(table)):
+                self.spark.sql(f"MSCK REPAIR TABLE {name}")
+
     def _read(self, table: str) -> DataFrame:
         path = self.table_path(table)
         if not path_exists(self.spark, path):
