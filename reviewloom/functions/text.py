@@ -26,14 +26,15 @@ NFKC_STABLE_RANGES = [(0x00, 0x9F), (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0
 
 
 def _class(ranges: Iterable[tuple[int, int]]) -> str:
-    # Latin-1 characters one by one: Java keeps those in a bitmap, a range costs two comparisons per character.
-    return "".join("".join(f"\\x{c:02x}" for c in range(lo, hi + 1)) if hi < 0x100 else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}"
-                   for lo, hi in ranges)
+    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
 
 
-SPACE = _class(SPACE_RANGES)
+# Java tests the parts of a character class one after another. The common characters are decided by one comparison:
+# what lies beyond it is only looked at for characters beyond it.
+SPACE = (_class(r for r in SPACE_RANGES if r[1] < 0x80)
+         + f"[\\x{{85}}-\\x{{3000}}&&[{_class(r for r in SPACE_RANGES if r[1] >= 0x80)}]]")
 SPACE_CHARS = "".join(chr(c) for lo, hi in SPACE_RANGES for c in range(lo, hi + 1))
-NOT_SURELY_NFKC = f"[^{_class(NFKC_STABLE_RANGES)}]"
+NOT_SURELY_NFKC = f"[\\x{{80}}-\\x{{10ffff}}&&[^{_class(NFKC_STABLE_RANGES)}]]"
 
 # What light cleaning removes.
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"

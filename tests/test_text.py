@@ -28,6 +28,12 @@ def test_light_clean_drops_urls_and_tags_in_that_order(spark):
     assert apply(spark, txt.light_clean, texts) == ["see now", "fine build", "bigdeal", "is it", "b"]
 
 
+def test_any_whitespace_ends_a_url(spark):
+    spaces = [c for c in map(chr, range(0x10000)) if c.isspace()]
+    texts = [f"a www.b.c/x{c}d" for c in spaces] + ["http://e.f/\u00e9\u4e2d"]
+    assert apply(spark, txt.remove_markup, texts) == [f"a {c}d" for c in spaces] + [""]
+
+
 def test_light_clean_normalises_characters(spark):
     texts = ["ﬁne ① ＡＢ", "café", "a b c", "½"]
     assert apply(spark, txt.light_clean, texts) == ["fine 1 AB", "café", "a b c", "1⁄2"]
