@@ -60,16 +60,22 @@ def context_valence_sum(words: Column, cased_words: Column, but_at: Column, vale
         # Capitals only count when some other word is not in capitals.
         return is_upper(F.get(cased_words, position)) & F.exists(cased_words, lambda w: ~is_upper(w))
 
+    modifiers = [*vocab.BOOSTERS, *vocab.NEGATIONS]
+
     def look_back(position: Column):
         def step(value: Column, distance: Column) -> Column:
-            before = F.get(words, position - distance)
             damping = F.element_at(F.expr(f"array({', '.join(f'{d}D' for d in vocab.BOOST_DAMPING)})"), distance)
-            boosted = let(lookup(before, vocab.BOOSTERS, "double"), lambda boost: F.when(
-                boost.isNotNull(), value + F.signum(value) * damping * (boost + F.when(
-                    shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0)))).otherwise(value))
-            negated = one_of(before, vocab.NEGATIONS) | before.contains("n't")
-            scaled = boosted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
-            return F.when(before.isNull() | one_of(before, valences), value).otherwise(scaled)
+
+            def effect(before: Column) -> Column:
+                boosted = let(lookup(before, vocab.BOOSTERS, "double"), lambda boost: F.when(
+                    boost.isNotNull(), value + F.signum(value) * damping * (boost + F.when(
+                        shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0)))).otherwise(value))
+                negated = one_of(before, vocab.NEGATIONS) | before.contains("n't")
+                scaled = boosted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
+                # Most words change nothing, so that is asked first. A word with a valence of its own never does.
+                changes = (one_of(before, modifiers) | before.contains("n't")) & ~one_of(before, valences)
+                return F.when(changes, scaled).otherwise(value)
+            return let(F.get(words, position - distance), effect)
         return step
 
     def contribution(position: Column) -> Column:
