@@ -19,6 +19,12 @@ def drop_blank_reviews(df: DataFrame, text: str = TEXT) -> DataFrame:
     return trimmed.where(F.col(text).isNotNull() & (F.col(text) != "") & (F.lower(text) != "nan"))
 
 
+def with_review_ids(df: DataFrame, key: str = "review_id") -> DataFrame:
+    """Add ids in row order when the source has none. Write the result before using it: the ids depend on how the
+    input was split, so they must be assigned once."""
+    return df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
+
+
 def preprocess(df: DataFrame, text: str = TEXT, stop_words: Iterable[str] | None = None,
                lemmas: Mapping[str, str] | None = None) -> DataFrame:
     """Add `clean_light`, `clean_deep` and `word_count`; a narrow projection of the raw text."""

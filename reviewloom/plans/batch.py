@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.aspects import add_aspect_flags, tag_aspects
-from reviewloom.operators.cleaning import drop_blank_reviews, preprocess
+from reviewloom.operators.cleaning import drop_blank_reviews, preprocess, with_review_ids
 from reviewloom.operators.evaluation import agreement_rate, classification_metrics, classification_report, confusion_matrix
 from reviewloom.operators.profiling import first_rows
 from reviewloom.operators.scoring import Scorer, fit_sentiment_model, run_sentiment
@@ -32,7 +32,7 @@ class BatchPaths:
 
 
 def clean_stage(raw: DataFrame, paths: BatchPaths) -> DataFrame:
-    return write_stage(preprocess(drop_blank_reviews(raw)), paths.reviews_clean)
+    return write_stage(preprocess(with_review_ids(drop_blank_reviews(raw))), paths.reviews_clean)
 
 
 def sentiment_stage(spark, paths: BatchPaths, sample: int | None = None, model: PipelineModel | None = None,

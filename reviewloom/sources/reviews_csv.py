@@ -12,13 +12,13 @@ from reviewloom.sources.sample import sample_reviews
 from reviewloom.sources.workspace import path_exists
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A headed CSV with every column a string and the usual null spellings turned into nulls.
 
-    Quoted fields may hold line breaks and doubled quotes. Such a file cannot be split, so a large export
-    should come as many files, which are read in parallel.
+    Quoted fields may hold line breaks and doubled quotes. A file read that way cannot be split, so a large
+    export should come as many files, or be read with `multi_line` off if no field holds a line break.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
            .option("enforceSchema", False).option("nullValue", "").option("emptyValue", "").csv(path))
 
     def real(name: str) -> Column:
@@ -27,12 +27,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[real(n) for n in raw.columns])
 
 
-def load_reviews(spark: SparkSession, path: str, mapping: ColumnMapping = ColumnMapping()) -> DataFrame:
+def load_reviews(spark: SparkSession, path: str, mapping: ColumnMapping = ColumnMapping(),
+                 multi_line: bool = True) -> DataFrame:
     """Reviews of a CSV under their canonical names, without blank texts; the built-in sample if nothing is there.
 
     Raises KeyError, before any job, when the text column is missing.
     """
     if not path_exists(spark, path):
         return drop_blank_reviews(sample_reviews(spark))
-    named = drop_blank_reviews(mapping.apply(read_csv(spark, path)), TEXT)
+    named = drop_blank_reviews(mapping.apply(read_csv(spark, path, multi_line)), TEXT)
     return named.withColumn(RATING, F.col(RATING).try_cast("double")) if RATING in named.columns else named

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reviewloom.functions.text import join_list, split_list
+from reviewloom.operators.cleaning import with_review_ids
 from reviewloom.operators.summary import list_datasets
 from reviewloom.schema import ANALYZED_REVIEWS, DATE, RATING, REVIEW_ASPECTS, STRATEGY, TEXT, require_columns
 from reviewloom.sources.workspace import path_exists
@@ -59,8 +60,7 @@ class ReviewStore:
         if dataset_id is not None:
             df = df.withColumn("dataset_id", F.lit(dataset_id))
         require_columns(df, "dataset_id")
-        if "review_id" not in df.columns:
-            df = df.withColumn("review_id", F.monotonically_increasing_id())
+        df = with_review_ids(df)
         for optional in ("clean_deep", RATING, DATE):
             if optional not in df.columns:
                 df = df.withColumn(optional, F.lit(None).cast("string"))

@@ -161,9 +161,9 @@ def rating_sentiment(spark, sf_dir):
 
 @register
 def dataset_exists(spark, sf_dir):
-    store = stored_reviews(spark, sf_dir)
-    wanted = ["docs_en", "docs_none", "2-HIGH"]
-    return spark.createDataFrame([(w, store.dataset_exists(w)) for w in wanted], "dataset_id string, found boolean")
+    wanted = spark.createDataFrame([("docs_en",), ("docs_none",), ("2-HIGH",)], "dataset_id string")
+    known = stored_reviews(spark, sf_dir).list_datasets().withColumn("found", F.lit(True))
+    return wanted.join(known, "dataset_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 @register
