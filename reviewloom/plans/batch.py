@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.operators.aspects import add_aspect_flags, tag_aspects
@@ -14,7 +14,7 @@ from reviewloom.operators.cleaning import drop_blank_reviews, preprocess, with_r
 from reviewloom.operators.evaluation import agreement_rate, classification_metrics, classification_report, confusion_matrix
 from reviewloom.operators.profiling import first_rows
 from reviewloom.operators.scoring import Scorer, fit_sentiment_model, run_sentiment
-from reviewloom.operators.summary import aspect_summary, rank_aspects
+from reviewloom.operators.summary import aspect_summary
 from reviewloom.operators.topics import assign_topics_from_text
 from reviewloom.sources.stages import read_stage, write_documents, write_stage
 
@@ -73,21 +73,20 @@ def aspect_stage(spark, paths: BatchPaths, sample: int | None = None, topics: in
 
 
 def summary_document(df: DataFrame, by: tuple[str, ...] = (), label: str = "transformer_label") -> DataFrame:
-    """The aspect summary with both rankings as one nested row per group."""
-    rows = aspect_summary(df, by, label)
+    """The aspect summary with both rankings as one nested row per group.
+
+    The few aspect rows of a group are gathered once; the rankings are sorted within them.
+    """
     stats = ["total", "positive", "neutral", "negative", "negative_share", "positive_share"]
-    aspects = rows.groupBy(*by).agg(F.map_from_entries(F.transform(
-        F.sort_array(F.collect_list(F.struct("aspect_ord", "aspect", F.struct(*stats).alias("stats")))),
-        lambda e: F.struct(e["aspect"], e["stats"]))).alias("aspects"))
-
-    def ranking(sentiment: str, name: str) -> DataFrame:
-        ranked = rank_aspects(rows, sentiment, by)
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "aspect"))), lambda e: e["aspect"])
-        return ranked.groupBy(*by).agg(ordered.alias(name))
-
-    parts = [ranking("negative", "top_complaints"), ranking("positive", "top_praise")]
-    if not by:
-        return aspects.select("aspects", *[p.select(F.col(p.columns[-1])).scalar().alias(p.columns[-1]) for p in parts])
-    for part in parts:
-        aspects = aspects.join(part, list(by), "left")
-    return aspects
+    entry = F.struct("aspect_ord", "aspect", F.struct(*stats).alias("stats"))
+    gathered = aspect_summary(df, by, label).groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    mentioned = F.filter("_entries", lambda e: e["stats"]["total"] > 0)
+
+    def ranking(sentiment: str) -> Column:
+        keyed = F.transform(mentioned, lambda e: F.struct(
+            (-e["stats"][f"{sentiment}_share"]).alias("share"), (-e["stats"][sentiment]).alias("n"), e["aspect_ord"], e["aspect"]))
+        return F.transform(F.sort_array(keyed), lambda k: k["aspect"])
+
+    return gathered.select(
+        *by, F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["aspect"], e["stats"]))).alias("aspects"),
+        ranking("negative").alias("top_complaints"), ranking("positive").alias("top_praise"))

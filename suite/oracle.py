@@ -283,6 +283,20 @@ def oracle_sql() -> dict[str, str]:
     q["review_aspects_normalized"] = _sql("SELECT dataset_id, review_id, aspect, sentiment FROM children", "children", "both")
     q["strategy_latest"] = _sql("""SELECT dataset_id, arg_max(answer, created_at) AS strategy_json,
       strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS created_at FROM answers GROUP BY dataset_id""", "answers")
+    ranked = {k: f"""SELECT dataset_id, string_agg(aspect, ',' ORDER BY {k}_share DESC, {k} DESC, aspect_ord) AS ranked
+      FROM every_aspect WHERE total > 0 GROUP BY dataset_id""" for k in ("negative", "positive")}
+    q["aspect_summary_json"] = _sql(f"""SELECT dataset_id, c.ranked AS top_complaints, p.ranked AS top_praise, aspect, total, positive, neutral,
+      negative, negative_share, positive_share FROM every_aspect JOIN ({ranked['negative']}) AS c USING (dataset_id)
+      JOIN ({ranked['positive']}) AS p USING (dataset_id)""", "every_aspect", "both")
+    q["batch_report"] = _sql("""SELECT model, CAST(any_value(n) AS BIGINT) AS n, round_even(any_value(accuracy), 6) AS accuracy,
+      round_even(avg(hit_n / nullif(said_n, 0)), 6) AS precision_macro, round_even(avg(hit_n / nullif(true_n, 0)), 6) AS recall_macro,
+      round_even(avg(2 * hit_n / nullif(said_n + true_n, 0)), 6) AS f1_macro FROM (
+        SELECT model, labels3.label, count(*) FILTER (truth = labels3.label) AS true_n, count(*) FILTER (said = labels3.label) AS said_n,
+               count(*) FILTER (truth = labels3.label AND said = labels3.label) AS hit_n, count(*) AS n, avg(CAST(truth = said AS INT)) AS accuracy
+        FROM (SELECT 'lexicon' AS model, truth, label AS said FROM truth JOIN scored USING (rid) WHERE truth IS NOT NULL
+              UNION ALL SELECT 'model', truth, model_label FROM truth JOIN modelled USING (rid) WHERE truth IS NOT NULL) CROSS JOIN labels3
+        GROUP BY model, labels3.label) GROUP BY model""", "truth scored modelled labels3")
+    q["ingest_upload"] = _sql("""SELECT review_text, clean_deep, sentiment, confidence, aspects, rating, review_date FROM analyzed""", "analyzed")
     # rows
     q["clean_rows"] = _sql(r"""SELECT review_id, review_text FROM (SELECT review_id, trim(review_text, E' \t\n\r\f\v') AS review_text
       FROM raw_reviews) WHERE review_text <> '' AND lower(review_text) <> 'nan'""", "raw_reviews")
@@ -428,4 +442,9 @@ def oracle_sql() -> dict[str, str]:
       LEFT JOIN (SELECT dataset_id, string_agg(aspect, ',' ORDER BY rank) AS top FROM complaints GROUP BY dataset_id) USING (dataset_id)
       LEFT JOIN (SELECT dataset_id, string_agg(snippet, '|' ORDER BY rank, position) AS snippets FROM snippets JOIN complaints USING (dataset_id, aspect)
                  GROUP BY dataset_id) USING (dataset_id)""", "analyzed by_aspect complaints snippets", "both")
+    q["strategy_prompt_fields"] = _sql("""SELECT dataset_id, total_reviews, top, breakdown FROM
+      (SELECT dataset_id, count(*) AS total_reviews FROM analyzed GROUP BY dataset_id)
+      JOIN (SELECT dataset_id, string_agg(aspect, ',' ORDER BY rank) AS top FROM complaints GROUP BY dataset_id) USING (dataset_id)
+      JOIN (SELECT dataset_id, string_agg(concat_ws('/', aspect, total), ',' ORDER BY total DESC, aspect) AS breakdown
+            FROM by_aspect GROUP BY dataset_id) USING (dataset_id)""", "analyzed by_aspect complaints", "both")
     return q

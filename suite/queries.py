@@ -12,6 +12,7 @@ from reviewloom.functions import sentiment as sent
 from reviewloom.functions import text as txt
 from reviewloom.functions.numeric import rating_label
 from reviewloom.operators import (aspects, cleaning, evaluation, profiling, scoring, strategy, summary, topics)
+from reviewloom.plans import batch, datasets
 from reviewloom.plans.analyze import analyze
 from reviewloom.plans.batch import summary_document
 from reviewloom.schema import ColumnMapping
@@ -105,10 +106,36 @@ def stage_roundtrip(spark, sf_dir):
 
 @register
 def aspect_summary_json(spark, sf_dir):
+    """The summary documents are written as JSON text and read back field by field."""
     path = fresh_path(spark, "aspect-summary")
     stored = aspects.add_aspect_flags(stored_reviews(spark, sf_dir).reviews())
     stages.write_documents(summary_document(stored, ("dataset_id",), "sentiment"), path)
-    return spark.read.text(path)
+    stats = "struct<total: bigint, positive: bigint, neutral: bigint, negative: bigint, negative_share: double, positive_share: double>"
+    document = F.from_json("value", f"dataset_id string, aspects map<string, {stats}>, top_complaints array<string>, top_praise array<string>")
+    read = spark.read.text(path).select(document.alias("d"))
+    return read.select("d.dataset_id", F.array_join("d.top_complaints", ",").alias("top_complaints"),
+                       F.array_join("d.top_praise", ",").alias("top_praise"), F.explode("d.aspects").alias("aspect", "stats")
+                       ).select("dataset_id", "top_complaints", "top_praise", "aspect", "stats.*")
+
+
+@register
+def batch_report(spark, sf_dir):
+    """The batch chain from raw text to the stored report, read back."""
+    paths = batch.BatchPaths(fresh_path(spark, "batch"))
+    batch.clean_stage(reviews(spark, sf_dir), paths)
+    batch.sentiment_stage(spark, paths)
+    batch.evaluation_stage(spark, paths)
+    metrics = spark.read.schema("model string, n bigint, accuracy double, precision_macro double, recall_macro double, f1_macro double")
+    return tidy(metrics.json(f"{paths.sentiment_comparison}/metrics"), "accuracy", "precision_macro", "recall_macro", "f1_macro")
+
+
+@register
+def ingest_upload(spark, sf_dir):
+    """An upload with foreign column names: columns guessed, analysed, stored, read back."""
+    store = ReviewStore(spark, fresh_path(spark, "uploads"))
+    dataset_id = datasets.ingest(store, uploaded(spark, sf_dir), "upload")
+    return joined_aspects(store.reviews(dataset_id)).select(
+        "review_text", "clean_deep", "sentiment", "confidence", "aspects", "rating", "review_date")
 
 
 @register
@@ -574,3 +601,14 @@ def strategy_context(spark, sf_dir):
 def strategy_prompt(spark, sf_dir):
     store = stored_reviews(spark, sf_dir)
     return strategy.strategy_prompts(strategy.strategy_context(store.reviews(), store.aspects()))
+
+
+@register
+def strategy_prompt_fields(spark, sf_dir):
+    """What the prompts say, read back from the JSON inside them."""
+    inside = F.regexp_extract("prompt", r"(?s)Review analytics:\n(.*)\n\nAnswer with one JSON", 1)
+    breakdown = "array<struct<aspect: string, total_mentions: bigint, negative_share: double>>"
+    document = F.from_json(inside, f"dataset_id string, total_reviews bigint, top_complaint_aspects array<string>, aspect_breakdown {breakdown}")
+    lines = F.transform("d.aspect_breakdown", lambda a: F.concat_ws("/", a["aspect"], a["total_mentions"]))
+    return strategy_prompt(spark, sf_dir).select(document.alias("d")).select(
+        "d.dataset_id", "d.total_reviews", F.array_join("d.top_complaint_aspects", ",").alias("top"), F.array_join(lines, ",").alias("breakdown"))

@@ -8,7 +8,7 @@ import __spark_entry__ as entry_points
 from suite.compare import compare, connect
 from tests.conftest import SMALL
 
-ROWS_ONLY = {"aspect_summary_json", "strategy_prompt", "topic_assign", "topic_assign_text"}
+ROWS_ONLY = {"strategy_prompt", "topic_assign", "topic_assign_text"}
 
 
 @pytest.fixture(scope="module")
