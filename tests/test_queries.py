@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from suite import oracle, queries
 from suite.compare import compare, connect
 from tests.conftest import SMALL
 
@@ -16,14 +17,15 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, SMALL, name) == ""
 
 
 def test_all_but_a_few_have_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == ROWS_ONLY
+    assert set(queries.QUERIES) - set(oracle.oracle_sql()) == ROWS_ONLY
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(queries.QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):
