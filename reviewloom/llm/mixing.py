@@ -114,7 +114,8 @@ def mix(rows: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int = 3, bl
     kept = ["_row", "doc_id", "source", "size", "source_size", "target", *keep]
     pieces = placed.select(*kept, "_key", "_start", "_end", F.explode(F.coalesce(covered, F.array(F.lit(None).cast("long")))).alias("_block"))
     overlap = F.least(F.col("_end"), (F.col("_block") + 1) * length) - F.greatest(F.col("_start"), F.col("_block") * length)
-    return (pieces.join(blocks, ["_key", "_block"], "left").groupBy(*kept)
+    # Blocks grow with the words, though they are made from a few rows: without the hint they would look small.
+    return (pieces.join(blocks.hint("merge"), ["_key", "_block"], "left").groupBy(*kept)
             .agg(F.coalesce(F.sum(overlap * F.col("_times")), F.lit(0)).cast("long").alias("taken")).drop("_row"))
 
 
