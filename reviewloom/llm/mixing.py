@@ -131,12 +131,11 @@ def draw(docs: DataFrame, *, seed: int = 17) -> DataFrame:
     taken / size copies, the fraction decided by a hash of doc_id; texts stay whole. Rows without words stay as they are,
     since they take no part in any quota. The columns of `docs` are kept.
     """
-    sized = docs.withColumn("_size", word_total(F.col("text"))).withColumn("_doc", F.monotonically_increasing_id())
-    kept = staged(sized, "mixing-draw")
-    shares = mix(kept.select("doc_id", "source", F.col("_size").alias("size"), "_doc"), seed=seed, keep=["_doc"])
+    kept = staged(docs.select("doc_id", "source", word_total(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_doc"),
+                              F.struct(*[F.col(c) for c in docs.columns]).alias("_own")), "mixing-draw")
+    shares = mix(kept.select("doc_id", "source", "size", "_doc"), seed=seed, keep=["_doc"])
     ratio = F.col("taken") / F.nullif(F.col("size"), F.lit(0))
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.coalesce(F.floor(ratio) + (chance < ratio - F.floor(ratio)).cast("int"), F.lit(1))
-    times = shares.select("_doc", copies.cast("int").alias("_times"))
-    return (kept.join(times.filter("_times > 0"), "_doc").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*docs.columns))
+    times = shares.select("_doc", copies.cast("int").alias("_times")).filter("_times > 0")
+    return (kept.join(times, "_doc").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_own.*"))

@@ -82,23 +82,28 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, target_rows: int) -> list[
     return [round(SCALE * ratio(*counts.get(g, (0, 0)))) for g in range(BUCKETS)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.05, target_rows: int = 20_000, keep_columns: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.05, target_rows: int = 20_000, own: Column | None = None) -> DataFrame:
     """Every row of `docs` with base counts, base_failed, score and kept.
 
     score is the mean log-likelihood ratio of the text's hashed words and word pairs, trusted target against raw corpus.
     A row is kept if no base rule fails and score >= `threshold`; null, empty and short texts fail the base rules. Without
     trusted documents all ratios are 0. Repeated rows are judged alike. Two narrow passes over the texts; only
-    bucket counts are shuffled. With `keep_columns` the columns of `docs` are returned with `kept`, else doc_id and the counts.
+    bucket counts are shuffled. A column `own` is passed through as `_own`.
     """
     ratios = F.expr("array(" + ", ".join(f"{r}L" for r in log_ratios(docs, labels, target_rows=target_rows)) + ")")
     body = F.coalesce(F.col("text"), F.lit(""))
-    own = [F.struct(*[F.col(c) for c in docs.columns]).alias("_own")] if keep_columns else []
-    read = docs.select("doc_id", body.alias("text"), word_list(F.col("text")).alias("words"), *own)
+    more = [] if own is None else [own.alias("_own")]
+    read = docs.select("doc_id", body.alias("text"), word_list(F.col("text")).alias("words"), *more)
     scored = base_columns(read).withColumn("_g", ngram_buckets(F.col("words")))
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda s, g: s + F.get(ratios, g))
     score = total / F.nullif(F.size("_g"), F.lit(0)) / SCALE
     judged = scored.withColumn("score", F.coalesce(score, F.lit(0.0)))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    if keep_columns:
-        return judged.select("_own.*", F.col("kept").alias("_kept"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score",
+                         *["_own" for _ in more])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **rules) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with the columns of `docs`."""
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    return judge(docs, labels, own=own, **rules).filter("kept").select("_own.*")
