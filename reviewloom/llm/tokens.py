@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -9,7 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PUNCTUATION = ".,;:!?"
+# Letters of one byte in Latin-1: every version of Unicode and every library takes these for letters.
+LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
+# Letters and then marks, without the apostrophe: both patterns break between them and nowhere in the marks.
+MARKED = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 GENERATION = 300_000  # words kept by each of the two generations of the dictionary
 
 
@@ -17,21 +22,19 @@ class _Words(dict):
     """word -> its ids as bytes. When it holds GENERATION words it becomes the old generation, from which words
     in use come back; the memory of a worker is bounded for any number of distinct words."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], marks: Callable[[str], bytes]):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.marks, self.old = encode, marks, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if len(word) > 1 and word[-1] in PUNCTUATION and word[:-1].isalpha() and max(word) < "Ā":
-                ids = self[word[:-1]] + self.encode_tail(word[-1])
-            else:
-                ids = self.encode(word)
+            marked = MARKED(word)
+            ids = self[marked[1]] + self.marks(marked[2]) if marked else self.encode(word)
         if len(self) >= GENERATION:
             self.old = dict(self)
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= 64 and "\n" not in word:
             self[word] = ids
         return ids
 
@@ -40,7 +43,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers, equal to `Tokenizer.encode(text, add_special_tokens=False)`.
 
     The pattern of both kinds of vocabulary always breaks before a space that a non-space follows, so the words between
-    spaces are encoded one by one and remembered; and it breaks between letters and a punctuation mark. Texts where
+    spaces are encoded one by one and remembered; it also breaks around a single line break and between letters and marks. Texts where
     that does not hold (runs of white space, names of special tokens) are encoded as a whole.
     """
 
@@ -54,11 +57,13 @@ class Encoder:
         self.spaced = bool(self._plain(" "))
         self.lower = not self.spaced
         self.model = self.tokenizer.model
-        self.mapped = {chr(c): "".join(x[0] for x in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c)))
-                       for c in range(32, 256)}
-        self.words = _Words(self._after_space)
-        self.words.encode_tail = lru_cache(maxsize=None)(lambda mark: self._plain(mark))
-        self.heads: dict[str, bytes] = {}
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: "".join(x[0] for x in spell(chr(c))) for c in range(32, 256)}
+        self.space = self.spelling[32] if self.spaced else ""
+        marks = lru_cache(maxsize=10_000)(self._plain)
+        self.words = _Words(self._after_space, marks)
+        self.starts = _Words(self._plain, marks) if self.spaced else self.words
+        self.line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,10 +71,15 @@ class Encoder:
     def _after_space(self, word: str) -> bytes:
         if not word:
             return b""
-        if word.isalpha() and max(word) < "Ā":  # one pre-token: the model alone will do
-            form = word.lower() if self.lower else " " + word
-            spelled = "".join(map(self.mapped.__getitem__, form))
-            return np.asarray([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if "\n" in word:
+            first, *others = word.split("\n")
+            if first and all(others) and not any(c.isspace() for c in first + "".join(others)):
+                return self.words[first] + b"".join([self.line + self.starts[x] for x in others])
+        if LETTERS(word):  # one pre-token: the model alone will do
+            form = word.lower() if self.lower else word
+            if not form.isascii():
+                form = form.translate(self.spelling)
+            return array("I", [t.id for t in self.model.tokenize(self.space + form)]).tobytes()
         return self._plain((" " if self.spaced else "") + word)
 
     def _breaks_at_spaces(self, text: str) -> bool:
@@ -82,8 +92,12 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self._breaks_at_spaces(text):
             return self._plain(text)
+        if self.lower and not text.isascii():
+            text = text.lower() if max(text) < "Ā" else text
+        elif self.lower:
+            text = text.lower()
         head, *rest = text.split(" ")
-        first = self._plain(head) if head else b""
+        first = (self._plain(head) if any(c.isspace() for c in head) else self.starts[head]) if head else b""
         return first + b"".join(map(self.words.__getitem__, rest))
 
 

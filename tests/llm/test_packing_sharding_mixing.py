@@ -22,7 +22,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 def test_encoder_equals_the_library(spark, path):
     texts = [t or "" for t, in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     from tests.llm.conftest import awkward_rows
-    texts += [t for _, t, *_ in awkward_rows() if t] + ["a  b", " a", "a ", "x　y z", "it's 'tis don 't", "\x1c a", "A.B., C!! ss ß é1 2x"]
+    texts += [t for _, t, *_ in awkward_rows() if t] + ["a  b", " a", "a ", "x　y z", "it's 'tis don 't", "\x1c a", "A.B., C!! ss ß é1 2x",
+              "one.\nTwo three\nfour's ***\n five\n\nsix\r\nseven\n", "\nx", "a\n b", "x\ny z\nü!! w\n1 2\n'3", "the*** co,&&& <b>é</b> a'b c''d'", "a\x85b\n c\u2028d"]
     plain, own = Tokenizer.from_file(path), tokens.Encoder(path)
     for text in texts:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
