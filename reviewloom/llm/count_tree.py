@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 128
+GROUPS = 128          # groups of the tree's points
+MOST_GROUPS = 1 << 14  # groups of the finest points
 FANOUT = 16
-ROWS = 4096  # pairs bounded at once
+ROWS = 4096  # pairs of nodes bounded at once
 
 
 def group_counts(tokens: np.ndarray) -> np.ndarray:
-    """How many of the hashed tokens fall in each of GROUPS groups."""
-    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """How many of the hashed tokens fall in each group. Groups are told apart by leading bits, about one to a token: GROUPS at
+    least, twice as many for sets twice as large."""
+    bits = min(max(7, int(len(tokens)).bit_length()), MOST_GROUPS.bit_length() - 1)
+    return np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts in fewer groups: neighbours are added up."""
+    return counts.reshape(groups, -1).sum(axis=1, dtype=np.int64)
+
+
+def shared_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Two sets share at most the sum of the smaller counts of each group, in the finest groups that both have."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 def needed(sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
@@ -29,12 +43,14 @@ class CountTree:
     """Points packed by size and then by their leading coordinates, FANOUT to a node; a node keeps the largest count
     of each group and the smallest size below it, so the same bound holds for everything in it."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
+        self.points = points
+        counts = np.stack([folded(p, GROUPS) for p in points]) if points else np.empty((0, GROUPS), np.int64)
         slabs = max(1, int(np.sqrt(len(sizes) / FANOUT)))
         by_size = np.argsort(sizes, kind="stable")
         slab = np.empty(len(sizes), np.int64)
         slab[by_size] = np.arange(len(sizes)) * slabs // max(1, len(sizes))
-        lead = np.argsort(-counts.astype(np.int64).var(axis=0), kind="stable")[:3] if len(sizes) else []
+        lead = np.argsort(-counts.var(axis=0), kind="stable")[:3] if len(sizes) else []
         self.order = np.lexsort([*(counts[:, g] for g in reversed(lead)), slab])
         self.levels = [(counts[self.order], sizes[self.order].astype(np.int64), sizes[self.order].astype(np.int64))]
         while len(self.levels[-1][1]) > 1:
@@ -43,17 +59,18 @@ class CountTree:
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
     def join(self, percent: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (i, j) of all pairs of points with different labels that can be similar, by descending from the
-        pair (root, root): a pair of nodes that fails the bound, or that holds one label only, is left with all below it."""
+        """Indices (i, j) of all pairs of points with different labels that can be similar, by descending from the pair
+        (root, root): a pair of nodes that fails the bound, or that holds one label only, is left with all below it. Pairs of
+        points that are left are bounded again by their finest counts."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if len(self.order) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        least = [labels[self.order]]
-        most = [least[0]]
+        smallest = [labels[self.order]]
+        largest = [smallest[0]]
         for _, low, _ in self.levels[:-1]:
             cuts = np.arange(0, len(low), FANOUT)
-            least.append(np.minimum.reduceat(least[-1], cuts))
-            most.append(np.maximum.reduceat(most[-1], cuts))
+            smallest.append(np.minimum.reduceat(smallest[-1], cuts))
+            largest.append(np.maximum.reduceat(largest[-1], cuts))
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
@@ -62,8 +79,8 @@ class CountTree:
                 continue
             top, low, high = self.levels[level]
             keep = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-            one, two = least[level], most[level]
-            keep &= (one[a] != two[a]) | (one[b] != two[b]) | (one[a] != one[b])
+            down, up = smallest[level], largest[level]
+            keep &= (down[a] != up[a]) | (down[b] != up[b]) | (down[a] != down[b])
             if not level:
                 keep &= a < b
             a, b = a[keep], b[keep]
@@ -72,7 +89,10 @@ class CountTree:
             if not len(a):
                 continue
             if not level:
-                found.append((self.order[a], self.order[b]))
+                one, two = self.order[a], self.order[b]
+                least = needed(low[a], low[b], percent).tolist()
+                fine = [shared_bound(self.points[i], self.points[j]) >= n for i, j, n in zip(one.tolist(), two.tolist(), least)]
+                found.append((one[fine], two[fine]))
                 continue
             below = len(self.levels[level - 1][1])
             steps = np.arange(FANOUT)

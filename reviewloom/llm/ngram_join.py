@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import staged
 from reviewloom.llm.components import connected_components
-from reviewloom.llm.count_tree import CountTree, group_counts, may_match
-from reviewloom.llm.shingles import shingle_sets, slices
+from reviewloom.llm.count_tree import CountTree, group_counts, needed, shared_bound
+from reviewloom.llm.shingles import mixed, shingle_sets, slices
 
 SAMPLE = 64        # one document in so many is looked at for frequent tokens, which only settles the order of tokens
 FREQUENT = 8       # times a frequent token occurs in the sample
@@ -44,17 +44,15 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """node, n, counts, tokens (sorted distinct shingle hashes) of each document."""
+    """node, n, tokens (sorted distinct shingle hashes) of each document."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 1):
                 found = shingle_sets(some.column(1), width)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(f) for f in found], pa.int64()),
-                     pa.array([group_counts(f).tobytes() for f in found], pa.binary()), _lists([_longs(f) for f in found])],
-                    names=["node", "n", "counts", "tokens"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(f) for f in found], pa.int64()), _lists([_longs(f) for f in found])],
+                                                 names=["node", "n", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "node long, n long, counts binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sets, "node long, n long, tokens array<long>")
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
@@ -64,67 +62,74 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(counted["t"].to_numpy(np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, rare, common: the tokens of each document's prefix, frequent ones apart."""
+def _whole(tokens: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    return np.array([mixed(tokens + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(tokens ^ np.uint64(0x5555)))], np.uint64).tobytes()
+
+
+def points(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n, counts and whole (a digest) of each document's set, and rare, common: the tokens of its prefix, frequent ones apart."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 1):
-                sizes, rare, common = [], [], []
-                for found in shingle_sets(some.column(1), width):
-                    length = len(found) - (-(-percent * len(found) // 100)) + (len(found) > 0)
-                    if len(frequent):
-                        hot = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-                        first = found[~hot][:length]
-                        common.append(_longs(found[hot][: length - len(first)]))
-                    else:
-                        first = found[:length]
-                        common.append(np.empty(0, np.int64))
-                    sizes.append(len(found))
+                found = shingle_sets(some.column(1), width)
+                rare, common = [], []
+                for tokens in found:
+                    length = len(tokens) - (-(-percent * len(tokens) // 100)) + (len(tokens) > 0)
+                    hot = np.isin(tokens, frequent, assume_unique=True, kind="sort") if len(frequent) else np.zeros(len(tokens), bool)
+                    first = tokens[~hot][:length]
                     rare.append(_longs(first))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), _lists(rare), _lists(common)],
-                                                 names=["doc_id", "n", "rare", "common"])
+                    common.append(_longs(tokens[hot][: length - len(first)]))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([group_counts(f).tobytes() for f in found], pa.binary()),
+                     pa.array([_whole(f) for f in found], pa.binary()), _lists(rare), _lists(common)],
+                    names=["doc_id", "n", "counts", "whole", "rare", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(route, "doc_id long, n long, rare array<long>, common array<long>")
+    return docs.select("doc_id", "text").mapInArrow(route, "doc_id long, n long, counts binary, whole binary, rare array<long>, common array<long>")
 
 
 def _meetings(routed: DataFrame) -> DataFrame:
-    """token, node, leader for all tokens that two or more nodes have in their prefix."""
+    """token, node, n, leader (node, n) for all tokens that two or more nodes have in their prefix."""
     some = routed.filter(F.col("doc_id").isNotNull())
-    rows = lambda c: some.select(F.col("doc_id").alias("node"), F.explode(c).alias("token"))
+    rows = lambda c: some.select(F.col("doc_id").alias("node"), "n", F.explode(c).alias("token"))
+    leader = F.min(F.struct("node", "n"))
     bucket = Window.partitionBy("token")
-    rare = (rows("rare").withColumn("leader", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket))
-            .filter("leader <> last").select("token", "node", "leader"))
+    rare = (rows("rare").withColumn("leader", leader.over(bucket)).withColumn("last", F.max("node").over(bucket))
+            .filter("leader.node <> last").select("token", "node", "n", "leader"))
     # Buckets of frequent tokens can be of any size: minima are combined before the shuffle, and the join may be split.
     common = rows("common")
-    least = common.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").drop("last")
-    return rare.unionByName(common.join(least, "token").select("token", "node", "leader"))
+    least = common.groupBy("token").agg(leader.alias("leader"), F.max("node").alias("last")).filter("leader.node <> last").drop("last")
+    return rare.unionByName(common.join(least, "token").select("token", "node", "n", "leader"))
+
 
+def _bounded(stars: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
+    """a, b, same: the pairs whose counts allow enough shared tokens, and whether their sets are equal."""
+    one, two = (routed.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}"), F.col("whole").alias(f"w{s}")) for s in "ab")
+    pairs = stars.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb", (F.col("wa") == F.col("wb")).alias("same"))
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose counts allow enough shared tokens."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                one, two = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint16).reshape(some.num_rows, -1) for c in (4, 5))
-                good = may_match(one, two, some.column(2).to_numpy(), some.column(3).to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(good)), some.column(1).filter(pa.array(good))], names=["a", "b"])
+            least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            read = (np.frombuffer(x.as_py(), np.uint16) for c in (4, 5) for x in batch.column(c))
+            counts = list(read)
+            good = pa.array([shared_bound(x, y) >= n for x, y, n in zip(counts[: batch.num_rows], counts[batch.num_rows:], least.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in (0, 1, 6)], names=["a", "b", "same"])
 
-    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(keep, "a long, b long")
+    return pairs.mapInArrow(keep, "a long, b long, same boolean").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among `pairs` (a, b): first those that the counts allow, then those whose sets are similar."""
-    one = lambda *c: sets.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(x).alias(f"{x[0]}a") for x in c])
-    two = lambda *c: sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(x).alias(f"{x[0]}b") for x in c])
-    sized = pairs.join(one("counts"), "a").join(two("counts"), "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    left = staged(_bounded(sized, percent).distinct(), "survivors")
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among `pairs` (a, b), by their sets, which are made again for the documents in question only."""
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    asked = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    sets = staged(shingled(asked, width).filter("n > 0"), "sets")
+    one, two = (sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return (left.join(one("tokens"), "a").join(two("tokens"), "b")
+    return (pairs.select("a", "b").join(one, "a").join(two, "b")
             .filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct())
 
 
-def _tree_pairs(meetings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(meetings: DataFrame, labels: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
     """Pairs across components, from buckets that hold more than one, by their trees."""
     labeled = (meetings.join(labels.select("node", F.col("component").alias("label")), "node", "left")
                .select("token", "node", F.coalesce("label", "node").alias("label")))
@@ -133,7 +138,7 @@ def _tree_pairs(meetings: DataFrame, labels: DataFrame, sets: DataFrame, percent
     # Tokens of one passage often have the same members; one of them is enough.
     open_tokens = (state.filter("l <> h").groupBy("c", "x", "y").agg(F.min("token").alias("token")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
                    .select("token", "blocks"))
-    rows = (labeled.join(open_tokens, "token").join(sets.select("node", "n", "counts"), "node")
+    rows = (labeled.join(open_tokens, "token").join(routed.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
             .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("token", "node", "label", "n", "counts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
@@ -141,8 +146,8 @@ def _tree_pairs(meetings: DataFrame, labels: DataFrame, sets: DataFrame, percent
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches, 3):
             nodes, sizes, labels = (held.column(c).to_numpy() for c in ("node", "n", "label"))
-            counts = np.frombuffer(b"".join(held.column("counts").to_pylist()), np.uint16).reshape(len(nodes), -1)
-            a, b = CountTree(counts, sizes).join(percent, labels)
+            tree = CountTree([np.frombuffer(c, np.uint16) for c in held.column("counts").to_pylist()], sizes)
+            a, b = tree.join(percent, labels)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[a], nodes[b])), pa.array(np.minimum(nodes[a], nodes[b]))], names=["a", "b"])
 
@@ -176,14 +181,14 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
     Rows without doc_id have no links and a null component. Shingles are told apart by 64-bit hashes.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    routed = staged(prefixes(own, width, percent, frequent_tokens(own, width)), "prefixes")
+    routed = staged(points(own, width, percent, frequent_tokens(own, width)), "points")
     meetings = staged(_meetings(routed), "meetings")
-    nodes = meetings.select("node").distinct()
-    sets = staged(shingled(own.join(nodes, own["doc_id"] == nodes["node"], "left_semi"), width).filter("n > 0"), "sets")
-    stars = meetings.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = staged(verified(stars, sets, percent), "star-links")
+    near = (100 * F.col("n") >= percent * F.col("leader.n")) & (100 * F.col("leader.n") >= percent * F.col("n"))
+    stars = meetings.filter(near & (F.col("node") != F.col("leader.node"))).select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
+    bounded = staged(_bounded(stars, routed, percent), "bounded")
+    links = bounded.filter("same").select("a", "b").unionByName(verified(bounded.filter("NOT same"), own, width, percent))
     labels = staged(connected_components(links), "star-components")
-    more = verified(_tree_pairs(meetings, labels, sets, percent), sets, percent)
+    more = verified(staged(_tree_pairs(meetings, labels, routed, percent), "tree-pairs"), own, width, percent)
     known = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(known.unionByName(more))
     return (routed.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")

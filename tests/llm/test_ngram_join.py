@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from reviewloom.llm import ngram_join, shingles
-from reviewloom.llm.count_tree import CountTree, group_counts, needed
+from reviewloom.llm.count_tree import CountTree, group_counts, needed, shared_bound
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -96,7 +96,7 @@ def test_tree_join_keeps_every_similar_pair():
             copy = base.copy()
             copy[rng.integers(0, len(base), len(base) // 12)] = rng.integers(0, 1 << 63, len(base) // 12).astype(np.uint64)
             sets.append(np.unique(shingles.mixed(copy)))
-    counts, sizes = np.stack([group_counts(s) for s in sets]), np.array([len(s) for s in sets])
+    counts, sizes = [group_counts(s) for s in sets], np.array([len(s) for s in sets])
     labels = np.arange(len(sets)) // 2
     a, b = CountTree(counts, sizes).join(80, labels)
     found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
@@ -105,5 +105,5 @@ def test_tree_join_keeps_every_similar_pair():
             and 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 80 * len(set(sets[i].tolist()) | set(sets[j].tolist()))}
     assert want <= found and len(want) > 50
     exact = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if labels[i] != labels[j]
-             and np.minimum(counts[i], counts[j]).sum() >= needed(sizes[i:i + 1], sizes[j:j + 1], 80)[0]}
+             and shared_bound(counts[i], counts[j]) >= needed(sizes[i:i + 1], sizes[j:j + 1], 80)[0]}
     assert found == exact
