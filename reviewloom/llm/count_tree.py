@@ -22,6 +22,12 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(groups, -1).sum(axis=1, dtype=np.int64)
 
 
+def coarse_counts(tokens: np.ndarray) -> np.ndarray:
+    """`group_counts` in an eighth of the groups, GROUPS at least: what a tree needs to tell unrelated sets apart."""
+    counts = group_counts(tokens)
+    return folded(counts, max(GROUPS, len(counts) // 8)).astype(np.uint16)
+
+
 def shared_bound(a: np.ndarray, b: np.ndarray) -> int:
     """Two sets share at most the sum of the smaller counts of each group, in the finest groups that both have."""
     groups = min(len(a), len(b))
@@ -61,7 +67,7 @@ class CountTree:
     def join(self, percent: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices (i, j) of all pairs of points with different labels that can be similar, by descending from the pair
         (root, root): a pair of nodes that fails the bound, or that holds one label only, is left with all below it. Pairs of
-        points that are left are bounded again by their finest counts."""
+        points that are left are bounded again in all the groups they have."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if len(self.order) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)

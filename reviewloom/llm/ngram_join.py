@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import staged
 from reviewloom.llm.components import connected_components
-from reviewloom.llm.count_tree import CountTree, group_counts, needed, shared_bound
+from reviewloom.llm.count_tree import CountTree, coarse_counts, group_counts, needed, shared_bound
 from reviewloom.llm.shingles import mixed, shingle_sets, slices
 
 SAMPLE = 64        # one document in so many is looked at for frequent tokens, which only settles the order of tokens
@@ -68,7 +68,7 @@ def _whole(tokens: np.ndarray) -> bytes:
 
 
 def points(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, counts and whole (a digest) of each document's set, and rare, common: the tokens of its prefix, frequent ones apart."""
+    """doc_id, n, counts, coarse (counts in fewer groups) and whole (a digest) of each document's set, and rare, common: the tokens of its prefix, frequent ones apart."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 1):
@@ -82,10 +82,10 @@ def points(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
                     common.append(_longs(tokens[hot][: length - len(first)]))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([group_counts(f).tobytes() for f in found], pa.binary()),
-                     pa.array([_whole(f) for f in found], pa.binary()), _lists(rare), _lists(common)],
-                    names=["doc_id", "n", "counts", "whole", "rare", "common"])
+                     pa.array([coarse_counts(f).tobytes() for f in found], pa.binary()), pa.array([_whole(f) for f in found], pa.binary()), _lists(rare), _lists(common)],
+                    names=["doc_id", "n", "counts", "coarse", "whole", "rare", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(route, "doc_id long, n long, counts binary, whole binary, rare array<long>, common array<long>")
+    return docs.select("doc_id", "text").mapInArrow(route, "doc_id long, n long, counts binary, coarse binary, whole binary, rare array<long>, common array<long>")
 
 
 def _meetings(routed: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _tree_pairs(meetings: DataFrame, labels: DataFrame, routed: DataFrame, perce
     # Tokens of one passage often have the same members; one of them is enough.
     open_tokens = (state.filter("l <> h").groupBy("c", "x", "y").agg(F.min("token").alias("token")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
                    .select("token", "blocks"))
-    rows = (labeled.join(open_tokens, "token").join(routed.select(F.col("doc_id").alias("node"), "n", "counts"), "node")
+    rows = (labeled.join(open_tokens, "token").join(routed.select(F.col("doc_id").alias("node"), "n", F.col("coarse").alias("counts")), "node")
             .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("token", "node", "label", "n", "counts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
@@ -188,7 +188,8 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
     bounded = staged(_bounded(stars, routed, percent), "bounded")
     links = bounded.filter("same").select("a", "b").unionByName(verified(bounded.filter("NOT same"), own, width, percent))
     labels = staged(connected_components(links), "star-components")
-    more = verified(staged(_tree_pairs(meetings, labels, routed, percent), "tree-pairs"), own, width, percent)
+    across = staged(_tree_pairs(meetings, labels, routed, percent), "tree-pairs")
+    more = verified(staged(_bounded(across, routed, percent), "tree-bounded"), own, width, percent)
     known = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(known.unionByName(more))
     return (routed.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
