@@ -9,9 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# A table this small travels with the plan; a larger one belongs in a DataFrame and a join.
-MAX_LITERAL_ENTRIES = 20_000
-MAX_PARTS = 1024
+MAX_PARTS = 1 << 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,10 +43,9 @@ def lookup(word: Column, mapping: Mapping[str, object], value_type: str, default
 
     Most words of a text are in none of the tables, so a hash probe of the keys comes first. Spark scans the
     keys of a map one by one, hence the table is dealt into parts of about one entry by checksum. The parts are
-    one constant of the plan, written as SQL because that takes a single call to the JVM.
+    one constant of the plan, written as SQL because that takes a single call to the JVM. The table travels with the
+    plan, so one that does not fit the driver belongs in a DataFrame and the join form of the operator (`*_with_table`).
     """
-    if len(mapping) > MAX_LITERAL_ENTRIES:
-        raise ValueError(f"{len(mapping)} entries exceed {MAX_LITERAL_ENTRIES}: use the join form of this operator")
     count = max(1, min(len(mapping), MAX_PARTS))
     parts: list[list[str]] = [[] for _ in range(count)]
     for key, value in mapping.items():

@@ -50,15 +50,15 @@ def is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def context_valence_sum(words: Column, cased_words: Column, but_at: Column, valences: Mapping[str, float]) -> Column:
+def context_valence_sum(words: Column, cased_words: Column, mixed: Column, but_at: Column, valences: Mapping[str, float]) -> Column:
     """Sum of word valences after the context rules: capitals, intensifiers and negation among the three words
     before, and the weight shift at the first "but".
 
-    `words` come from `bare_words`, `cased_words` are the same words as written.
+    `words` come from `bare_words`, `cased_words` are the same words as written; `mixed` tells whether any is not in capitals.
     """
     def shouted(position: Column) -> Column:
         # Capitals only count when some other word is not in capitals.
-        return is_upper(F.get(cased_words, position)) & F.exists(cased_words, lambda w: ~is_upper(w))
+        return mixed & is_upper(F.get(cased_words, position))
 
     modifiers = [*vocab.BOOSTERS, *vocab.NEGATIONS]
 
@@ -109,7 +109,8 @@ def lexicon_compound(light: Column, valences: Mapping[str, float], context: bool
 
     def in_context(text: Column) -> Column:
         total = let(bare_words(text), lambda words: let(F.split(text, " "), lambda cased: let(
-            F.array_position(words, "but"), lambda but_at: context_valence_sum(words, cased, but_at, valences))))
+            F.exists(cased, lambda w: ~is_upper(w)), lambda mixed: let(
+                F.array_position(words, "but"), lambda but_at: context_valence_sum(words, cased, mixed, but_at, valences)))))
         return let(total, lambda t: t + F.signum(t) * punctuation_emphasis(text))
     total = let(F.coalesce(light, F.lit("")), in_context if context else plain)
     return let(total, normalize_compound)

@@ -123,5 +123,6 @@ def parse_date(text: Column) -> Column:
     """Date of an ISO date or timestamp, or of a few other common layouts; anything else is null."""
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz").cast("date"))
     others = [F.try_to_timestamp(text, F.lit(layout)).cast("date")
-              for layout in ("M/d/yyyy", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")]
+              for layout in ("M/d/yyyy", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "M/d/yyyy H:mm",
+                             "M/d/yyyy H:mm:ss", "M/d/yy", "yyyyMMdd", "yyyy-MM")]
     return F.coalesce(iso, *others)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from reviewloom import vocab
 from reviewloom.functions.aspects import aspect_list
 from reviewloom.functions.text import words_of
-from reviewloom.operators.joins import broadcast_if_small
 
 Lexicon = Mapping[str, Sequence[str]]
 
@@ -32,7 +31,7 @@ def tag_aspects_with_table(df: DataFrame, key: str, lexicon: DataFrame, text: st
     A word repeated in a text is joined once, and only hits reach the shuffle on `key`.
     """
     words = df.select(key, F.explode_outer(F.array_distinct(words_of(F.col(text)))).alias("keyword"))
-    hits = words.join(broadcast_if_small(lexicon), "keyword")
+    hits = words.join(lexicon, "keyword")
     ordered = F.sort_array(F.collect_set(F.struct("aspect_ord", "aspect")))
     tags = hits.groupBy(key).agg(F.transform(ordered, lambda a: a["aspect"]).alias("aspects"))
     return df.join(tags, key, "left").withColumn("aspects", F.coalesce("aspects", F.array().cast("array<string>")))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text as txt
-from reviewloom.operators.joins import broadcast_if_small
 from reviewloom.schema import TEXT, require_columns
 
 
@@ -46,8 +45,8 @@ def deep_clean_with_tables(df: DataFrame, key: str, stop_words: DataFrame, lemma
     """
     words = df.select(key, F.posexplode_outer(F.split(txt.deep_prepare(F.col(text)), " ")).alias("position", "word"))
     kept = (words.where(F.col("word") != "")
-            .join(broadcast_if_small(stop_words.select("word")), "word", "left_anti")
-            .join(broadcast_if_small(lemmas.select("word", "lemma")), "word", "left"))
+            .join(stop_words.select("word"), "word", "left_anti")
+            .join(lemmas.select("word", "lemma"), "word", "left"))
     ordered = F.sort_array(F.collect_list(F.struct("position", F.coalesce("lemma", "word").alias("lemma"))))
     joined = kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["lemma"]), " ").alias("clean_deep"))
     return df.join(joined, key, "left").withColumn("clean_deep", F.coalesce("clean_deep", F.lit("")))

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom import vocab
 from reviewloom.functions import sentiment as sent
 from reviewloom.functions.numeric import rating_label
-from reviewloom.operators.joins import broadcast_if_small
+from reviewloom.operators.topics import TERM_BREAK
 from reviewloom.schema import RATING
+from reviewloom.sources.workspace import fresh_path
 
 
 def score_lexicon(df: DataFrame, text: str = "clean_light", context: bool = True,
@@ -37,46 +41,86 @@ def score_lexicon_with_table(df: DataFrame, key: str, valences: DataFrame, text:
     one number per text.
     """
     words = df.select(key, F.explode_outer(sent.bare_words(F.col(text))).alias("word"))
-    sums = (words.join(broadcast_if_small(valences.select("word", "valence")), "word")
+    sums = (words.join(valences.select("word", "valence"), "word")
             .groupBy(key).agg(F.sum("valence").alias("_total")))
     total = sent.tidy_sum(F.coalesce("_total", F.lit(0.0)))
     return (df.join(sums, key, "left").withColumn(score, sent.normalize_compound(total))
             .withColumn(label, sent.compound_label(F.col(score))).drop("_total"))
 
 
+@dataclass(frozen=True)
+class WordModel:
+    """Multinomial naive Bayes as a table: `words` (word, n: how often each class has it), stored, of any size, and one
+    number or two per class."""
+
+    words: DataFrame
+    classes: list[int]
+    priors: list[float]
+    norms: list[float]
+
+
+def tokens_of(text: Column) -> Column:
+    """Lower-case words of any script."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_BREAK), lambda w: w != "")
+
+
 def fit_sentiment_model(df: DataFrame, text: str = "clean_light", rating: str = RATING, classifier=None,
-                        vocabulary_size: int = 1 << 18) -> PipelineModel:
+                        features: int = 1 << 20) -> WordModel | PipelineModel:
     """Train a bag-of-words model on the labels the ratings give.
 
-    The default, multinomial naive Bayes, needs one counting pass over the words and one over the vectors; only
-    the vocabulary and the per-class weights, both bounded by `vocabulary_size`, reach the driver. Any
-    pyspark.ml classifier with a probability column can take its place.
+    The default is multinomial naive Bayes with add-one smoothing: a count per word and class, combined before the shuffle
+    and stored; no word is left out and none passes through the driver. Any pyspark.ml classifier with a probability
+    column can take its place, over words hashed to `features` numbers.
     """
     target = F.array_position(F.lit(vocab.EVALUATION_LABELS), rating_label(F.col(rating))) - 1
-    rated = df.where(rating_label(F.col(rating)).isNotNull()).select(
-        F.coalesce(F.col(text), F.lit("")).alias(text), target.cast("double").alias("_target"))
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern="\\W+"),
-        CountVectorizer(inputCol="_tokens", outputCol="_features", vocabSize=vocabulary_size),
-        classifier if classifier is not None else NaiveBayes(smoothing=1.0),
-    ]
-    stages[-1].setParams(featuresCol="_features", labelCol="_target", probabilityCol="_probability",
-                         rawPredictionCol="_raw", predictionCol="_prediction")
-    return Pipeline(stages=stages).fit(rated)
-
-
-def score_model(df: DataFrame, model: PipelineModel, text: str = "clean_light", label: str = "transformer_label",
+    rated = df.where(rating_label(F.col(rating)).isNotNull()).select(F.col(text).alias("_text"), target.cast("int").alias("_target"))
+    if classifier is not None:
+        stages = [RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=TERM_BREAK),
+                  HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=features), classifier]
+        classifier.setParams(featuresCol="_features", labelCol="_target", probabilityCol="_probability",
+                             rawPredictionCol="_raw", predictionCol="_prediction")
+        return Pipeline(stages=stages).fit(rated.withColumn("_text", F.coalesce("_text", F.lit(""))))
+    names = range(len(vocab.EVALUATION_LABELS))
+    # The outer explode keeps texts without words, which count for the priors.
+    spread = rated.select("_target", F.explode_outer(tokens_of(F.col("_text"))).alias("word"))
+    by_word = spread.where(F.col("word").isNotNull()).groupBy("word").agg(*[F.count_if(F.col("_target") == c).alias(f"n{c}") for c in names])
+    path = fresh_path(df.sparkSession, "word-model")
+    by_word.select("word", F.array(*[f"n{c}" for c in names]).alias("n")).write.parquet(path)
+    words = df.sparkSession.read.parquet(path)
+    total = words.agg(F.count("*").alias("v"), *[F.sum(F.col("n")[c]).alias(f"n{c}") for c in names]).first()
+    docs = {r["_target"]: r["count"] for r in rated.groupBy("_target").count().collect()}
+    classes = sorted(docs)
+    every = math.log(sum(docs.values()) + len(classes)) if classes else 0.0
+    return WordModel(words, classes, [math.log(docs[c] + 1) - every for c in classes],
+                     [math.log((total[f"n{c}"] or 0) + total["v"]) if total["v"] else 0.0 for c in classes])
+
+
+def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "clean_light", label: str = "transformer_label",
                 confidence: str = "transformer_confidence") -> DataFrame:
-    """Add the most probable label and its probability. Null text is scored as ''."""
-    scored = model.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
-    probabilities = vector_to_array(F.col("_probability"))
-    names = F.lit(vocab.EVALUATION_LABELS)
-    return (scored.withColumn(label, F.element_at(names, F.col("_prediction").cast("int") + 1))
-            .withColumn(confidence, F.array_max(probabilities))
-            .drop("_tokens", "_features", "_raw", "_probability", "_prediction"))
+    """Add the most probable label and its probability. Null text is scored as ''.
+
+    With a word model, `df` is read twice and should be a stored table: its words are counted per text, joined to the
+    model's words and summed up again per text, one row per text in the second shuffle.
+    """
+    if not isinstance(model, WordModel):
+        scored = model.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+        return (scored.withColumn(label, F.element_at(F.lit(vocab.EVALUATION_LABELS), F.col("_prediction").cast("int") + 1))
+                .withColumn(confidence, F.array_max(vector_to_array(F.col("_probability"))))
+                .drop("_text", "_tokens", "_features", "_raw", "_probability", "_prediction"))
+    keyed = df.withColumn("_doc", F.monotonically_increasing_id())
+    counted = keyed.select("_doc", F.explode(tokens_of(F.col(text))).alias("word")).groupBy("_doc", "word").count()
+    fits = [F.sum(F.col("count") * (F.log(F.col("n")[c] + 1) - norm)).alias(f"_f{c}") for c, norm in zip(model.classes, model.norms)]
+    sums = counted.join(model.words, "word").groupBy("_doc").agg(*fits)
+    scores = F.array(*[F.struct((F.coalesce(f"_f{c}", F.lit(0.0)) + prior).alias("s"), F.lit(-c).alias("c")) for c, prior in zip(model.classes, model.priors)])
+    best = F.array_max("_scores")
+    return (keyed.join(sums, "_doc", "left").withColumn("_scores", scores).withColumn("_best", best)
+            .withColumn(label, F.element_at(F.lit(vocab.EVALUATION_LABELS), 1 - F.col("_best")["c"]))
+            .withColumn(confidence, 1 / F.aggregate("_scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("_best")["s"])))
+            .drop("_doc", "_scores", "_best", *[f"_f{c}" for c in model.classes]))
 
 
 Scorer = Callable[[Sequence[str]], Iterable[tuple[str, float]]]
+loaded: dict[str, Scorer] = {}  # the callers' models of this worker process
 
 
 def score_external(df: DataFrame, load_model: Callable[[], Scorer], text: str = "clean_light",
@@ -84,14 +128,18 @@ def score_external(df: DataFrame, load_model: Callable[[], Scorer], text: str =
                    batch_size: int = 32) -> DataFrame:
     """Add label and confidence from a model the caller brings.
 
-    `load_model` runs once per task and returns a function from a batch of texts to (label, score) pairs. Label
+    `load_model` runs once per worker process and returns a function from a batch of texts to (label, score) pairs. Label
     names are normalised afterwards. Blank and null texts are passed as ''.
     """
+    key = hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.pandas_udf(schema)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = load_model()
+        from reviewloom.operators.scoring import loaded
+        if key not in loaded:
+            loaded[key] = load_model()
+        scorer = loaded[key]
         for texts in parts:
             cleaned = [t if isinstance(t, str) and t.strip() else "" for t in texts]
             pairs = [pair for at in range(0, len(cleaned), batch_size) for pair in scorer(cleaned[at:at + batch_size])]
@@ -103,7 +151,7 @@ def score_external(df: DataFrame, load_model: Callable[[], Scorer], text: str =
             .withColumn(confidence, F.col(result)["score"]).drop(result))
 
 
-def run_sentiment(df: DataFrame, model: PipelineModel | None = None,
+def run_sentiment(df: DataFrame, model: WordModel | PipelineModel | None = None,
                   load_model: Callable[[], Scorer] | None = None) -> DataFrame:
     """Both scorers side by side, and the rating's label where a rating column exists.
 

@@ -118,13 +118,15 @@ Writer = Callable[[str], str]
 def ask_writer(prompts: DataFrame, load_writer: Callable[[], Writer]) -> DataFrame:
     """Add the `answer` of a strategy writer the caller brings to every prompt.
 
-    `load_writer` runs once per task and returns a function from prompt to answer.
+    `load_writer` runs once per task and returns a function from prompt to answer. Store the answers before using
+    them: a plan that runs again asks again.
     """
     @F.pandas_udf(T.StringType())
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         writer = load_writer()
         for part in parts:
             yield part.map(writer)
+    ask = ask.asNondeterministic()
     return prompts.withColumn("answer", ask(F.col("prompt")))
 
 
@@ -133,10 +135,10 @@ def strategy_documents(answers: DataFrame, answer: str = "answer") -> DataFrame:
     body = strip_fences(F.col(answer))
     raw = F.to_json(F.struct(F.col(answer).alias("raw")))
     return answers.withColumn("_body", body).withColumn(
-        "strategy_json", F.when(F.try_parse_json("_body").isNotNull(), F.col("_body")).otherwise(raw)).drop("_body")
+        "strategy_json", F.when(is_json(F.col("_body")), F.col("_body")).otherwise(raw)).drop("_body")
 
 
-_LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85  "
+_LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029"
 
 
 def strip_fences(text: Column) -> Column:
@@ -147,11 +149,16 @@ def strip_fences(text: Column) -> Column:
     return F.when(whole.startswith("```"), strip(closed)).otherwise(whole)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON. Objects may repeat a key, which the parser of the first test refuses."""
+    return F.try_parse_json(text).isNotNull() | F.coalesce(text.endswith("}") & F.json_object_keys(text).isNotNull(), F.lit(False))
+
+
 def parse_answers(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Add the parsed answer, or the untouched text in `raw` when it is not JSON."""
     body = strip_fences(F.col(answer))
     parsed = F.from_json("_body", STRATEGY_ANSWER)
-    valid = F.try_parse_json("_body").isNotNull()
+    valid = is_json(F.col("_body"))
     return (df.withColumn("_body", body).withColumn("_parsed", F.when(valid, parsed))
             .withColumn("raw", F.when(~valid, F.col(answer)))
             .withColumn("executive_summary", F.col("_parsed")["executive_summary"])

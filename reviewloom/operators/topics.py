@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from reviewloom import vocab
 from reviewloom.functions.lookup import one_of
-from reviewloom.operators.joins import broadcast_if_small
 
 MIN_DOCUMENTS = 50
+NOISE_ACCURACY = 1_000_000
 TERM_BREAK = r"[^\p{L}\p{N}_]+"
-MAX_BROADCAST_CENTERS = 10_000
 
 
 def enough_documents(df: DataFrame, minimum: int = MIN_DOCUMENTS) -> bool:
@@ -32,39 +31,53 @@ def squared_distance(left: Column, right: Column) -> Column:
 
 def assign_topics(df: DataFrame, k: int, vector: str = "embedding", seed: int = 17, noise_quantile: float | None = 0.95,
                   topic: str = "topic") -> DataFrame:
-    """Cluster an `array<float>` column; add the topic id, and -1 for the documents far from their center.
+    """Cluster an `array<float>` column; add the topic id (-1 for the documents far from their center) and the distance.
 
-    Below `MIN_DOCUMENTS` the frame is returned without a topic column. Only the k centers and the k distance
-    limits leave the executors. The limit is a per-topic quantile sketch, so large topics need no sort.
+    Below `MIN_DOCUMENTS` both columns are null. Only the k centers leave the executors.
     """
     if not enough_documents(df):
-        return df
+        return df.withColumns({topic: F.lit(None).cast("int"), "topic_distance": F.lit(None).cast("double")})
+    points = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_point"))
+    model = KMeans(k=k, seed=seed, featuresCol="_point").fit(points)
+    centers = df.sparkSession.createDataFrame([(i, center.tolist()) for i, center in enumerate(model.clusterCenters())],
+                                              f"{topic} int, center array<double>")
+    return place_on_centers(df, centers, vector, noise_quantile, topic)
+
+
+def place_on_centers(df: DataFrame, centers: DataFrame, vector: str = "embedding", noise_quantile: float | None = 0.95,
+                     topic: str = "topic") -> DataFrame:
+    """The nearest of the given centers `(topic, center)` for every row, ties to the smaller topic, and its distance.
+
+    Rows beyond the `noise_quantile` of their topic's distances get -1. The centers are one row of the plan, so there
+    may be as many as fit a row. The limit is exact up to NOISE_ACCURACY rows of a topic, and beyond that off by
+    1/NOISE_ACCURACY of them at most.
+    """
     values = F.col(vector).cast("array<double>")
-    points = df.withColumn("_point", array_to_vector(values))
-    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol=topic).fit(points.select("_point"))
-    centers = F.broadcast(df.sparkSession.createDataFrame(
-        [(i, center.tolist()) for i, center in enumerate(model.clusterCenters())], f"{topic} int, _center array<double>"))
-    placed = model.transform(points).drop("_point").join(centers, topic)
-    placed = placed.withColumn("topic_distance", F.sqrt(squared_distance(values, F.col("_center")))).drop("_center")
+    every = F.broadcast(centers.agg(F.sort_array(F.collect_list(F.struct(topic, "center"))).alias("_centers")))
+    distances = F.transform("_centers", lambda c: F.struct(squared_distance(values, c["center"]).alias("d"), c[topic].alias("t")))
+    placed = (df.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one").withColumn("_near", F.array_min(distances))
+              .withColumn(topic, F.col("_near.t")).withColumn("topic_distance", F.sqrt("_near.d")))
     if noise_quantile is not None:
-        limits = F.broadcast(placed.groupBy(topic).agg(F.percentile_approx("topic_distance", noise_quantile).alias("_limit")))
-        far = F.col("topic_distance") > F.col("_limit")
-        placed = placed.join(limits, topic).withColumn(topic, F.when(far, -1).otherwise(F.col(topic))).drop("_limit")
+        limits = F.broadcast(placed.groupBy(topic).agg(F.percentile_approx("topic_distance", noise_quantile, NOISE_ACCURACY).alias("_limit")))
+        placed = placed.join(limits, topic).withColumn(topic, F.when(F.col("topic_distance") > F.col("_limit"), -1).otherwise(F.col(topic)))
     return placed.select(*df.columns, topic, "topic_distance")
 
 
 def assign_topics_from_text(df: DataFrame, k: int, text: str = "clean_light", seed: int = 17, iterations: int = 10,
-                            vocabulary_size: int = 1 << 16, topic: str = "topic",
-                            stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Topics by latent Dirichlet allocation when there is no embedding; the most probable topic of each text."""
+                            features: int = 1 << 18, topic: str = "topic", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Topics by latent Dirichlet allocation when there is no embedding; the most probable topic of each text.
+
+    Every step of the fit sees all texts, and every term counts: terms are hashed to `features` numbers. Below
+    `MIN_DOCUMENTS` the topic is null.
+    """
     if not enough_documents(df):
-        return df
+        return df.withColumn(topic, F.lit(None).cast("int"))
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TERM_BREAK, minTokenLength=2),
         StopWordsRemover(inputCol="_tokens", outputCol="_terms",
                          stopWords=list(vocab.STOP_WORDS if stop_words is None else stop_words)),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary_size),
-        LDA(k=k, seed=seed, maxIter=iterations, featuresCol="_counts", topicDistributionCol="_mix"),
+        HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=features),
+        LDA(k=k, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="_counts", topicDistributionCol="_mix"),
     ]
     safe = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     mixed = Pipeline(stages=stages).fit(safe).transform(safe).withColumn("_mix", vector_to_array("_mix"))
@@ -111,7 +124,6 @@ def representative_documents(df: DataFrame, key: str, n: int = 3, topic: str = "
     """The `n` documents of each topic nearest to the topic's mean vector."""
     values = F.col(vector).cast("array<double>")
     means = df.groupBy(topic).agg(vector_to_array(Summarizer.mean(array_to_vector(values))).alias("_mean"))
-    means = broadcast_if_small(means, MAX_BROADCAST_CENTERS)
     distance = F.bround(F.sqrt(squared_distance(values, F.col("_mean"))), 6)
     near = df.select(key, topic, vector).join(means, topic).select(key, topic, distance.alias("distance"))
     order = Window.partitionBy(topic).orderBy("distance", key)
@@ -120,7 +132,7 @@ def representative_documents(df: DataFrame, key: str, n: int = 3, topic: str = "
 
 def keywords_outside_lexicon(keywords: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Topic keywords that the aspect lexicon does not list."""
-    known = broadcast_if_small(lexicon.select(F.col("keyword").alias("term")))
+    known = lexicon.select(F.col("keyword").alias("term"))
     return keywords.join(known, "term", "left_anti")
 
 

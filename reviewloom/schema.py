@@ -18,6 +18,7 @@ ANALYZED_REVIEWS = T.StructType([
     T.StructField("aspects", T.StringType()),
     T.StructField("rating", T.DoubleType()),
     T.StructField("review_date", T.StringType()),
+    T.StructField("source_id", T.StringType()),
     T.StructField("dataset_id", T.StringType()),
 ])
 
@@ -63,6 +64,9 @@ class ColumnMapping:
             renames[self.rating] = RATING
         if self.date is not None:
             renames[self.date] = DATE
+        taken = [new for old, new in renames.items() if old != new and new in df.columns and new not in renames]
+        if taken or len(set(renames)) < sum(x is not None for x in (self.text, self.rating, self.date)):
+            raise ValueError(f"column(s) {taken or list(renames)} would be there twice")
         return df.withColumnsRenamed(renames)
 
 

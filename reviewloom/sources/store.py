@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from reviewloom.functions.text import join_list, split_list
 from reviewloom.operators.cleaning import with_review_ids
 from reviewloom.operators.summary import list_datasets
 from reviewloom.schema import ANALYZED_REVIEWS, DATE, RATING, REVIEW_ASPECTS, STRATEGY, TEXT, require_columns
-from reviewloom.sources.workspace import path_exists
+from reviewloom.sources.workspace import fresh_path, path_exists
 
 
 class ReviewStore:
@@ -46,39 +46,37 @@ class ReviewStore:
         return self.spark.read.schema(self.TABLES[table]).parquet(path)
 
     def _write(self, df: DataFrame, table: str) -> None:
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.TABLES[table].fields]
+        """Replace the datasets in `df`. What does not fit a column's type becomes null."""
+        columns = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in self.TABLES[table].fields]
         (df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dataset_id").parquet(self.table_path(table)))
 
     def save_analysis(self, df: DataFrame, dataset_id: str | None = None) -> None:
         """Store analysed reviews under `dataset_id`, or each under the value of its own `dataset_id` column.
 
-        The text is analysed once, by the first write; the aspect rows are made from what was stored. Rows of
-        several datasets are gathered per dataset first, in pieces of even size however large one dataset is.
+        The text is analysed once, into a stage of this run; both tables are written from the stage, so a save never
+        reads what was stored before. If a run ends between the two writes, saving the same reviews again repairs it.
+        Ids that are no numbers are kept as `source_id`, and the rows get ids of their own. Rows of several datasets are
+        gathered per dataset first, in pieces of even size however large one dataset is.
         """
         require_columns(df, TEXT, "sentiment", "confidence", "aspects")
         if dataset_id is not None:
             df = df.withColumn("dataset_id", F.lit(dataset_id))
         require_columns(df, "dataset_id")
+        if "review_id" in df.columns and not isinstance(df.schema["review_id"].dataType, IntegralType):
+            df = df.drop("source_id").withColumnRenamed("review_id", "source_id")
         df = with_review_ids(df)
-        for optional in ("clean_deep", RATING, DATE):
+        for optional in ("clean_deep", RATING, DATE, "source_id"):
             if optional not in df.columns:
                 df = df.withColumn(optional, F.lit(None).cast("string"))
-        rows = df.withColumn("aspects", F.coalesce(join_list(F.col("aspects")), F.lit("")))
-        if dataset_id is None:
-            rows = rows.hint("rebalance", F.col("dataset_id"))
-        self._write(rows, "analyzed_reviews")
-
-        saved = df.select("dataset_id").distinct() if dataset_id is None else None
-        stored = self._read("analyzed_reviews")
-        stored = (stored.where(F.col("dataset_id") == dataset_id) if dataset_id is not None
-                  else stored.join(saved, "dataset_id", "left_semi"))
+        names = [f.name for f in ANALYZED_REVIEWS.fields]
+        stage = fresh_path(self.spark, "save")
+        df.withColumn("aspects", F.coalesce(join_list(F.col("aspects")), F.lit(""))).select(*names).write.parquet(stage)
+        rows = self.spark.read.parquet(stage)
         # A review without aspects keeps a row with a null aspect, so that every saved dataset replaces its rows.
-        children = stored.select("dataset_id", "review_id", "sentiment",
-                                 F.explode_outer(split_list(F.col("aspects"))).alias("aspect"))
-        if dataset_id is None:
-            children = children.hint("rebalance", F.col("dataset_id"))
-        self._write(children, "review_aspects")
+        children = rows.select("dataset_id", "review_id", "sentiment", F.explode_outer(split_list(F.col("aspects"))).alias("aspect"))
+        for part, table in ((rows, "analyzed_reviews"), (children, "review_aspects")):
+            self._write(part if dataset_id is not None else part.hint("rebalance", F.col("dataset_id")), table)
 
     def reviews(self, dataset_id: str | None = None) -> DataFrame:
         """Stored reviews with `aspects` as a list."""

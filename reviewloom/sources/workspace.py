@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The default size of a scan split.
-SPLIT_BYTES = 128 << 20
-
 _local_base: dict[str, str] = {}
 
 
@@ -39,19 +36,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.getContentSummary(hadoop_path).getLength()
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores when it is too small to be split well by the scan.
-
-    A file with one row group is one task however many cores there are. Below one scan split per core the rows
-    are dealt out again, which moves at most that much data; larger tables are read as they are stored.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if path_bytes(spark, path) < cores * SPLIT_BYTES else df
+    """A Parquet table as it is stored. How it is split is the scan's business (`spark.sql.files.maxPartitionBytes`)."""
+    return spark.read.parquet(path)

@@ -168,7 +168,7 @@ STEPS: dict[str, str] = {
   FROM per_label)""",
     # Multinomial naive Bayes with add-one smoothing, trained on the rated reviews.
     "tokens": r"""tokens AS (
-  SELECT rid, word FROM (SELECT rid, unnest(string_split_regex(lower(clean_light), '\W+')) AS word FROM light) WHERE word <> '')""",
+  SELECT rid, word FROM (SELECT rid, unnest(string_split_regex(lower(clean_light), '[^\p{L}\p{N}_]+')) AS word FROM light) WHERE word <> '')""",
     "class_words": """class_words AS (
   SELECT truth, word, count(*) AS n FROM tokens JOIN truth USING (rid) WHERE truth IS NOT NULL GROUP BY truth, word)""",
     "class_stats": """class_stats AS (
@@ -318,6 +318,13 @@ def oracle_sql() -> dict[str, str]:
       CROSS JOIN (VALUES ('docs_en'), ('docs_none'), ('2-HIGH')) AS w(wanted) GROUP BY wanted""", "reviews", "both")
     q["filter_reviews"] = _sql("""SELECT review_text, sentiment, confidence, aspects, rating, review_date FROM analyzed
       WHERE sentiment IN ('negative', 'neutral') AND list_has_any(string_split(aspects, ','), ['delivery', 'ux'])""", "analyzed")
+    q["topic_place"] = """WITH parts AS (SELECT label AS topic, unnest(range(1, len(embedding) + 1)) AS at, unnest(embedding)::DOUBLE AS x FROM embeddings),
+      centers AS (SELECT topic, list(x ORDER BY at) AS center FROM (SELECT topic, at, round_even(avg(x), 9) AS x FROM parts GROUP BY ALL) GROUP BY topic),
+      far AS (SELECT vec_id, topic, sqrt(list_sum(list_transform(range(1, len(center) + 1), lambda i: (embedding[i]::DOUBLE - center[i]) * (embedding[i]::DOUBLE - center[i])))) AS d
+              FROM embeddings CROSS JOIN centers),
+      near AS (SELECT vec_id, arg_min(topic, (d, topic)) AS topic, min(d) AS d FROM far GROUP BY vec_id),
+      limits AS (SELECT topic, quantile_disc(d, 0.95) AS most FROM near GROUP BY topic)
+      SELECT vec_id, CASE WHEN d > most THEN -1 ELSE topic END AS topic, round_even(d, 6) AS topic_distance FROM near JOIN limits USING (topic)"""
     q["null_counts"] = _sql(" UNION ALL ".join(
         f"SELECT {i} AS ordinal, '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM reviews"
         for i, c in enumerate(["review_id", "dataset_id", "review_text", "rating", "review_date"])), "reviews", "both")

@@ -195,7 +195,8 @@ def dataset_exists(spark, sf_dir):
 
 @register
 def filter_reviews(spark, sf_dir):
-    return joined_aspects(aspects.filter_reviews(analyze(reviews(spark, sf_dir)), ["negative", "neutral"], ["delivery", "ux"]))
+    stored = stored_reviews(spark, sf_dir).reviews().where(F.col("dataset_id").startswith("docs_"))
+    return joined_aspects(aspects.filter_reviews(stored, ["negative", "neutral"], ["delivery", "ux"]))
 
 
 @register
@@ -215,8 +216,7 @@ def duplicate_review_rows(spark, sf_dir):
 
 @register
 def unmatched_reviews(spark, sf_dir):
-    tagged = aspects.tag_aspects(cleaning.preprocess(both(spark, sf_dir)))
-    return aspects.unmatched(tagged).select("dataset_id", "review_id", "clean_deep")
+    return aspects.unmatched(stored_reviews(spark, sf_dir).reviews()).select("dataset_id", "review_id", "clean_deep")
 
 
 @register
@@ -389,6 +389,17 @@ def topic_assign(spark, sf_dir):
     return placed.select("vec_id", "topic", F.bround("topic_distance", 6).alias("topic_distance"))
 
 
+@register
+def topic_place(spark, sf_dir):
+    """The embeddings placed on given centers, the means of their labels."""
+    vectors = table(spark, sf_dir, "embeddings")
+    parts = vectors.select(F.col("label").alias("topic"), F.posexplode("embedding").alias("at", "x"))
+    means = parts.groupBy("topic", "at").agg(F.bround(F.avg(F.col("x").cast("double")), 9).alias("x"))
+    centers = means.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("center"))
+    placed = topics.place_on_centers(vectors, centers)
+    return placed.select("vec_id", "topic", F.bround("topic_distance", 6).alias("topic_distance"))
+
+
 @register
 def topic_assign_text(spark, sf_dir):
     stored = stages.write_stage(light_reviews(reviews(spark, sf_dir)), fresh_path(spark, "light"))

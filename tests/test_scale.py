@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import time
 
 import pytest
+
+from collections import Counter
+
+
 from pyspark.sql import functions as F
 
 from reviewloom.operators import aspects, cleaning, profiling, strategy, summary, topics
-from reviewloom.operators.joins import broadcast_if_small
 from reviewloom.plans.analyze import analyze
+from reviewloom.operators.scoring import score_lexicon
 from reviewloom.sources.store import ReviewStore
 
 
@@ -92,8 +96,23 @@ def test_topic_terms_are_combined_before_the_shuffle(hot):
     assert plan.index("Exchange hashpartitioning") < plan.index("partial_count")
 
 
-def test_broadcast_needs_a_bound(spark):
-    small, large = spark.range(10), spark.range(11)
-    assert "isBroadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString() or \
-        "broadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString()
-    assert broadcast_if_small(large, 10) is large
+def test_a_save_reads_no_older_dataset(spark, tmp_path, monkeypatch):
+    store = ReviewStore(spark, str(tmp_path))
+    rows = [(1, "fine", "positive", 0.5, ["price"], "old")]
+    schema = "review_id long, review_text string, sentiment string, confidence double, aspects array<string>, dataset_id string"
+    store.save_analysis(spark.createDataFrame(rows, schema))
+    monkeypatch.setattr(store, "_read", lambda table: pytest.fail("the store was read"))
+    store.save_analysis(spark.createDataFrame([(*rows[0][:5], "new")], schema))
+    monkeypatch.undo()
+    assert {r.dataset_id for r in store.reviews().collect()} == {"old", "new"} == {r.dataset_id for r in store.aspects().collect()}
+
+
+def test_context_scorer_is_linear_in_capitals(spark):
+    def seconds(text):
+        df = spark.createDataFrame([(text,)] * 2, "clean_light string").coalesce(1)
+        started = time.perf_counter()
+        score_lexicon(df).collect()
+        return time.perf_counter() - started
+    small = " ".join(["good"] * 16_000)
+    seconds("good")
+    assert seconds(small.upper()) < 2 * seconds(small) + 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import vocab
 from reviewloom.functions import sentiment as sent
-from reviewloom.functions.lookup import MAX_LITERAL_ENTRIES, lookup
+from reviewloom.functions.lookup import lookup
 from reviewloom.functions.numeric import rating_label
 from reviewloom.operators import scoring
 
@@ -121,8 +121,9 @@ def test_lookup_of_any_key(spark):
     df = spark.createDataFrame([(k,) for k in [*table, "none"]], "k string")
     found = {r["k"]: r["v"] for r in df.select("k", lookup(F.col("k"), table, "string").alias("v")).collect()}
     assert found == {**table, "none": None}
-    with pytest.raises(ValueError):
-        lookup(F.col("k"), {str(i): 1 for i in range(MAX_LITERAL_ENTRIES + 1)}, "int")
+    large = {str(i): i for i in range(25_000)}
+    df = spark.createDataFrame([("24999",), ("7",), ("x",)], "k string")
+    assert [r["v"] for r in df.select(lookup(F.col("k"), large, "int").alias("v")).collect()] == [24999, 7, None]
 
 
 def test_trained_model_learns_the_ratings(spark):
@@ -153,3 +154,14 @@ def test_run_sentiment_needs_one_model_and_optional_ratings(spark):
         scoring.run_sentiment(df)
     out = scoring.run_sentiment(df, load_model=lambda: lambda texts: [("neutral", 0.5) for _ in texts])
     assert "rating_sentiment" not in out.columns and out.first()["vader_label"] == "positive"
+
+
+def test_model_reads_any_script_and_any_number_of_words(spark):
+    rows = [(i, "отлично superb café " if i % 2 else "ужасно caf ", 5.0 if i % 2 else 1.0) for i in range(20)]
+    rows += [(100 + i, " ".join(f"w{i}x{j}" for j in range(3000)), 3.0) for i in range(100)]  # more words than any vocabulary bound
+    df = spark.createDataFrame(rows, "i long, clean_light string, rating double")
+    model = scoring.fit_sentiment_model(df)
+    assert model.words.count() == 300_000 + 5
+    ask = spark.createDataFrame([(1, "отлично"), (2, "ужасно"), (3, "café"), (4, "caf"), (5, "w7x2999 w7x1"), (6, None)], "i long, clean_light string")
+    said = {r.i: r.transformer_label for r in scoring.score_model(ask, model).collect()}
+    assert [said[i] for i in range(1, 6)] == ["positive", "negative", "positive", "negative", "neutral"] and said[6] == "neutral"

@@ -119,6 +119,21 @@ def test_shared_folder_is_the_named_one(spark):
     assert workspace.fresh_path(spark, "x") != workspace.fresh_path(spark, "x")
 
 
-def test_small_tables_are_spread_over_the_cores(spark):
-    df = workspace.read_table(spark, "/root/testdata/sf0.001/documents.parquet")
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_uploads_with_odd_values_are_stored(spark, tmp_path):
+    from reviewloom.sources.store import ReviewStore
+    store = ReviewStore(spark, str(tmp_path))
+    rows = [("a-17", "fine", "5 stars", "positive", 0.5, ["price"]), ("a-18", "bad", "1", "negative", 0.5, [])]
+    store.save_analysis(spark.createDataFrame(rows, "review_id string, review_text string, rating string, sentiment string, confidence double, aspects array<string>"), "up")
+    got = {r.source_id: r for r in store.reviews("up").collect()}
+    assert (got["a-17"].rating, got["a-18"].rating) == (None, 1.0) and got["a-17"].review_id != got["a-18"].review_id
+    assert [r.review_id for r in store.aspects("up").collect()] == [got["a-17"].review_id]
+
+
+def test_clashing_column_names_are_refused(spark):
+    import pytest
+    from reviewloom.schema import ColumnMapping
+    df = spark.createDataFrame([("x", "1", "2")], "review_text string, Stars string, rating string")
+    with pytest.raises(ValueError):
+        ColumnMapping(rating="Stars").apply(df)
+    with pytest.raises(ValueError):
+        ColumnMapping("Stars", "Stars").apply(df)
