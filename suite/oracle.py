@@ -318,8 +318,8 @@ def oracle_sql() -> dict[str, str]:
       CROSS JOIN (VALUES ('docs_en'), ('docs_none'), ('2-HIGH')) AS w(wanted) GROUP BY wanted""", "reviews", "both")
     q["filter_reviews"] = _sql("""SELECT review_text, sentiment, confidence, aspects, rating, review_date FROM analyzed
       WHERE sentiment IN ('negative', 'neutral') AND list_has_any(string_split(aspects, ','), ['delivery', 'ux'])""", "analyzed")
-    q["topic_place"] = """WITH parts AS (SELECT label AS topic, unnest(range(1, len(embedding) + 1)) AS at, unnest(embedding)::DOUBLE AS x FROM embeddings),
-      centers AS (SELECT topic, list(x ORDER BY at) AS center FROM (SELECT topic, at, round_even(avg(x), 9) AS x FROM parts GROUP BY ALL) GROUP BY topic),
+    q["topic_place"] = """WITH parts AS (SELECT label AS topic, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+      centers AS (SELECT topic, list(x ORDER BY pos) AS center FROM (SELECT topic, pos, round_even(avg(x), 9) AS x FROM parts GROUP BY ALL) GROUP BY topic),
       far AS (SELECT vec_id, topic, sqrt(list_sum(list_transform(range(1, len(center) + 1), lambda i: (embedding[i]::DOUBLE - center[i]) * (embedding[i]::DOUBLE - center[i])))) AS d
               FROM embeddings CROSS JOIN centers),
       near AS (SELECT vec_id, arg_min(topic, (d, topic)) AS topic, min(d) AS d FROM far GROUP BY vec_id),

@@ -140,7 +140,7 @@ def ingest_upload(spark, sf_dir):
 
 @register
 def load_analysis(spark, sf_dir):
-    return joined_aspects(stored_reviews(spark, sf_dir).load_analysis("docs_fr")).drop("dataset_id")
+    return joined_aspects(stored_reviews(spark, sf_dir).load_analysis("docs_fr")).drop("dataset_id", "source_id")
 
 
 @register
