@@ -11,36 +11,41 @@ from reviewloom.llm.common import SPACES, word_list
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+WINDOW = 8  # words; made by joining runs of 1, 2 and 4
 
 BUCKETS = 10_000
 SCALE = 1 << 20  # ratios are summed as whole numbers of 1/SCALE, so that the verdict depends on no order of additions
 
 
-def ngram_buckets(words: Column) -> Column:
-    """The buckets of all words and all pairs of neighbours."""
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    ones = F.transform(words, lambda w: bucket(F.xxhash64(w)))
-    twos = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), bucket(F.xxhash64(a, b))))
-    return F.concat(ones, F.slice(twos, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def joined(runs: Column, step: int) -> Column:
+    """The hashes of runs of `step` words, each joined with the run after it: the hashes of all runs of twice as many words."""
+    left = F.greatest(F.size(runs) - step, F.lit(0))
+    return F.zip_with(F.slice(runs, F.lit(1), left), F.slice(runs, F.lit(step + 1), left), lambda a, b: F.xxhash64(a, b))
+
+
+def bucket(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(BUCKETS)).cast("int")
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """`docs` (with `words` and a non-null `text`) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """`docs` (with a non-null `text`, `hashes` of its words and `pairs` of neighbours) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.col("text")
-    count = F.size("words")
+    count = F.size("hashes")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    windows = F.when(count >= WINDOW, F.transform(F.sequence(F.lit(1), count - WINDOW + 1), lambda i: F.xxhash64(F.slice("_hashed", i, WINDOW))))
     with_lines = docs.withColumns({
         "n_words": count.cast("long"), "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"), "_lines": lines, "_hashed": hashed})
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"), "_lines": lines, "_fours": joined(F.col("pairs"), 2)})
     with_windows = with_lines.withColumns({
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_windows": windows})
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_windows": joined(F.col("_fours"), 4)})
     repeats = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), repeated_words(F.col("_windows"))).otherwise(0)
     counted = with_windows.withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("_lines", "_hashed", "_windows")
+    return counted.withColumn("base_failed", failed).drop("_lines", "_fours", "_windows")
 
 
 def repeated_words(windows: Column) -> Column:
@@ -72,8 +77,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, target_rows: int) -> list[
     """log(p_target / p_raw) of each bucket, in 1/SCALE. Raw counts cover every document, target counts the trusted
     ones; both are smoothed by one. The result has one number per bucket."""
     trusted = F.broadcast(trusted_ids(labels, target_rows).withColumn("_trusted", F.lit(1)))
-    grams = (docs.select("doc_id", ngram_buckets(word_list(F.col("text"))).alias("g")).join(trusted, "doc_id", "left")
-             .select(F.explode("g").alias("g"), F.coalesce("_trusted", F.lit(0)).alias("t")))
+    grams = (docs.select("doc_id", hashes(word_list(F.col("text"))).alias("h")).join(trusted, "doc_id", "left")
+             .select("_trusted", F.explode(F.concat("h", joined(F.col("h"), 1))).alias("g"))
+             .select(bucket(F.col("g")).alias("g"), F.coalesce("_trusted", F.lit(0)).alias("t")))
     counts = {r["g"]: (r["t"], r["n"]) for r in grams.groupBy("g").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
     target, raw = sum(t for t, _ in counts.values()), sum(n for _, n in counts.values())
     if not target:
@@ -93,10 +99,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.05, targe
     ratios = F.expr("array(" + ", ".join(f"{r}L" for r in log_ratios(docs, labels, target_rows=target_rows)) + ")")
     body = F.coalesce(F.col("text"), F.lit(""))
     more = [] if own is None else [own.alias("_own")]
-    read = docs.select("doc_id", body.alias("text"), word_list(F.col("text")).alias("words"), *more)
-    scored = base_columns(read).withColumn("_g", ngram_buckets(F.col("words")))
-    total = F.aggregate("_g", F.lit(0).cast("long"), lambda s, g: s + F.get(ratios, g))
-    score = total / F.nullif(F.size("_g"), F.lit(0)) / SCALE
+    read = (docs.select("doc_id", body.alias("text"), hashes(word_list(F.col("text"))).alias("hashes"), *more)
+            .withColumn("pairs", joined(F.col("hashes"), 1)))
+    scored = base_columns(read)
+    add = lambda s, g: s + F.get(ratios, bucket(g))
+    total = F.aggregate("pairs", F.aggregate("hashes", F.lit(0).cast("long"), add), add)
+    score = total / F.nullif(F.size("hashes") + F.size("pairs"), F.lit(0)) / SCALE
     judged = scored.withColumn("score", F.coalesce(score, F.lit(0.0)))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score",

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -44,7 +45,7 @@ def signed(x):
 def grams(text):
     words = [w.encode() for w in words_of(text)]
     ones = [xxhash.xxh64_intdigest(w, seed=42) for w in words]
-    twos = [xxhash.xxh64_intdigest(b, seed=h) for h, b in zip(ones, words[1:])]
+    twos = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(ones, ones[1:])]
     return [signed(h) % quality.BUCKETS for h in ones + twos]
 
 
