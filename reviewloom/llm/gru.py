@@ -168,7 +168,7 @@ def train(features: np.ndarray, mask: np.ndarray, document: np.ndarray, labels:
     return net
 
 
-def predict(net: Network, features: np.ndarray, mask: np.ndarray, batch: int = 2048) -> np.ndarray:
+def predict(net: Network, features: np.ndarray, mask: np.ndarray, batch: int = 512) -> np.ndarray:
     forward, backward = net.inputs("f"), net.inputs("b")
     out = []
     for at in range(0, features.shape[1], batch):

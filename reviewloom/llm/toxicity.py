@@ -60,7 +60,7 @@ class Model:
         if not len(self.known):
             return np.zeros(hashes.shape, np.int64)
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at + 1, 0)
+        return np.where(self.known[at] == hashes, at + 1, 0).astype(np.int32)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """The score of each text: the largest over its windows; a text without words has that of an empty window."""
@@ -110,18 +110,28 @@ def fit(texts: list[str | None], labels: np.ndarray, *, features: int, least: in
     """A model of labelled texts. Features are those of at least `least` texts, the `features` most common ones."""
     if len(set(labels.tolist())) < 2:
         return Model(np.empty(0, np.uint64), None)
-    data, first = text_bytes(pa.array(texts, pa.string()))
-    starts, lengths = word_spans(data)
-    words = np.diff(np.searchsorted(starts, np.append(first, len(data))))
-    hashes = word_features(data, starts, lengths)
+    parts = []
+    for at in range(0, len(texts), 200):  # the arrays of a step are some fifty times as large as its texts
+        data, first = text_bytes(pa.array(texts[at: at + 200], pa.string()))
+        starts, lengths = word_spans(data)
+        parts.append((np.diff(np.searchsorted(starts, np.append(first, len(data)))), word_features(data, starts, lengths)))
+    words, hashes = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    del parts
     of_text = np.repeat(np.arange(len(texts)), words)
-    pairs = np.unique(np.stack([np.repeat(of_text, SLOTS).astype(np.uint64), hashes.ravel()]), axis=1)
-    found, counts = np.unique(pairs[1], return_counts=True)
-    useful = (counts >= least) & (found != 0)
-    found, counts = found[useful], counts[useful]
+    found, counts = [], []
+    for slot in range(SLOTS):  # hashes of different slots are different, so each slot is counted by itself
+        order = np.lexsort((of_text, hashes[:, slot]))
+        one, text = hashes[order, slot], of_text[order]
+        new = np.r_[True, one[1:] != one[:-1]] & (one != 0)
+        first_of_text = (np.r_[True, (one[1:] != one[:-1]) | (text[1:] != text[:-1])] & (one != 0)).astype(np.int64)
+        found.append(one[new])
+        counts.append(np.add.reduceat(first_of_text, np.flatnonzero(new)) if new.any() else np.empty(0, np.int64))
+    found, counts = np.concatenate(found), np.concatenate(counts)
+    found, counts = found[counts >= least], counts[counts >= least]
     model = Model(np.sort(found[np.lexsort((found, -counts))[:features]]), None)
     place, mask, text = _windows(words)
-    rows = model.rows(hashes)[place].astype(np.int32)
+    rows = model.rows(hashes)[place]
+    del hashes
     model.net = gru.train(rows, mask, text, labels.astype(np.int64), len(model.known) + 1, epochs=epochs, seed=seed)
     return model
 
