@@ -125,3 +125,11 @@ def test_parse_date(spark):
     texts = ["2026-03-01", "2026-03-01T10:00:00", "3/4/2026", "2026/3/4", "4 Mar 2026", "Mar 4, 2026", "nan", "2026", None, "2026-13-01"]
     dates = [d and d.isoformat() for d in apply(spark, txt.parse_date, texts)]
     assert dates == ["2026-03-01", "2026-03-01", *["2026-03-04"] * 4, None, None, None, None]
+
+
+def test_dates_in_common_layouts(spark):
+    cases = {"January 13, 2017": "2017-01-13", "13 January 2017": "2017-01-13", "1/13/2017 10:00": "2017-01-13", "01/13/17": "2017-01-13",
+             "20170113": "2017-01-13", "2017-01": "2017-01-01", "2017-01-13T10:00:00": "2017-01-13", "soon": None, "": None}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    found = {r["c"]: r["d"] for r in df.select("c", txt.parse_date(F.col("c")).cast("string").alias("d")).collect()}
+    assert found == cases
