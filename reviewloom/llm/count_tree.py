@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 GROUPS = 128          # groups of the tree's points
@@ -28,6 +30,15 @@ def coarse_counts(tokens: np.ndarray) -> np.ndarray:
     return folded(counts, max(GROUPS, len(counts) // 8)).astype(np.uint16)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as they travel: most are small, so they shrink to a fraction."""
+    return zlib.compress(counts.astype("<u2").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u2")
+
+
 def shared_bound(a: np.ndarray, b: np.ndarray) -> int:
     """Two sets share at most the sum of the smaller counts of each group, in the finest groups that both have."""
     groups = min(len(a), len(b))

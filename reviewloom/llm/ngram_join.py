@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import staged
 from reviewloom.llm.components import connected_components
-from reviewloom.llm.count_tree import CountTree, coarse_counts, group_counts, needed, shared_bound
+from reviewloom.llm.count_tree import CountTree, coarse_counts, group_counts, needed, packed, shared_bound, unpacked
 from reviewloom.llm.shingles import mixed, shingle_sets, slices
 
-SAMPLE = 64        # one document in so many is looked at for frequent tokens, which only settles the order of tokens
-FREQUENT = 8       # times a frequent token occurs in the sample
+SAMPLE = 32        # one document in so many is looked at for frequent tokens, which only settles the order of tokens
+FREQUENT = 3       # times a frequent token occurs in the sample
 MOST_FREQUENT = 100_000  # the list of frequent tokens holds at most so many
 BLOCK = 2_000      # points of a bucket in one block of the tree join
 
@@ -81,8 +81,8 @@ def points(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> D
                     rare.append(_longs(first))
                     common.append(_longs(tokens[hot][: length - len(first)]))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([group_counts(f).tobytes() for f in found], pa.binary()),
-                     pa.array([coarse_counts(f).tobytes() for f in found], pa.binary()), pa.array([_whole(f) for f in found], pa.binary()), _lists(rare), _lists(common)],
+                    [some.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([packed(group_counts(f)) for f in found], pa.binary()),
+                     pa.array([packed(coarse_counts(f)) for f in found], pa.binary()), pa.array([_whole(f) for f in found], pa.binary()), _lists(rare), _lists(common)],
                     names=["doc_id", "n", "counts", "coarse", "whole", "rare", "common"])
 
     return docs.select("doc_id", "text").mapInArrow(route, "doc_id long, n long, counts binary, coarse binary, whole binary, rare array<long>, common array<long>")
@@ -110,7 +110,7 @@ def _bounded(stars: DataFrame, routed: DataFrame, percent: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            read = (np.frombuffer(x.as_py(), np.uint16) for c in (4, 5) for x in batch.column(c))
+            read = (unpacked(x.as_py()) for c in (4, 5) for x in batch.column(c))
             counts = list(read)
             good = pa.array([shared_bound(x, y) >= n for x, y, n in zip(counts[: batch.num_rows], counts[batch.num_rows:], least.tolist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in (0, 1, 6)], names=["a", "b", "same"])
@@ -146,7 +146,7 @@ def _tree_pairs(meetings: DataFrame, labels: DataFrame, routed: DataFrame, perce
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches, 3):
             nodes, sizes, labels = (held.column(c).to_numpy() for c in ("node", "n", "label"))
-            tree = CountTree([np.frombuffer(c, np.uint16) for c in held.column("counts").to_pylist()], sizes)
+            tree = CountTree([unpacked(c) for c in held.column("counts").to_pylist()], sizes)
             a, b = tree.join(percent, labels)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[a], nodes[b])), pa.array(np.minimum(nodes[a], nodes[b]))], names=["a", "b"])
