@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import SPACES, word_list
+from reviewloom.llm.common import SPACES, staged, word_list
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -112,6 +112,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = -0.05, targe
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **rules) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with the columns of `docs`."""
+    """The rows of `docs` that `judge` keeps, with the columns of `docs`. The verdicts are stored first: a filter on them
+    would be copied below every projection they are made in."""
     own = F.struct(*[F.col(c) for c in docs.columns])
-    return judge(docs, labels, own=own, **rules).filter("kept").select("_own.*")
+    return staged(judge(docs, labels, own=own, **rules).select("_own", "kept"), "quality").filter("kept").select("_own.*")

@@ -63,11 +63,11 @@ class Model:
         return np.where(self.known[at] == hashes, at + 1, 0).astype(np.int32)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The score of each text: the largest over its windows; a text without words has that of an empty window."""
+        """The score of each text: the largest over its windows, 0 without words."""
         data, first = text_bytes(texts)
         starts, lengths = word_spans(data)
         words = np.diff(np.searchsorted(starts, np.append(first, len(data))))
-        out = np.full(len(texts), self.empty_score, np.float32)
+        out = np.zeros(len(texts), np.float32)
         if self.net is None or not len(starts):
             return out
         hashes = word_features(data, starts, lengths)
@@ -81,26 +81,12 @@ class Model:
             np.maximum.at(out, text[at: at + 2048], p)
         return out
 
-    @property
-    def empty_score(self) -> float:
-        return self._cached[1]
-
     @property
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return self._cached[0]
-
-    @property
-    def _cached(self):
-        if "_kept" not in self.__dict__:
-            if self.net is None:
-                self._kept = (None, 0.0)
-            else:
-                empty = np.zeros((gru.WIDTH, 1, 3 * gru.HIDDEN), np.float32)
-                mask = np.zeros((gru.WIDTH, 1), np.float32)
-                mask[0] = 1
-                score = float(gru.sigmoid(self.net.logits(empty, empty, mask))[0])
-                self._kept = ((self.net.inputs("f"), self.net.inputs("b")), score)
-        return self._kept
+        """What each row adds to the gates, made once per process."""
+        if "_tables" not in self.__dict__:
+            self._tables = (self.net.inputs("f"), self.net.inputs("b"))
+        return self._tables
 
     def __getstate__(self):
         return {"known": self.known, "net": self.net}
@@ -132,6 +118,11 @@ def fit(texts: list[str | None], labels: np.ndarray, *, features: int, least: in
     place, mask, text = _windows(words)
     rows = model.rows(hashes)[place]
     del hashes
+    # Windows without any known word, labelled 0, so that no evidence counts as clean.
+    blank = max(8, len(texts) // 50)
+    rows = np.concatenate([rows, np.zeros((gru.WIDTH, blank, SLOTS), rows.dtype)], axis=1)
+    mask = np.concatenate([mask, np.ones((gru.WIDTH, blank), mask.dtype)], axis=1)
+    text, labels = np.concatenate([text, len(texts) + np.arange(blank)]), np.concatenate([labels, np.zeros(blank, labels.dtype)])
     model.net = gru.train(rows, mask, text, labels.astype(np.int64), len(model.known) + 1, epochs=epochs, seed=seed)
     return model
 
@@ -175,7 +166,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **training) -> DataFrame
     """doc_id, held_out, score, predicted for every row of `docs`.
 
     The score looks at the text alone: all its windows of WIDTH words, each overlapping the next by half. Null and
-    blank texts get the score of a window without known words; without labels of both kinds every score is 0. Repeated
+    blank texts score 0; without labels of both kinds every score is 0. Repeated
     rows score alike; rows without doc_id count as not held out. `training` goes to `fitted`.
     """
     return scored(docs.select("text", "doc_id"), fitted(docs, labels, **training)).select(

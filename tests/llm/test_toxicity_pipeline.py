@@ -124,6 +124,7 @@ def test_pipeline(spark):
     kept = [[r.doc_id for r in d.collect()] for d in inputs]
     assert sorted(kept[1]) == sorted(r.doc_id for r in quality.judge(docs, labels).filter("kept").collect())
     assert sorted(kept[2]) == sorted(r.doc_id for r in toxicity.score_documents(inputs[1], labels).filter("predicted = 0").collect())
+    assert len(kept[2]) > 0.7 * len(kept[1])  # most documents are clean
     groups = brute_force([(r.doc_id, r.text) for r in inputs[2].collect()])
     assert sorted(kept[3]) == sorted(i for i, _, c in groups if i == c)
     share = {r.doc_id: r for r in mixing.mix_documents(inputs[3]).collect()}
