@@ -52,3 +52,27 @@ def test_constants():
 def test_plan_has_no_python(spark, awkward):
     plan = licenses.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licences_beyond_the_first(spark):
+    bsd, s = ["bsd-grant", "bsd-source", "bsd-binary"], licenses.SENTENCES
+    names = ["the copyright holder", "Google Inc.", "the University", "the <organization>", "Foo, Inc.\nand Bar Ltd."]
+    clause = "Neither the name of {} nor the names of its contributors\nmay be used to endorse or promote products derived from\nthis software without specific prior written permission."
+    cases = [(wrapped(bsd) + "\n" + clause.format(n), "BSD-3-Clause", 0) for n in names]
+    cases += [(wrapped(bsd), "BSD-2-Clause", 0), (clause.format("X"), "", 1),
+              (wrapped(bsd) + "\n3. The name of the author may not be used to endorse or promote products\n derived from this software without permission.", "BSD-3-Clause", 0),
+              (wrapped([*bsd, "bsd-advert"]) + "\nThis product includes software of X.\n" + clause.format("X"), "BSD-4-Clause", 0),
+              (wrapped([*bsd, "apache11-ack"]) + "\nThe names \"A\" must not be used to endorse or promote products derived from this software.", "Apache-1.1", 0)]
+    cases += [(wrapped([*n.split()]), licence, 0) for n, licence in [
+        ("gpl2-only gpl-hope gpl-details", "GPL-2.0-only"), ("gpl2-only-2", "GPL-2.0-only"), ("gpl2-later gpl-hope gpl-details", "GPL-2.0-or-later"),
+        ("lgpl21-later lgpl-hope lgpl-details", "LGPL-2.1-or-later"), ("lgpl2-later", "LGPL-2.0-or-later"), ("lgpl3-later-2 gpl-hope lgpl-details", "LGPL-3.0-or-later"),
+        ("agpl3-later gpl-hope agpl-details", "AGPL-3.0-or-later"), ("unlicense-free unlicense-anyone", "Unlicense"), ("boost-grant", "BSL-1.0"),
+        ("epl1-notice", "EPL-1.0"), ("epl2-notice", "EPL-2.0")]]
+    mark = "SPDX-License-Identifier: "
+    cases += [(f"// {mark}MIT\nint x;", "MIT", 0), (f"/* {mark}GPL-2.0 WITH Linux-syscall-note */", "GPL-2.0-only", 0), (f"# {mark}GPL-2.0+", "GPL-2.0-or-later", 0),
+              (f"<!-- (c) X {mark}(MIT OR Apache-2.0) AND BSD-3-Clause -->", "MIT,Apache-2.0,BSD-3-Clause", 0), (f"{mark}LicenseRef-mine\n", "", 1),
+              (f"{mark.lower()}lgpl-2.1-or-later", "LGPL-2.1-or-later", 0), (mark, "", 0), (f"{mark}MIT\n{s['mit-notice']}", "MIT,MIT", 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_unexplained) for r in licenses.scan(docs).collect()}
+    assert {i: (got[i], t) for i, (t, licence, rest) in enumerate(cases) if got[i] != (licence, rest)} == {}
+    assert [r.sentences for r in licenses.scan(docs).filter("doc_id = 21").collect()] == ["spdx-MIT"]
