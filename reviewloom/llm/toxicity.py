@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reviewloom.llm import gru
+from reviewloom.llm.common import SPACES
 from reviewloom.llm.shingles import _LOWER, _power_tables, mixed, slices
 from reviewloom.llm.token_counts import text_bytes, word_spans
 
 BEGINNINGS = (4, 5, 6, 7, 8)
+PIECES = 16  # of a long toxic text in training at most
 SLOTS = 1 + len(BEGINNINGS)
 IS_EDGE = np.zeros(256, bool)  # marks that are not part of a word when they stand at its edge
 IS_EDGE[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -92,50 +95,96 @@ class Model:
         return {"known": self.known, "net": self.net}
 
 
+class Looked:
+    """Features of windows as rows of a table of words, looked up when asked for."""
+
+    def __init__(self, table: np.ndarray, index: np.ndarray):
+        self.table, self.index, self.shape = table, index, (*index.shape, table.shape[1])
+
+    def __getitem__(self, key) -> np.ndarray:
+        return self.table[self.index[key]]
+
+
+def _steps(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, up to 500,000 characters at a time: the arrays of a step are some fifty times as large as its texts."""
+    size = np.cumsum([len(t or "") for t in texts]) // 500_000
+    for step in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
+        yield [texts[i] for i in step]
+
+
 def fit(texts: list[str | None], labels: np.ndarray, *, features: int, least: int, epochs: int, seed: int) -> Model:
     """A model of labelled texts. Features are those of at least `least` texts, the `features` most common ones."""
     if len(set(labels.tolist())) < 2:
+        warnings.warn("toxicity: no labelled texts of both kinds among the documents, every score is 0 and nothing is filtered", stacklevel=2)
         return Model(np.empty(0, np.uint64), None)
-    parts = []
-    for at in range(0, len(texts), 200):  # the arrays of a step are some fifty times as large as its texts
-        data, first = text_bytes(pa.array(texts[at: at + 200], pa.string()))
+    words, keys, hashes, places = [], [], [], []
+    for step in _steps(texts):
+        data, first = text_bytes(pa.array(step, pa.string()))
         starts, lengths = word_spans(data)
-        parts.append((np.diff(np.searchsorted(starts, np.append(first, len(data)))), word_features(data, starts, lengths)))
-    words, hashes = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    del parts
-    of_text = np.repeat(np.arange(len(texts)), words)
+        words.append(np.diff(np.searchsorted(starts, np.append(first, len(data)))))
+        some = word_features(data, starts, lengths)
+        key, once, again = np.unique(some[:, 0], return_index=True, return_inverse=True)
+        keys.append(key)
+        hashes.append(some[once])
+        places.append(again.astype(np.int32))
+    words = np.concatenate(words)
+    _, once, again = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    hashes, ends = np.concatenate(hashes)[once], np.cumsum([len(k) for k in keys])
+    word = np.concatenate([again[end - len(k): end].astype(np.int32)[at] for k, end, at in zip(keys, ends, places)])
+    del keys, places
+    pairs = np.unique(np.repeat(np.arange(len(texts)), words) * max(1, len(hashes)) + word)
+    of_text, of_word = pairs // max(1, len(hashes)), pairs % max(1, len(hashes))
     found, counts = [], []
     for slot in range(SLOTS):  # hashes of different slots are different, so each slot is counted by itself
-        order = np.lexsort((of_text, hashes[:, slot]))
-        one, text = hashes[order, slot], of_text[order]
-        new = np.r_[True, one[1:] != one[:-1]] & (one != 0)
-        first_of_text = (np.r_[True, (one[1:] != one[:-1]) | (text[1:] != text[:-1])] & (one != 0)).astype(np.int64)
-        found.append(one[new])
-        counts.append(np.add.reduceat(first_of_text, np.flatnonzero(new)) if new.any() else np.empty(0, np.int64))
+        one, at = np.unique(hashes[:, slot], return_inverse=True)
+        once = np.unique(at[of_word] * len(texts) + of_text)
+        found.append(one[one != 0])
+        counts.append(np.bincount(once // len(texts), minlength=len(one))[one != 0])
     found, counts = np.concatenate(found), np.concatenate(counts)
     found, counts = found[counts >= least], counts[counts >= least]
     model = Model(np.sort(found[np.lexsort((found, -counts))[:features]]), None)
     place, mask, text = _windows(words)
-    rows = model.rows(hashes)[place]
-    del hashes
     # Windows without any known word, labelled 0, so that no evidence counts as clean.
     blank = max(8, len(texts) // 50)
-    rows = np.concatenate([rows, np.zeros((gru.WIDTH, blank, SLOTS), rows.dtype)], axis=1)
+    table = np.concatenate([model.rows(hashes), np.zeros((1, SLOTS), np.int32)])
+    index = np.concatenate([word[place], np.full((gru.WIDTH, blank), len(hashes), np.int32)], axis=1)
+    del place
     mask = np.concatenate([mask, np.ones((gru.WIDTH, blank), mask.dtype)], axis=1)
     text, labels = np.concatenate([text, len(texts) + np.arange(blank)]), np.concatenate([labels, np.zeros(blank, labels.dtype)])
-    model.net = gru.train(rows, mask, text, labels.astype(np.int64), len(model.known) + 1, epochs=epochs, seed=seed)
+    model.net = gru.train(Looked(table, index), mask, text, labels.astype(np.int64), len(model.known) + 1, epochs=epochs, seed=seed)
     return model
 
 
+def room(sizes: np.ndarray, total: int, longest: int, most: int) -> int:
+    """How many bytes each text may bring, a multiple of `longest`, so that all together stay within `total`: `longest` at least, `most` times that at most."""
+    for times in range(most, 1, -1):
+        if np.minimum(sizes, times * longest).sum() <= total:
+            return times * longest
+    return longest
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int, longest: int):
-    """At most `per_label` labelled texts of each label, of at most `longest` bytes, in the order of a hash: the bounded sample that
-    the network is fitted on. Rows whose crc32(doc_id) mod 5 is 0 are never among them."""
+    """`per_label` labelled texts of `docs` of each label (all, if there are fewer), in the order of a hash: the bounded sample that the
+    network is fitted on. A text longer than its label's `room` brings pieces of about `longest` bytes, chosen by a hash,
+    from anywhere in it. Rows whose crc32(doc_id) mod 5 is 0 are never among them; neither are null and blank texts."""
     known = (labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    part = lambda t: known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-    chosen = part(0).unionByName(part(1))
-    return (docs.select("doc_id", "text").filter(F.octet_length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id")
-            .dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id"))
+    texts = docs.select("doc_id", "text").filter(F.btrim("text", F.lit(SPACES)) != "")
+    present = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes")).join(known, "doc_id")
+    parts = [present.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).toPandas() for t in (0, 1)]
+    # Any piece of a clean text is clean; what makes a text toxic may stand anywhere in it, so those bring more.
+    for part, most in zip(parts, (1, PIECES)):
+        part["room"] = room(part["bytes"].to_numpy(), per_label * longest, longest, most)
+    rows = [(i, int(t), int(r)) for part in parts for i, t, r in zip(part["doc_id"].tolist(), part["toxic"], part["room"])]
+    chosen = docs.sparkSession.createDataFrame(rows, StructType([present.schema["doc_id"], *StructType.fromDDL("toxic int, room int").fields]))
+    chars = F.ceil(F.char_length("text") / F.ceil(F.octet_length("text") / longest)).cast("int")
+    count = F.ceil(F.char_length("text") / chars).cast("int")
+    order = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i")))
+    taken = F.array_sort(F.transform(F.slice(F.array_sort(order), F.lit(1), (F.col("room") / longest).cast("int")), lambda x: x["i"]))
+    pieces = F.array_join(F.transform(taken, lambda i: F.substring("text", i * chars + 1, chars)), "\n")
+    cut = F.when(F.octet_length("text") <= F.col("room"), F.col("text")).otherwise(pieces)
+    return (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", cut.alias("text"))
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,7 +193,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, *, per_label: int = 5_000, longest: int = 2_500, features: int = 60_000, least: int = 5,
            epochs: int = 8, seed: int = 17) -> Model:
-    """The model of a bounded sample of the labelled rows of `docs`: `per_label` texts of each label, of at most `longest` bytes."""
+    """The model of a bounded sample of the labelled rows of `docs`: `per_label` texts of each label, `longest` bytes of each on average at most."""
     sample = training_rows(docs, labels, per_label=per_label, longest=longest)
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), features=features, least=least, epochs=epochs, seed=seed)
 
@@ -166,7 +215,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **training) -> DataFrame
     """doc_id, held_out, score, predicted for every row of `docs`.
 
     The score looks at the text alone: all its windows of WIDTH words, each overlapping the next by half. Null and
-    blank texts score 0; without labels of both kinds every score is 0. Repeated
+    blank texts score 0; without labels of both kinds every score is 0, with a warning. Repeated
     rows score alike; rows without doc_id count as not held out. `training` goes to `fitted`.
     """
     return scored(docs.select("text", "doc_id"), fitted(docs, labels, **training)).select(

@@ -85,6 +85,23 @@ def test_scores(spark, awkward, no_docs):
     assert toxicity.score_documents(no_docs, labels).count() == 0
 
 
+def test_training_on_long_texts_and_present_ids(spark):
+    """Labelled texts all longer than `longest`, and labels most of whose ids are not in the table."""
+    from pyspark.sql import functions as F
+    corpus = toxic_corpus(spark).filter("length(text) > 150")
+    long = corpus.withColumn("text", F.array_join(F.array_repeat("text", 8), " "))
+    labels = corpus.select("doc_id", "toxic").union(spark.range(10**6, 10**6 + 20_000).selectExpr("id", "cast(id % 2 as int)"))
+    sample = toxicity.training_rows(long, labels, per_label=100, longest=400)
+    assert (sample.groupby("toxic").size() == 100).all() and (sample["text"].str.len() > 300).all()
+    assert sample["text"].str.len().max() <= 16 * 410 and sample.equals(toxicity.training_rows(long.repartition(7), labels, per_label=100, longest=400))
+    few = toxicity.training_rows(long.withColumn("text", F.array_join(F.array_repeat("text", 100), " ")), labels, per_label=100, longest=400)
+    assert len(few) == 200 and (few["text"].str.len() <= 402).all()
+    rows = toxicity.score_documents(long, labels, longest=400).join(corpus, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
+    with pytest.warns(UserWarning, match="both kinds"):
+        toxicity.score_documents(long, labels.filter("toxic = 0"))
+
+
 def test_every_window_counts():
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), *(" ".join(words[:at] + ["vermin"] + words[at:]) for at in (0, 57, 200, 399)), "vermin", "", None]
