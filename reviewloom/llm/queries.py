@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import licenses, mixing, ngram_join, packing, quality, sharding, token_counts, token_files, topk, toxicity
+from reviewloom.llm import (divergence, licenses, mixing, ngram_join, packing, quality, resampling, sharding, token_counts, token_files, topk,
+                            toxicity)
 from reviewloom.llm.common import table
 from reviewloom.sources.workspace import fresh_path
 
@@ -91,6 +92,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_divergence"] = divergence.AUDIT_SQL
+
+
+@register
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_resampling"] = resampling.RESAMPLE_SQL
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
