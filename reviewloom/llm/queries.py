@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import (divergence, licenses, mixing, ngram_join, packing, quality, resampling, sharding, token_counts, token_files, topk,
-                            toxicity)
+from reviewloom.llm import (class_model, divergence, licenses, mixing, ngram_join, packing, quality, resampling, sharding, token_counts, token_files,
+                            topk, toxicity)
 from reviewloom.llm.common import table
 from reviewloom.sources.workspace import fresh_path
 
@@ -108,6 +108,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op12_resampling"] = resampling.RESAMPLE_SQL
 
 
+@register
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
