@@ -24,6 +24,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _quoted(value: object) -> str:
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_quoted(v) for v in value)})"
     return f"{value}D" if isinstance(value, float) else str(value)
 
 

@@ -50,6 +50,21 @@ def is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
+def boosted(value: Column, boost: Column, damping: Column, shouted: Column) -> Column:
+    """`value` after an intensifier of strength `boost`, that stands some words before and may be in capitals."""
+    return value + F.signum(value) * damping * (boost + F.when(shouted, F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0)))
+
+
+def negates(word: Column) -> Column:
+    return one_of(word, vocab.NEGATIONS) | word.contains("n't")
+
+
+def but_weight(position: Column, but_at: Column) -> Column:
+    """Weight of the word at `position` (from 0) when the first "but" is word `but_at` (from 1; 0: none)."""
+    return (F.when((but_at > 0) & (position + 1 < but_at), F.lit(vocab.BEFORE_BUT))
+            .when((but_at > 0) & (position + 1 > but_at), F.lit(vocab.AFTER_BUT)).otherwise(F.lit(1.0)))
+
+
 def context_valence_sum(words: Column, cased_words: Column, mixed: Column, but_at: Column, valences: Mapping[str, float]) -> Column:
     """Sum of word valences after the context rules: capitals, intensifiers and negation among the three words
     before, and the weight shift at the first "but".
@@ -67,11 +82,9 @@ def context_valence_sum(words: Column, cased_words: Column, mixed: Column, but_a
             damping = F.element_at(F.expr(f"array({', '.join(f'{d}D' for d in vocab.BOOST_DAMPING)})"), distance)
 
             def effect(before: Column) -> Column:
-                boosted = let(lookup(before, vocab.BOOSTERS, "double"), lambda boost: F.when(
-                    boost.isNotNull(), value + F.signum(value) * damping * (boost + F.when(
-                        shouted(position - distance), F.lit(vocab.CAPS_BOOST)).otherwise(F.lit(0.0)))).otherwise(value))
-                negated = one_of(before, vocab.NEGATIONS) | before.contains("n't")
-                scaled = boosted * F.when(negated, F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
+                raised = let(lookup(before, vocab.BOOSTERS, "double"), lambda boost: F.when(
+                    boost.isNotNull(), boosted(value, boost, damping, shouted(position - distance))).otherwise(value))
+                scaled = raised * F.when(negates(before), F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0))
                 # Most words change nothing, so that is asked first. A word with a valence of its own never does.
                 changes = (one_of(before, modifiers) | before.contains("n't")) & ~one_of(before, valences)
                 return F.when(changes, scaled).otherwise(value)
@@ -82,10 +95,7 @@ def context_valence_sum(words: Column, cased_words: Column, mixed: Column, but_a
         base = lookup(F.get(words, position), valences, "double")
         start = let(base, lambda v: v + F.when(shouted(position), F.signum(v) * vocab.CAPS_BOOST).otherwise(F.lit(0.0)))
         value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, look_back(position))
-        weight = (F.when((but_at > 0) & (position + 1 < but_at), F.lit(vocab.BEFORE_BUT))
-                  .when((but_at > 0) & (position + 1 > but_at), F.lit(vocab.AFTER_BUT))
-                  .otherwise(F.lit(1.0)))
-        return value * weight
+        return value * but_weight(position, but_at)
 
     hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: one_of(F.get(words, i), valences))
     return tidy_sum(F.aggregate(hits, F.lit(0.0), lambda total, i: total + contribution(i)))

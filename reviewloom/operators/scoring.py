@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,15 +48,61 @@ def score_lexicon_with_table(df: DataFrame, key: str, valences: DataFrame, text:
             .withColumn(label, sent.compound_label(F.col(score))).drop("_total"))
 
 
+def score_lexicon_context_with_table(df: DataFrame, key: str, valences: DataFrame, text: str = "clean_light",
+                                     score: str = "vader_score", label: str = "vader_label") -> DataFrame:
+    """Score with the context rules for a valence table `(word, valence)` of any size. `key` must be unique and not null.
+
+    Two kinds of words of a text go on: those the table knows, after the join, and intensifiers and negations that it
+    does not know. Each known word then looks back over a frame of three positions of its text. The sums are combined
+    before the shuffle that brings one number per text back to its row.
+    """
+    light = F.coalesce(F.col(text), F.lit(""))
+    texts = df.select(key, light.alias("_light"), sent.bare_words(light).alias("_words"), F.split(light, " ").alias("_cased"))
+    placed = texts.select(
+        key, F.exists("_cased", lambda w: ~sent.is_upper(w)).alias("mixed"), F.array_position("_words", "but").alias("but_at"),
+        F.posexplode_outer(F.arrays_zip(F.col("_words").alias("word"), F.col("_cased").alias("cased"))).alias("at", "w"))
+    words = placed.select(key, "at", "but_at", "w.word", (F.col("mixed") & sent.is_upper(F.col("w.cased"))).alias("shouted"))
+    known = valences.select("word", "valence")
+    shaping = sent.one_of(F.col("word"), [*vocab.BOOSTERS, *vocab.NEGATIONS]) | F.col("word").contains("n't")
+    hits = words.join(known, "word")
+    others = words.where(shaping).join(known, "word", "left_anti").withColumn("valence", F.lit(None).cast("double"))
+    before = Window.partitionBy(key).orderBy("at").rangeBetween(-len(vocab.BOOST_DAMPING), -1)
+    seen = hits.unionByName(others).withColumn("before", F.collect_list(F.when(F.col("valence").isNull(), F.struct("at", "word", "shouted"))).over(before))
+    value = F.col("valence") + F.when(F.col("shouted"), F.signum("valence") * vocab.CAPS_BOOST).otherwise(F.lit(0.0))
+    for distance, damping in enumerate(vocab.BOOST_DAMPING, 1):
+        value = _looked_back(value, distance, damping)
+    sums = (seen.where(F.col("valence").isNotNull()).groupBy(key)
+            .agg(F.sum(value * sent.but_weight(F.col("at"), F.col("but_at"))).alias("_total")))
+    total = sent.tidy_sum(F.coalesce("_total", F.lit(0.0)))
+    raised = sent.let(total, lambda t: t + F.signum(t) * sent.punctuation_emphasis(light))
+    return (df.join(sums, key, "left").withColumn(score, sent.let(raised, sent.normalize_compound))
+            .withColumn(label, sent.compound_label(F.col(score))).drop("_total"))
+
+
+def _looked_back(value: Column, distance: int, damping: float) -> Column:
+    """`value` after the word `distance` places before, if that is an intensifier or a negation."""
+    there = F.get(F.filter("before", lambda b: b["at"] == F.col("at") - distance), F.lit(0))
+
+    def effect(word: Column) -> Column:
+        boost = sent.lookup(word["word"], vocab.BOOSTERS, "double")
+        raised = F.when(boost.isNotNull(), sent.boosted(value, boost, F.lit(damping), word["shouted"])).otherwise(value)
+        return F.when(word.isNull(), value).otherwise(raised * F.when(sent.negates(word["word"]), F.lit(vocab.NEGATION_SCALE)).otherwise(F.lit(1.0)))
+    return sent.let(there, effect)
+
+
+HEAD = 4_096  # words of a model that travel with the plan
+
+
 @dataclass(frozen=True)
 class WordModel:
-    """Multinomial naive Bayes as a table: `words` (word, n: how often each class has it), stored, of any size, and one
-    number or two per class."""
+    """Multinomial naive Bayes as a table: `words` (word, n: how often each class has it), stored, of any size, one number
+    or two per class, and in `head` the HEAD commonest words with what each adds to the classes' scores."""
 
     words: DataFrame
     classes: list[int]
     priors: list[float]
     norms: list[float]
+    head: dict[str, list[float]]
 
 
 def tokens_of(text: Column) -> Column:
@@ -91,32 +137,46 @@ def fit_sentiment_model(df: DataFrame, text: str = "clean_light", rating: str =
     docs = {r["_target"]: r["count"] for r in rated.groupBy("_target").count().collect()}
     classes = sorted(docs)
     every = math.log(sum(docs.values()) + len(classes)) if classes else 0.0
-    return WordModel(words, classes, [math.log(docs[c] + 1) - every for c in classes],
-                     [math.log((total[f"n{c}"] or 0) + total["v"]) if total["v"] else 0.0 for c in classes])
+    norms = [math.log((total[f"n{c}"] or 0) + total["v"]) if total["v"] else 0.0 for c in classes]
+    commonest = words.orderBy(F.desc(F.aggregate("n", F.lit(0).cast("long"), lambda a, n: a + n)), "word").limit(HEAD).collect()
+    head = {r["word"]: [math.log(r["n"][c] + 1) - norm for c, norm in zip(classes, norms)] for r in commonest}
+    return WordModel(words, classes, [math.log(docs[c] + 1) - every for c in classes], norms, head)
 
 
 def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "clean_light", label: str = "transformer_label",
-                confidence: str = "transformer_confidence") -> DataFrame:
+                confidence: str = "transformer_confidence", key: str | None = None) -> DataFrame:
     """Add the most probable label and its probability. Null text is scored as ''.
 
-    With a word model, `df` is read twice and should be a stored table: its words are counted per text, joined to the
-    model's words and summed up again per text, one row per text in the second shuffle.
+    With a word model, the model's commonest words are scored within the row. Only the other words are shuffled, once, to
+    the model's table, so no word that stands in very many texts meets all its copies in one task; their sums, combined
+    before the next shuffle, come back by row. `key` names a unique column without nulls of a stored table; without it
+    `df` is stored first, so that its rows have keys that do not change. A streaming `df` needs another kind of model.
     """
     if not isinstance(model, WordModel):
         scored = model.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
         return (scored.withColumn(label, F.element_at(F.lit(vocab.EVALUATION_LABELS), F.col("_prediction").cast("int") + 1))
                 .withColumn(confidence, F.array_max(vector_to_array(F.col("_probability"))))
                 .drop("_text", "_tokens", "_features", "_raw", "_probability", "_prediction"))
-    keyed = df.withColumn("_doc", F.monotonically_increasing_id())
-    counted = keyed.select("_doc", F.explode(tokens_of(F.col(text))).alias("word")).groupBy("_doc", "word").count()
-    fits = [F.sum(F.col("count") * (F.log(F.col("n")[c] + 1) - norm)).alias(f"_f{c}") for c, norm in zip(model.classes, model.norms)]
-    sums = counted.join(model.words, "word").groupBy("_doc").agg(*fits)
-    scores = F.array(*[F.struct((F.coalesce(f"_f{c}", F.lit(0.0)) + prior).alias("s"), F.lit(-c).alias("c")) for c, prior in zip(model.classes, model.priors)])
+    if df.isStreaming:
+        raise ValueError("a word model joins texts to its table; give a streaming table a pipeline or a model of your own")
+    keyed, row = df, key
+    if key is None:
+        path, row = fresh_path(df.sparkSession, "to-score"), "_doc"
+        df.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+        keyed = df.sparkSession.read.parquet(path)
+    words, none = tokens_of(F.col(text)), F.array(*[F.lit(0.0) for _ in model.classes])
+    rare = keyed.select(F.col(row).alias("_row"), F.explode(F.filter(words, lambda w: ~sent.one_of(w, model.head))).alias("word"))
+    fits = [F.sum(F.log(F.col("n")[c] + 1) - norm).alias(f"_f{i}") for i, (c, norm) in enumerate(zip(model.classes, model.norms))]
+    sums = rare.join(model.words, "word").groupBy("_row").agg(*fits)
+    add = lambda total, w: F.zip_with(total, sent.lookup(w, model.head, "array<double>"), lambda a, b: a + b)
+    common = F.aggregate(F.filter(words, lambda w: sent.one_of(w, model.head)), none, add) if model.head else none
+    scores = F.array(*[F.struct((F.get("_common", F.lit(i)) + F.coalesce(f"_f{i}", F.lit(0.0)) + prior).alias("s"), F.lit(-c).alias("c"))
+                       for i, (c, prior) in enumerate(zip(model.classes, model.priors))])
     best = F.array_max("_scores")
-    return (keyed.join(sums, "_doc", "left").withColumn("_scores", scores).withColumn("_best", best)
+    return (keyed.withColumn("_common", common).join(sums, F.col(row) == F.col("_row"), "left").withColumn("_scores", scores).withColumn("_best", best)
             .withColumn(label, F.element_at(F.lit(vocab.EVALUATION_LABELS), 1 - F.col("_best")["c"]))
             .withColumn(confidence, 1 / F.aggregate("_scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("_best")["s"])))
-            .drop("_doc", "_scores", "_best", *[f"_f{c}" for c in model.classes]))
+            .drop(*([] if key else ["_doc"]), "_row", "_common", "_scores", "_best", *[f"_f{i}" for i in range(len(model.classes))]))
 
 
 Scorer = Callable[[Sequence[str]], Iterable[tuple[str, float]]]
@@ -152,15 +212,15 @@ def score_external(df: DataFrame, load_model: Callable[[], Scorer], text: str =
 
 
 def run_sentiment(df: DataFrame, model: WordModel | PipelineModel | None = None,
-                  load_model: Callable[[], Scorer] | None = None) -> DataFrame:
+                  load_model: Callable[[], Scorer] | None = None, key: str | None = None) -> DataFrame:
     """Both scorers side by side, and the rating's label where a rating column exists.
 
-    The second scorer is a fitted pipeline (`model`) or a caller's model (`load_model`); give exactly one.
+    The second scorer is a fitted model (`model`, with `key` as in `score_model`) or a caller's model (`load_model`); give exactly one.
     """
     if (model is None) == (load_model is None):
         raise ValueError("give either model or load_model")
     out = score_lexicon(df)
-    out = score_model(out, model) if model is not None else score_external(out, load_model)
+    out = score_model(out, model, key=key) if model is not None else score_external(out, load_model)
     if RATING in df.columns:
         out = out.withColumn("rating_sentiment", rating_label(F.col(RATING)))
     return out

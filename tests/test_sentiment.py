@@ -165,3 +165,50 @@ def test_model_reads_any_script_and_any_number_of_words(spark):
     ask = spark.createDataFrame([(1, "отлично"), (2, "ужасно"), (3, "café"), (4, "caf"), (5, "w7x2999 w7x1"), (6, None)], "i long, clean_light string")
     said = {r.i: r.transformer_label for r in scoring.score_model(ask, model).collect()}
     assert [said[i] for i in range(1, 6)] == ["positive", "negative", "positive", "negative", "neutral"] and said[6] == "neutral"
+
+
+def test_word_in_every_text_is_not_shuffled(spark):
+    """The commonest words are scored within the row; the plan shuffles the rest, once, and the rows have keys of their own."""
+    rows = [(i, f"the {'good' if i % 2 else 'bad'} the rare{i}", 5.0 if i % 2 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, clean_light string, rating double")
+    model = scoring.fit_sentiment_model(df)
+    assert {"the", "good", "bad"} <= set(model.head) and len(model.head) <= scoring.HEAD
+    whole = {r.i: (r.transformer_label, round(r.transformer_confidence, 9)) for r in scoring.score_model(df, model).collect()}
+    for head in ({}, {w: model.head[w] for w in ("the", "rare7")}):
+        part = scoring.WordModel(model.words, model.classes, model.priors, model.norms, head)
+        tail = part.words.where(~F.col("word").isin(list(head) or [""]))
+        part = scoring.WordModel(tail, model.classes, model.priors, model.norms, head)
+        for key in (None, "i"):
+            scored = scoring.score_model(df, part, key=key)
+            assert scored.columns == [*df.columns, "transformer_label", "transformer_confidence"]
+            assert {r.i: (r.transformer_label, round(r.transformer_confidence, 9)) for r in scored.collect()} == whole
+    assert {k for k, (label, _) in whole.items() if label == "positive"} == {i for i in range(400) if i % 2}
+
+
+def test_word_model_refuses_a_stream(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value AS string) AS clean_light")
+    with pytest.raises(ValueError, match="word model"):
+        scoring.score_model(stream, scoring.WordModel(spark.createDataFrame([], "word string, n array<long>"), [0], [0.0], [0.0], {}))
+
+
+TRICKY = ["VERY good but not GREAT", "not very bad!!!", "isn't good", "good", "", None, "but bad but good?", "REALLY REALLY BAD", "extremely not good ok?? ??",
+          "never so good", "kinda awful, hardly nice", "a not b not good", "very", "not", "good " * 30 + "bad"]
+
+
+def test_context_scores_over_a_table_equal_the_literal_ones(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "i long, clean_light string").repartition(3)
+    valences = {**vocab.VALENCES, "very": 0.5, "hardly": -0.25}  # a word with a valence of its own is no intensifier
+    for table in (vocab.VALENCES, valences):
+        known = spark.createDataFrame([(w, float(v)) for w, v in table.items()], "word string, valence double")
+        literal = {r.i: (r.vader_score, r.vader_label) for r in scoring.score_lexicon(df, valences=table).collect()}
+        joined = scoring.score_lexicon_context_with_table(df, "i", known)
+        assert joined.columns == ["i", "clean_light", "vader_score", "vader_label"]
+        assert {r.i: (r.vader_score, r.vader_label) for r in joined.collect()} == literal
+
+
+def test_context_plan_does_not_grow_with_the_table(spark):
+    df = spark.createDataFrame([(1, "good")], "i long, clean_light string")
+    def size(n):
+        table = spark.range(n).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1.0).alias("valence"))
+        return len(scoring.score_lexicon_context_with_table(df, "i", table)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(10) - size(1_000_000)) < 100
