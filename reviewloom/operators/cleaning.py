@@ -19,8 +19,8 @@ def drop_blank_reviews(df: DataFrame, text: str = TEXT) -> DataFrame:
 
 
 def with_review_ids(df: DataFrame, key: str = "review_id") -> DataFrame:
-    """Add ids in row order when the source has none. Write the result before using it: the ids depend on how the
-    input was split, so they must be assigned once."""
+    """Add unique ids when the source has none. They tell rows apart and nothing else: ids in the order of lines come from
+    `read_csv(line_ids=...)`. Write the result before using it: the ids depend on how the input was split."""
     return df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
 
 

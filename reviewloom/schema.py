@@ -35,6 +35,13 @@ STRATEGY = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+ANSWERS = T.StructType([
+    T.StructField("prompt_digest", T.StringType()),
+    T.StructField("writer", T.StringType()),
+    T.StructField("answer", T.StringType()),
+    T.StructField("asked_at", T.TimestampType()),
+])
+
 RECOMMENDATION = T.StructType([
     T.StructField("aspect", T.StringType()),
     T.StructField("finding", T.StringType()),

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_base: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,17 +26,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/reviewloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/reviewloom/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Remove everything this application wrote to paths of `fresh_path`, and return how many paths that were. Results that
+    were not stored elsewhere can no longer be read."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove_path(spark, path)
+    return len(paths)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that file system takes it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, on any file system Spark can read."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    found = files.globStatus(hadoop_path)
     return found is not None and len(found) > 0
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds, in order; none if there is no such folder."""
+    files, hadoop_path = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(hadoop_path)) if files.exists(hadoop_path) else []
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """An empty file that must not be there yet."""
+    files, hadoop_path = _file_system(spark, path)
+    files.create(hadoop_path, False).close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as it is stored. How it is split is the scan's business (`spark.sql.files.maxPartitionBytes`)."""
     return spark.read.parquet(path)

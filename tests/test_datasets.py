@@ -60,3 +60,23 @@ def test_tables_can_be_declared_again_and_queried(spark, store, upload):
     for table in ReviewStore.TABLES:
         spark.sql(f"DROP TABLE default.{table}")
     assert store.dataset_exists(found)
+
+
+def test_prompts_are_asked_once(spark, store, upload, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def load():
+        def write(prompt):
+            with open(log, "a") as asked:
+                asked.write("x")
+            return '{"executive_summary": "ok", "recommendations": []}'
+        return write
+    ingest(store, upload, "one")
+    for _ in range(2):
+        write_strategies(store, load, writer="w")
+    assert open(log).read() == "x" and store.answers().count() == 1
+    ingest(store, upload, "two")  # a new dataset has a new prompt; the old one is not asked again
+    write_strategies(store, load, writer="w")
+    assert open(log).read() == "xx" and store.strategies().count() == 2
+    write_strategies(store, load, writer="another")
+    assert open(log).read() == "xxxx"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reviewloom import vocab
 from reviewloom.plans.analyze import analyze
 from reviewloom.schema import ColumnMapping
-from reviewloom.sources import stages, workspace
+from reviewloom.sources import reviews_csv, stages, workspace
 from reviewloom.sources.reviews_csv import load_reviews, read_csv
 from reviewloom.sources.sample import SAMPLE_ROWS
 from reviewloom.sources.store import ReviewStore
@@ -137,3 +137,71 @@ def test_clashing_column_names_are_refused(spark):
         ColumnMapping(rating="Stars").apply(df)
     with pytest.raises(ValueError):
         ColumnMapping("Stars", "Stars").apply(df)
+
+
+def test_both_tables_or_neither(store, reviews, monkeypatch):
+    """A run that ends between its two tables leaves what was there, in both."""
+    analyzed = analyze(reviews)
+    store.save_analysis(analyzed, "first")
+    before = (sorted(store.reviews("first").collect()), sorted(store.aspects("first").collect()))
+    write = store._write
+
+    def broken(df, table, path):
+        if table == "review_aspects":
+            raise OSError("lost")
+        write(df, table, path)
+    monkeypatch.setattr(store, "_write", broken)
+    for name in ("first", "second"):
+        with pytest.raises(OSError):
+            store.save_analysis(analyzed.withColumn("sentiment", F.lit("neutral")), name)
+    assert (sorted(store.reviews("first").collect()), sorted(store.aspects("first").collect())) == before
+    assert [r[0] for r in store.list_datasets().collect()] == ["first"] and not store.dataset_exists("second")
+    monkeypatch.setattr(store, "_write", write)
+    store.save_analysis(analyzed.withColumn("sentiment", F.lit("neutral")), "first")
+    assert {r.sentiment for r in store.reviews("first").collect()} == {r.sentiment for r in store.aspects("first").collect()} == {"neutral"}
+    assert store.remove_replaced() == 1 and store.remove_replaced() == 0
+    assert store.reviews("first").count() == 7 and store.reviews().count() == 7
+
+
+def test_datasets_are_listed_without_reading_them(store, reviews):
+    names = ["a b", "x=1/y", "100%", "ü'\"", None]
+    for name in names:
+        store.save_analysis(analyze(reviews).withColumn("dataset_id", F.lit(name).cast("string")))
+    listed = store.list_datasets()
+    assert [r[0] for r in listed.collect()] == [None, *sorted(n for n in names if n)]
+    assert "Scan parquet" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert all(store.dataset_exists(n) and store.reviews(n).count() == 7 for n in names if n) and not store.dataset_exists("100")
+    assert store.reviews().where("dataset_id IS NULL").count() == 7
+
+
+def test_line_ids_follow_files_and_lines(spark, tmp_path):
+    lines = [f"text {i}" for i in range(3000)]
+    for part in range(3):
+        body = "review_text,n\n" + "".join(f"{t},{i}\n" for i, t in enumerate(lines) if i // 1000 == part)
+        (tmp_path / f"part-{part}.csv").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "7000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = load_reviews(spark, str(tmp_path), line_ids="line")
+            assert df.columns == ["review_text", "n", "line"]
+            assert {(r.line, int(r.n), r.review_text) for r in df.collect()} == {(i, i, t) for i, t in enumerate(lines)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_split_unless_fields_span_lines(spark, tmp_path):
+    path = write(tmp_path, 'review_text,n\n"two\nlines",1\nplain,2\n')
+    assert reviews_csv.fields_span_lines(spark, path)
+    assert not reviews_csv.fields_span_lines(spark, write(tmp_path, 'review_text,n\n"a ""b"" c",1\n'))
+    path = write(tmp_path, 'review_text,n\n"two\nlines",1\nplain,2\n')
+    assert sorted(r.review_text for r in load_reviews(spark, path, multi_line=True).collect()) == ["plain", "two\nlines"]
+    assert [r.line for r in load_reviews(spark, path, multi_line=True, line_ids="line").orderBy("n").collect()] == [0, 1]
+
+
+def test_staged_paths_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "_made", {})
+    path = workspace.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert workspace.path_exists(spark, path) and workspace.remove_staged(spark) == 1
+    assert not workspace.path_exists(spark, path) and workspace.remove_staged(spark) == 0
