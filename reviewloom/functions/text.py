@@ -119,10 +119,37 @@ def split_list(joined: Column) -> Column:
     return F.when(F.coalesce(joined, F.lit("")) == "", empty).otherwise(F.split(joined, ","))
 
 
-def parse_date(text: Column) -> Column:
-    """Date of an ISO date or timestamp, or of a few other common layouts; anything else is null."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz").cast("date"))
-    others = [F.try_to_timestamp(text, F.lit(layout)).cast("date")
-              for layout in ("M/d/yyyy", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "M/d/yyyy H:mm",
-                             "M/d/yyyy H:mm:ss", "M/d/yy", "yyyyMMdd", "yyyy-MM")]
-    return F.coalesce(iso, *others)
+# Names of months, in full or by their first three letters.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_TIME = r"(?:,?[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[AaPp]\.?[Mm]\.?)?)?"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
+YEAR_FIRST = rf"^(\d{{4}})([/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$"
+YEAR_LAST = rf"^(\d{{1,2}})([/.\-])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$"
+DAY_AND_NAME = rf"^(\d{{1,2}})[ \-]([A-Za-z]{{3,9}})\.?,?[ \-](\d{{4}}){_TIME}$"
+NAME_AND_DAY = rf"^([A-Za-z]{{3,9}})\.? (\d{{1,2}}),? (\d{{4}}){_TIME}$"
+COMPACT, YEAR_AND_MONTH = r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})-(\d{2})$"
+
+
+def parse_date(text: Column, day_first: Column | bool = False) -> Column:
+    """Date of an ISO date or timestamp, or of another common layout, with or without a time; anything else is null.
+
+    Numbers parted by slashes or hyphens, year last, can be read in two ways: month first, or with `day_first` the other
+    way. Parted by dots the day comes first. `read_dates` decides for a whole dataset.
+    """
+    names = {name: number for number, full in enumerate(MONTHS, 1) for name in (full, full[:3])}
+    part = lambda pattern, group: F.regexp_extract(text, pattern, group)
+    month = lambda pattern, group: lookup(F.lower(part(pattern, group)), names, "int").cast("string")
+    year = F.when(F.length(part(YEAR_LAST, 4)) == 2, F.concat(F.lit("20"), part(YEAR_LAST, 4))).otherwise(part(YEAR_LAST, 4))
+    day_leads = (part(YEAR_LAST, 2) == ".") | (F.lit(day_first) if isinstance(day_first, bool) else F.coalesce(day_first, F.lit(False)))
+    one, two = part(YEAR_LAST, 1), part(YEAR_LAST, 3)
+    layouts = [(YEAR_LAST, (year, F.when(day_leads, two).otherwise(one), F.when(day_leads, one).otherwise(two))),
+               (YEAR_FIRST, (part(YEAR_FIRST, 1), part(YEAR_FIRST, 3), part(YEAR_FIRST, 4))),
+               (DAY_AND_NAME, (part(DAY_AND_NAME, 3), month(DAY_AND_NAME, 2), part(DAY_AND_NAME, 1))),
+               (NAME_AND_DAY, (part(NAME_AND_DAY, 3), month(NAME_AND_DAY, 1), part(NAME_AND_DAY, 2))),
+               (COMPACT, (part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3))),
+               (YEAR_AND_MONTH, (part(YEAR_AND_MONTH, 1), part(YEAR_AND_MONTH, 2), F.lit("1")))]
+    found = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz").cast("date"))
+    for pattern, (y, m, d) in layouts:
+        # A month without a name makes the whole text null, as a day that no month has does.
+        found = found.when(text.rlike(pattern), F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date"))
+    return found

@@ -76,7 +76,8 @@ def classification_metrics(df: DataFrame, truth: str, models: Mapping[str, str],
 
 def classification_report(df: DataFrame, truth: str, models: Mapping[str, str],
                           labels: Sequence[str] = LABELS) -> DataFrame:
-    """Per model and label: precision, recall, F1 and support, then the macro and the support-weighted averages."""
+    """Per model and label: precision, recall, F1 and support, then the accuracy (as `f1`, the only value of its line), the macro and
+    the support-weighted averages."""
     scored = _with_label_metrics(_counters(df, truth, models, labels), labels)
     span = range(len(labels))
     support = _total([F.col(f"true_{i}") for i in span])
@@ -87,9 +88,10 @@ def classification_report(df: DataFrame, truth: str, models: Mapping[str, str],
                         *[v.alias(k) for k, v in zip(kinds, values)], count.alias("support"))
 
     lines = [line(i, name, [F.col(f"{k}_{i}") for k in kinds], F.col(f"true_{i}")) for i, name in enumerate(labels)]
-    lines.append(line(len(labels), "macro avg",
+    lines.append(line(len(labels), "accuracy", [F.lit(None).cast("double"), F.lit(None).cast("double"), share(F.col("ok"), F.col("n"))], support))
+    lines.append(line(len(labels) + 1, "macro avg",
                       [_total([F.col(f"{k}_{i}") for i in span]) / len(labels) for k in kinds], support))
-    lines.append(line(len(labels) + 1, "weighted avg",
+    lines.append(line(len(labels) + 2, "weighted avg",
                       [share(_total([F.col(f"{k}_{i}") * F.col(f"true_{i}") for i in span]), support) for k in kinds],
                       support))
     return scored.select("model", F.inline(F.array(*lines)))

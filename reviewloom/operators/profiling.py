@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,3 +191,24 @@ def summarize_reviews(df: DataFrame, key: str = "review_id", samples: int = 3) -
     if RATING in df.columns:
         parts["ratings"] = rating_distribution(df)
     return parts
+
+
+def loader_profile(df: DataFrame, key: str = "review_id", samples: int = 3) -> DataFrame:
+    """The loader's profile as one table of (part, ordinal, name, value): the number of rows, the columns, the mean number of
+    words, how often each rating occurs, and the first texts by `key`.
+
+    Everything but the samples comes from one aggregation per rating; the texts are read a second time for the first few.
+    """
+    by_rating = df.groupBy(F.col(RATING).alias("rating") if RATING in df.columns else F.lit(None).cast("double").alias("rating")).agg(
+        F.count("*").alias("n"), F.sum(word_count(F.col(TEXT))).alias("words"), F.count(TEXT).alias("texts"))
+    ratings = F.sort_array(F.collect_list(F.when(F.col("rating").isNotNull(), F.struct("rating", "n"))))
+    whole = by_rating.agg(F.sum("n").alias("n"), F.bround(F.sum("words") / F.sum("texts"), 1).alias("mean"), ratings.alias("ratings"))
+    line = lambda part, ordinal, name, value: F.struct(
+        F.lit(part).alias("part"), ordinal.alias("ordinal"), name.alias("name"), value.cast("string").alias("value"))
+    fixed = [line("rows", F.lit(0), F.lit("rows"), F.coalesce("n", F.lit(0))), line("words", F.lit(0), F.lit("mean"), F.col("mean")),
+             *[line("column", F.lit(i), F.lit(c), F.lit(df.schema[c].dataType.simpleString())) for i, c in enumerate(df.columns)]]
+    counted = F.transform("ratings", lambda r, i: line("rating", i, r["rating"].cast("string"), r["n"]))
+    first = first_rows(df, samples, key).select(key, TEXT)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1
+    texts = first.select(F.lit("sample").alias("part"), place.alias("ordinal"), F.col(key).cast("string").alias("name"), F.col(TEXT).alias("value"))
+    return whole.select(F.inline(F.concat(F.array(*fixed), counted))).unionByName(texts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,10 @@ from reviewloom.functions.lookup import lookup
 from reviewloom.functions.text import strip, truncate
 from reviewloom.operators.summary import aspect_sentiment_summary, sentiment_counts, top_aspects, with_shares
 from reviewloom.schema import STRATEGY_ANSWER
+from reviewloom.sources.workspace import fresh_path
 
 KEY = ("dataset_id", "review_id")
+GROUPS_HELD = 50_000  # (dataset, aspect) groups that a task counts before it gives them away
 
 PROMPT_PREFACE = """You write an executive brief about customer reviews for a marketing team.
 Use only the figures and quotes below. Quote the figures you rely on, add none of your own, and point out where
@@ -77,21 +80,70 @@ def _ordered(order: Sequence[Column], value: Column) -> Column:
     return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"])
 
 
+def _merged(held: dict, key: tuple, counts: list[int], ids: list[int], limit: int) -> None:
+    known = held.setdefault(key, [[0] * len(counts), []])
+    known[0] = [a + b for a, b in zip(known[0], counts)]
+    known[1] = sorted(known[1] + ids)[:limit]
+
+
+def aspect_groups(children: DataFrame, limit: int) -> DataFrame:
+    """dataset_id, aspect, total, one count per sentiment and `first`, the `limit` smallest ids of negative reviews, from one
+    scan of the (review, aspect) rows.
+
+    Every task counts the rows it reads, in batches; what it knows of a group is one row. These rows are combined in two
+    steps, by groups of tasks first, so that no list grows with the number of tasks.
+    """
+    names = ["total", *vocab.SENTIMENTS]
+    schema = f"dataset_id string, aspect string, {', '.join(f'{n} long' for n in names)}, first array<long>, task long"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held = TaskContext.get().partitionId(), {}
+
+        def rows() -> pd.DataFrame:
+            made = [(*key, *counts, ids, task) for key, (counts, ids) in held.items()]
+            return pd.DataFrame(made, columns=["dataset_id", "aspect", *names, "first", "task"])
+
+        for batch in batches:
+            for key, group in batch.groupby(["dataset_id", "aspect"], dropna=False, sort=False):
+                said = group["sentiment"]
+                ids = group.loc[said == "negative", "review_id"].dropna().nsmallest(limit)
+                plain = tuple(None if pd.isna(k) else k for k in key)
+                _merged(held, plain, [len(group), *(int((said == s).sum()) for s in vocab.SENTIMENTS)], [int(i) for i in ids], limit)
+            if len(held) > GROUPS_HELD:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+
+    found = children.select("dataset_id", "aspect", "sentiment", "review_id").mapInPandas(count, schema)
+    smallest = F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, limit).alias("first")
+    sums = [F.sum(n).alias(n) for n in names]
+    some = found.groupBy("dataset_id", "aspect", F.shiftright("task", 8).alias("task")).agg(*sums, smallest)
+    return some.groupBy("dataset_id", "aspect").agg(*sums, smallest)
+
+
 def strategy_context(reviews: DataFrame, children: DataFrame, max_aspects: int = 3, limit: int = 3) -> DataFrame:
     """One row per dataset with everything a strategy writer may cite. All datasets in one job.
 
-    Every part is aggregated down to a few rows per dataset before the parts are joined.
+    The (review, aspect) rows are read once: counts and the ids of examples come from one aggregation, which is stored, a
+    few rows per dataset. Texts are fetched for those examples only.
     """
+    path = fresh_path(reviews.sparkSession, "aspect-groups")
+    aspect_groups(children, limit).write.parquet(path)
+    groups = with_shares(reviews.sparkSession.read.parquet(path))
     counts = sentiment_counts(reviews).groupBy("dataset_id").agg(
         F.sum("n").alias("total_reviews"),
         F.map_from_entries(F.sort_array(F.collect_list(
             F.struct(F.coalesce("sentiment", F.lit("null")).alias("sentiment"), "n")))).alias("sentiment_counts"))
+    rounded = groups.withColumnRenamed("total", "total_mentions").withColumns({f"{s}_share": F.bround(F.col(f"{s}_share"), 3) for s in ("negative", "positive")})
     fields = ["aspect", "total_mentions", *vocab.SENTIMENTS, "negative_share", "positive_share"]
-    breakdown = aspect_breakdown(children).groupBy("dataset_id").agg(
+    breakdown = rounded.groupBy("dataset_id").agg(
         _ordered([-F.col("total_mentions"), F.col("aspect")], F.struct(*fields)).alias("aspect_breakdown"))
-    top = top_aspects(aspect_sentiment_summary(children), "negative", max_aspects)
-    snippets = complaint_examples(children, reviews, max_aspects, limit).groupBy("dataset_id", "aspect").agg(
-        _ordered([F.col("position")], F.col("snippet")).alias("snippets"))
+    order = Window.partitionBy("dataset_id").orderBy(F.desc("negative_share"), "aspect")
+    top = groups.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_aspects).select("dataset_id", "aspect", "position", "first")
+    wanted = top.select("dataset_id", "aspect", F.posexplode("first").alias("at", "review_id"))
+    found = wanted.join(reviews.select(*KEY, "review_text"), list(KEY)).where(F.col("review_text") != "")
+    snippets = found.groupBy("dataset_id", "aspect").agg(_ordered([F.col("at")], truncate(F.col("review_text"))).alias("snippets"))
     listed = top.join(snippets, ["dataset_id", "aspect"], "left").withColumn(
         "snippets", F.coalesce("snippets", F.array().cast("array<string>")))
     complaints = listed.groupBy("dataset_id").agg(

@@ -84,11 +84,28 @@ def aspect_sentiment_long(summary: DataFrame, by: Sequence[str] = DATASET) -> Da
             .orderBy(*by, "total", "aspect", "sentiment"))
 
 
+def date_layouts(df: DataFrame, by: Sequence[str] = DATASET, date: str = "review_date", weight: str | None = None) -> DataFrame:
+    """Per dataset how many rows have a date that can be read with the month first, and with the day first, and the `layout`
+    that reads more: one aggregation. A tie goes to the month. With `weight`, a row stands for so many."""
+    one = F.lit(1) if weight is None else F.col(weight)
+    read = lambda day_first: F.coalesce(F.sum(F.when(parse_date(F.col(date), day_first).isNotNull(), one)), F.lit(0)).cast("long")
+    return (df.groupBy(*by).agg(read(False).alias("month_first"), read(True).alias("day_first"))
+            .withColumn("layout", F.when(F.col("day_first") > F.col("month_first"), "day first").otherwise("month first")))
+
+
+def read_dates(df: DataFrame, by: Sequence[str] = DATASET, date: str = "review_date", day: str = "day", weight: str | None = None) -> DataFrame:
+    """Add the `day` of every row, numbers read in the layout of the row's dataset."""
+    chosen = date_layouts(df, by, date, weight).select(*[F.col(c).alias(f"_by_{c}") for c in by], (F.col("layout") == "day first").alias("_day_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(chosen, same or F.lit(True)).withColumn(day, parse_date(F.col(date), F.col("_day_first"))).drop(*[f"_by_{c}" for c in by], "_day_first")
+
+
 def sentiment_daily(df: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    """Reviews per day and sentiment; rows without a readable date or a sentiment are left out."""
-    return (df.select(*by, parse_date(F.col("review_date")).alias("day"), "sentiment")
-            .na.drop(subset=["day", "sentiment"])
-            .groupBy(*by, "day", "sentiment").agg(F.count("*").alias("n")))
+    """Reviews per day and sentiment; rows without a readable date or a sentiment are left out. Rows are counted per written
+    date first; how a dataset writes its dates is then decided and applied on the counts."""
+    written = df.groupBy(*by, "review_date", "sentiment").agg(F.count("*").alias("_rows"))
+    return (read_dates(written, by, weight="_rows").na.drop(subset=["day", "sentiment"])
+            .groupBy(*by, "day", "sentiment").agg(F.sum("_rows").alias("n")))
 
 
 def has_dates(df: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:

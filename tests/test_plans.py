@@ -57,7 +57,7 @@ def test_batch_chain(spark, reviews, tmp_path):
     tables = batch.evaluation_stage(spark, paths)
     metrics = {r["model"]: r for r in tables["metrics"].collect()}
     assert set(metrics) == {"lexicon", "model"} and metrics["model"]["accuracy"] > 0.9
-    assert spark.read.text(f"{paths.sentiment_comparison}/report").count() == 10
+    assert spark.read.text(f"{paths.sentiment_comparison}/report").count() == 12
     stored = batch.aspect_stage(spark, paths, topics=2)
     assert stored.count() == 60 and "topic" in stored.columns
     summary = json.loads(spark.read.text(paths.aspect_summary).first()[0])

@@ -72,3 +72,11 @@ def test_fingerprint_follows_the_content(spark):
     assert base == mark(rows[::-1])
     assert base != mark(rows + rows[:1]) and mark(rows + rows[:1]) != mark(rows + rows[:1] * 3)
     assert base != mark([(None, s) if n == 3 else (n, s) for n, s in rows])
+
+
+def test_loader_profile_is_one_table(spark, reviews):
+    rows = [(r.part, r.ordinal, r.name, r.value) for r in p.loader_profile(reviews).collect()]
+    assert ("rows", 0, "rows", "7") in rows and ("rating", 0, "1.0", "2") in rows and ("column", 1, "review_text", "string") in rows
+    assert [r[2] for r in sorted(rows) if r[0] == "sample"] == ["1", "2", "3"]
+    bare = {(r.part, r.name): r.value for r in p.loader_profile(reviews.drop("rating").limit(0)).collect()}
+    assert bare["rows", "rows"] == "0" and bare["words", "mean"] is None

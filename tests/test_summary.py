@@ -119,3 +119,15 @@ def test_unmentioned_aspects_are_zero(spark):
     assert [r["aspect"] for r in rows] == list(vocab.ASPECT_KEYWORDS)
     assert rows[0]["total"] == 0 and rows[0]["negative_share"] == 0.0
     assert summary.rank_aspects(summary.aspect_summary(df), "negative").count() == 1
+
+
+def test_each_dataset_reads_its_dates_its_own_way(spark):
+    rows = [("us", "1/13/2017"), ("us", "2/1/2017"), ("uk", "13/1/2017"), ("uk", "2/1/2017"), ("uk", None), (None, "3/4/2017"), ("none", "soon")]
+    df = spark.createDataFrame([(d, t, "positive") for d, t in rows], "dataset_id string, review_date string, sentiment string")
+    layouts = {r.dataset_id: (r.month_first, r.day_first, r.layout) for r in summary.date_layouts(df).collect()}
+    assert layouts == {"us": (2, 1, "month first"), "uk": (1, 2, "day first"), None: (1, 1, "month first"), "none": (0, 0, "month first")}
+    days = {(r.dataset_id, r.review_date): r.day and r.day.isoformat() for r in summary.read_dates(df).collect()}
+    assert days == {("us", "1/13/2017"): "2017-01-13", ("us", "2/1/2017"): "2017-02-01", ("uk", "13/1/2017"): "2017-01-13", ("uk", "2/1/2017"): "2017-01-02",
+                    ("uk", None): None, (None, "3/4/2017"): "2017-03-04", ("none", "soon"): None}
+    daily = {(r.dataset_id, str(r.day)): r.n for r in summary.sentiment_daily(df.unionByName(df)).collect()}
+    assert daily == {k: 2 for k in [("us", "2017-01-13"), ("us", "2017-02-01"), ("uk", "2017-01-13"), ("uk", "2017-01-02"), (None, "2017-03-04")]}
