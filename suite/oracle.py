@@ -6,6 +6,7 @@ Shared steps are common table expressions; each question lists what it needs and
 from __future__ import annotations
 
 from reviewloom import vocab
+from reviewloom.operators.strategy import PROMPT_PREFACE, PROMPT_SCHEMA
 from suite.views import PHRASES
 
 
@@ -189,6 +190,27 @@ STEPS: dict[str, str] = {
     "modelled": """modelled AS (
   SELECT rid, arg_max(truth, score) AS model_label, round_even(1 / sum(exp(score - top)), 4) AS model_confidence
   FROM (SELECT *, max(score) OVER (PARTITION BY rid) AS top FROM class_scores) GROUP BY rid)""",
+    # The batch chain compares the context scorer and the trained model.
+    "batch_judged": """batch_judged AS (
+  SELECT 'lexicon' AS model, truth, label AS said FROM truth JOIN scored USING (rid) WHERE truth IS NOT NULL
+  UNION ALL SELECT 'model', truth, model_label FROM truth JOIN modelled USING (rid) WHERE truth IS NOT NULL)""",
+    "batch_labels": """batch_labels AS (
+  SELECT model, label, support, coalesce(hit / nullif(said_n, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall,
+         coalesce(2 * hit / nullif(said_n + support, 0), 0) AS f1
+  FROM (SELECT model, label, count(*) FILTER (truth = label) AS support, count(*) FILTER (said = label) AS said_n,
+               count(*) FILTER (truth = label AND said = label) AS hit FROM batch_judged CROSS JOIN labels3 GROUP BY model, label))""",
+    "batch_overall": """batch_overall AS (
+  SELECT model, any_value(n) AS n, any_value(accuracy) AS accuracy, avg(precision) AS precision_macro, avg(recall) AS recall_macro, avg(f1) AS f1_macro,
+         sum(precision * support) / sum(support) AS precision_weighted, sum(recall * support) / sum(support) AS recall_weighted,
+         sum(f1 * support) / sum(support) AS f1_weighted
+  FROM batch_labels JOIN (SELECT model, count(*) AS n, avg(CAST(truth = said AS INT)) AS accuracy FROM batch_judged GROUP BY model) USING (model)
+  GROUP BY model)""",
+    # Dates as the datasets write them: French and English ones partly in numbers that can be read in two ways.
+    "dated": """dated AS (
+  SELECT *, CAST('2016-12-01' AS DATE) + CAST(review_id % 90 AS INT) AS day,
+         CASE CAST(review_id % 3 AS INT) WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS sentiment,
+         review_id % 13 <> 0 AND dataset_id IN ('docs_de', 'docs_fr', 'docs_es', 'docs_en') AS written,
+         dataset_id = 'docs_fr' OR (dataset_id = 'docs_en' AND review_id % 4 < 2) AS two_ways FROM reviews)""",
     # Terms per source, the fixed topic assignment of the keyword questions.
     "terms": r"""terms AS (
   SELECT source, term, count(*) AS tf FROM (
@@ -241,6 +263,7 @@ NEEDS: dict[str, str] = {
     "label_metrics": "per_label", "tokens": "light", "class_words": "tokens truth", "class_stats": "class_words",
     "known_tokens": "tokens class_words", "class_sums": "known_tokens class_stats", "class_scores": "class_sums",
     "modelled": "class_scores", "topic_docs": "reviews", "terms": "topic_docs stops", "keywords": "terms",
+    "batch_judged": "truth scored modelled", "batch_labels": "batch_judged labels3", "batch_overall": "batch_labels", "dated": "reviews",
     "bodies": "answers", "valid": "bodies", "recommendations": "valid", "raw_reviews": "reviews", "uploaded": "reviews",
 }
 SOURCES = {"docs": DOCS, "scale": SCALE, "both": f"{DOCS} UNION ALL {SCALE}"}
@@ -288,14 +311,29 @@ def oracle_sql() -> dict[str, str]:
     q["aspect_summary_json"] = _sql(f"""SELECT dataset_id, c.ranked AS top_complaints, p.ranked AS top_praise, aspect, total, positive, neutral,
       negative, negative_share, positive_share FROM every_aspect JOIN ({ranked['negative']}) AS c USING (dataset_id)
       JOIN ({ranked['positive']}) AS p USING (dataset_id)""", "every_aspect", "both")
-    q["batch_report"] = _sql("""SELECT model, CAST(any_value(n) AS BIGINT) AS n, round_even(any_value(accuracy), 6) AS accuracy,
-      round_even(avg(hit_n / nullif(said_n, 0)), 6) AS precision_macro, round_even(avg(hit_n / nullif(true_n, 0)), 6) AS recall_macro,
-      round_even(avg(2 * hit_n / nullif(said_n + true_n, 0)), 6) AS f1_macro FROM (
-        SELECT model, labels3.label, count(*) FILTER (truth = labels3.label) AS true_n, count(*) FILTER (said = labels3.label) AS said_n,
-               count(*) FILTER (truth = labels3.label AND said = labels3.label) AS hit_n, count(*) AS n, avg(CAST(truth = said AS INT)) AS accuracy
-        FROM (SELECT 'lexicon' AS model, truth, label AS said FROM truth JOIN scored USING (rid) WHERE truth IS NOT NULL
-              UNION ALL SELECT 'model', truth, model_label FROM truth JOIN modelled USING (rid) WHERE truth IS NOT NULL) CROSS JOIN labels3
-        GROUP BY model, labels3.label) GROUP BY model""", "truth scored modelled labels3")
+    q["load_reviews_in_file_order"] = _sql("""SELECT line, review_id, rating FROM (
+      SELECT row_number() OVER (ORDER BY review_id) - 1 AS line, review_id, rating,
+             trim(CASE WHEN review_text = 'N/A' THEN NULL ELSE review_text END, E' \\t\\n\\r\\f\\v') AS review_text FROM raw_reviews)
+      WHERE review_text <> '' AND lower(review_text) <> 'nan'""", "raw_reviews")
+    overall = {"n": "CAST(n AS DOUBLE)", **{k: k for k in ("accuracy", "precision_macro", "recall_macro", "f1_macro")}}
+    report = [("label", k, k) for k in ("precision", "recall", "f1", "support")]
+    averages = [(f"{kind} avg", k, f"{k}_{kind}") for kind in ("macro", "weighted") for k in ("precision", "recall", "f1")]
+    rows = ["SELECT 'agreement' AS part, '' AS row, 'agreement' AS name, avg(CAST(coalesce(label = model_label, false) AS INT)) AS value FROM scored JOIN modelled USING (rid)"]
+    rows += [f"SELECT 'metrics', model, '{k}', {v} FROM batch_overall" for k, v in overall.items()]
+    rows += [f"SELECT 'report', concat(model, '/', label), '{k}', {v} FROM batch_labels" for _, k, v in report]
+    rows += [f"SELECT 'report', concat(model, '/{line}'), '{k}', {v} FROM batch_overall" for line, k, v in
+             [("accuracy", "f1", "accuracy"), *averages, *((line, "support", "n") for line in ("accuracy", "macro avg", "weighted avg"))]]
+    rows += [f"SELECT 'confusion_{m}', label, '{said}', count(*) FILTER (truth = label AND said = '{said}' AND model = '{m}') FROM labels3 CROSS JOIN batch_judged GROUP BY label"
+             for m in ("lexicon", "model") for said in vocab.EVALUATION_LABELS]
+    q["batch_report"] = _sql(f"SELECT part, row, name, round_even(CAST(value AS DOUBLE), 6) AS value FROM ({' UNION ALL '.join(rows)})", "batch_overall")
+    modelled_aspects = """(SELECT aspect_ord, aspect, count(mentions.rid) AS total, count(*) FILTER (model_label = 'positive') AS positive,
+      count(*) FILTER (model_label = 'neutral') AS neutral, count(*) FILTER (model_label = 'negative') AS negative
+      FROM (SELECT DISTINCT aspect_ord, aspect FROM lexicon) LEFT JOIN mentions USING (aspect_ord, aspect) LEFT JOIN modelled USING (rid) GROUP BY ALL)"""
+    share = lambda k: f"round_even(coalesce({k} / nullif(total, 0), 0), 4)"
+    best = lambda k: f"(SELECT string_agg(aspect, ',' ORDER BY {share(k)} DESC, {k} DESC, aspect_ord) FROM m WHERE total > 0)"
+    q["batch_aspects"] = _sql(f"""SELECT {best('negative')} AS top_complaints, {best('positive')} AS top_praise, aspect, total, positive, neutral, negative,
+      {share('negative')} AS negative_share, {share('positive')} AS positive_share FROM {modelled_aspects} AS m""".replace("FROM m WHERE", f"FROM {modelled_aspects} WHERE"),
+        "mentions modelled")
     q["ingest_upload"] = _sql("""SELECT review_text, clean_deep, sentiment, confidence, aspects, rating, review_date FROM analyzed""", "analyzed")
     # rows
     q["clean_rows"] = _sql(r"""SELECT review_id, review_text FROM (SELECT review_id, trim(review_text, E' \t\n\r\f\v') AS review_text
@@ -358,6 +396,10 @@ def oracle_sql() -> dict[str, str]:
     q["lexicon_sentiment_tables"] = q["lexicon_sentiment"]
     q["lexicon_sentiment_context"] = _sql("SELECT dataset_id, review_id, compound AS vader_score, label AS vader_label FROM scored JOIN keyed USING (rid)", "scored", "both")
     q["compound_label"] = f"""SELECT label, count(*) AS n FROM (SELECT {_label('l_discount - 0.05::DOUBLE')} AS label FROM lineitem) GROUP BY label"""
+    q["lexicon_sentiment_context_tables"] = q["lexicon_sentiment_context"]
+    q["analyze_model"] = _sql(f"""SELECT dataset_id, review_id, clean_light, clean_deep, {_WORDS.format('review_text')} AS word_count, model_label AS sentiment,
+      model_confidence AS confidence, aspects, {FLAGS} FROM keyed JOIN light USING (rid) JOIN deep USING (rid) JOIN tags USING (rid) JOIN modelled USING (rid)""",
+        "light deep tags modelled")
     q["model_sentiment"] = _sql("SELECT review_id, model_label, model_confidence FROM modelled JOIN keyed USING (rid)", "modelled")
     q["external_model_sentiment"] = _sql("""SELECT review_id, CASE WHEN contains(clean_light, '!') THEN 'positive' WHEN contains(clean_light, '?')
       THEN 'neutral' ELSE 'negative' END AS label, round_even(1 / (1 + length(clean_light)), 8) AS score
@@ -394,8 +436,19 @@ def oracle_sql() -> dict[str, str]:
       round_even(100.0 * count(*) FILTER (sentiment = 'negative') / count(*), 6) AS pct_negative FROM analyzed GROUP BY dataset_id""", "analyzed", "both")
     q["sentiment_daily"] = _sql("""SELECT dataset_id, TRY_CAST(review_date AS DATE) AS day, sentiment, count(*) AS n FROM analyzed
       WHERE TRY_CAST(review_date AS DATE) IS NOT NULL GROUP BY ALL""", "analyzed", "both")
+    q["sentiment_daily_mixed"] = _sql("SELECT dataset_id, day, sentiment, count(*) AS n FROM dated WHERE written GROUP BY ALL", "dated")
+    q["date_layouts"] = _sql("""SELECT *, CASE WHEN day_first > month_first THEN 'day first' ELSE 'month first' END AS layout FROM (
+      SELECT dataset_id, count(*) FILTER (written AND (NOT two_ways OR dataset_id = 'docs_en' OR day(day) <= 12)) AS month_first,
+             count(*) FILTER (written AND (NOT two_ways OR dataset_id = 'docs_fr' OR day(day) <= 12)) AS day_first FROM dated GROUP BY dataset_id)""", "dated")
     q["dates_present"] = _sql("SELECT dataset_id, bool_or(review_date IS NOT NULL) AS has_dates FROM reviews GROUP BY dataset_id", "reviews", "both")
     q["rating_distribution"] = _sql("SELECT rating, count(*) AS n FROM reviews WHERE rating IS NOT NULL GROUP BY rating", "reviews", "both")
+    q["loader_profile"] = _sql(f"""SELECT part, CAST(ordinal AS INT) AS ordinal, name, value FROM (
+      SELECT 'rows' AS part, 0 AS ordinal, 'rows' AS name, CAST(count(*) AS VARCHAR) AS value FROM reviews
+      UNION ALL SELECT 'words', 0, 'mean', CAST(round_even(avg({_WORDS.format('review_text')}), 1) AS VARCHAR) FROM reviews
+      UNION ALL SELECT * FROM ({_values(("column", i, c, t) for i, (c, t) in enumerate([("review_id", "bigint"), ("dataset_id", "string"),
+                                ("review_text", "string"), ("rating", "double"), ("review_date", "string")]))})
+      UNION ALL SELECT 'rating', row_number() OVER (ORDER BY rating) - 1, CAST(rating AS VARCHAR), CAST(count(*) AS VARCHAR) FROM reviews WHERE rating IS NOT NULL GROUP BY rating
+      UNION ALL (SELECT 'sample', row_number() OVER (ORDER BY review_id) - 1, CAST(review_id AS VARCHAR), review_text FROM reviews ORDER BY review_id LIMIT 3))""", "reviews")
     q["avg_words"] = _sql(f"SELECT round_even(avg({_WORDS.format('review_text')}), 1) AS avg_words FROM reviews", "reviews")
     q["avg_words_by_rating"] = _sql(f"""SELECT rating, round_even(avg({_WORDS.format('review_text')}), 1) AS avg_words
       FROM reviews WHERE rating IS NOT NULL GROUP BY rating""", "reviews")
@@ -412,8 +465,9 @@ def oracle_sql() -> dict[str, str]:
     q["classification_report"] = _sql("""SELECT model, CAST(ordinal AS INT) AS ordinal, label, round_even(precision, 6) AS precision, round_even(recall, 6) AS recall,
       round_even(f1, 6) AS f1, support FROM (
       SELECT model, ordinal, label, precision, recall, f1, support FROM label_metrics
-      UNION ALL SELECT model, 3, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM label_metrics GROUP BY model
-      UNION ALL SELECT model, 4, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+      UNION ALL SELECT model, 3, 'accuracy', NULL, NULL, avg(CAST(truth = said AS INT)), count(*) FROM long_judged GROUP BY model
+      UNION ALL SELECT model, 4, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM label_metrics GROUP BY model
+      UNION ALL SELECT model, 5, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
         sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM label_metrics GROUP BY model)""", "label_metrics", "both")
     q["word_count_histogram"] = f"""WITH counted AS (SELECT {_WORDS.format('text')} AS v FROM documents),
       bounds AS (SELECT min(v) - CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS lo, max(v) + CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS hi FROM counted)
@@ -454,4 +508,20 @@ def oracle_sql() -> dict[str, str]:
       JOIN (SELECT dataset_id, string_agg(aspect, ',' ORDER BY rank) AS top FROM complaints GROUP BY dataset_id) USING (dataset_id)
       JOIN (SELECT dataset_id, string_agg(concat_ws('/', aspect, total), ',' ORDER BY total DESC, aspect) AS breakdown
             FROM by_aspect GROUP BY dataset_id) USING (dataset_id)""", "analyzed by_aspect complaints", "both")
+    counts = "string_agg(concat(to_json(coalesce(sentiment, 'null')), ':', n), ',' ORDER BY coalesce(sentiment, 'null'))"
+    kinds = ", ".join(f"',\"{k}\":', {k}" for k in vocab.SENTIMENTS)
+    entry = f"""concat('{{"aspect":', to_json(aspect), ',"total_mentions":', total, {kinds},
+      ',"negative_share":', to_json(round_even(negative / total, 3)), ',"positive_share":', to_json(round_even(positive / total, 3)), '}}')"""
+    q["strategy_prompt"] = _sql(f"""SELECT dataset_id, concat({_text(PROMPT_PREFACE)}, '{{"dataset_id":', to_json(dataset_id), ',"total_reviews":', total_reviews,
+      ',"sentiment_counts":{{', counts, '}},"aspect_breakdown":[', coalesce(breakdown, ''), '],"top_complaint_aspects":[', coalesce(top, ''),
+      '],"example_negative_reviews":{{', coalesce(quoted, ''), '}}}}', {_text(PROMPT_SCHEMA)}) AS prompt FROM
+      (SELECT dataset_id, CAST(sum(n) AS BIGINT) AS total_reviews, {counts} AS counts FROM (SELECT dataset_id, sentiment, count(*) AS n FROM analyzed GROUP BY ALL) GROUP BY dataset_id)
+      LEFT JOIN (SELECT dataset_id, string_agg({entry}, ',' ORDER BY total DESC, aspect) AS breakdown FROM by_aspect GROUP BY dataset_id) USING (dataset_id)
+      LEFT JOIN (SELECT dataset_id, string_agg(to_json(aspect), ',' ORDER BY rank) AS top,
+                        string_agg(concat(to_json(aspect), ':[', coalesce(said, ''), ']'), ',' ORDER BY rank) AS quoted
+                 FROM complaints LEFT JOIN (SELECT dataset_id, aspect, string_agg(to_json(snippet), ',' ORDER BY position) AS said FROM snippets GROUP BY ALL) USING (dataset_id, aspect)
+                 GROUP BY dataset_id) USING (dataset_id)""", "analyzed by_aspect complaints snippets", "both")
+    q["strategy_answers"] = _sql("""SELECT dataset_id, concat(dataset_id, ' has ', total, ' reviews') AS executive_summary, coalesce(aspect, 'nothing') AS aspect,
+      count(*) OVER () AS asked FROM (SELECT dataset_id, count(*) AS total FROM analyzed GROUP BY dataset_id)
+      LEFT JOIN (SELECT dataset_id, aspect FROM complaints WHERE rank = 1) USING (dataset_id)""", "analyzed complaints", "both")
     return q

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,18 @@ def load_reviews_csv(spark, sf_dir):
     return loaded.withColumn("review_id", F.col("review_id").cast("bigint"))
 
 
+@register
+def load_reviews_in_file_order(spark, sf_dir):
+    """An export of several files, read in small pieces: ids follow files and lines whatever the pieces."""
+    path = fresh_path(spark, "ordered-csv")
+    export = raw_reviews(spark, sf_dir).withColumnsRenamed({"review_text": "Comment", "rating": "Stars", "review_date": "Posted"})
+    ordered = export.repartitionByRange(5, "review_id").sortWithinPartitions("review_id")
+    (ordered.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    loaded = reviews_csv.load_reviews(spark, path, ColumnMapping("Comment", "Stars", "Posted"), line_ids="line")
+    return loaded.select("line", F.col("review_id").cast("bigint").alias("review_id"), "rating")
+
+
 @register
 def stage_roundtrip(spark, sf_dir):
     stored = stages.write_stage(cleaning.preprocess(reviews(spark, sf_dir)), fresh_path(spark, "stage"))
@@ -118,15 +132,38 @@ def aspect_summary_json(spark, sf_dir):
                        ).select("dataset_id", "top_complaints", "top_praise", "aspect", "stats.*")
 
 
-@register
-def batch_report(spark, sf_dir):
-    """The batch chain from raw text to the stored report, read back."""
+def batch_paths(spark: SparkSession, sf_dir: str) -> batch.BatchPaths:
+    """The first two stages of the batch chain, from raw text to scored reviews."""
     paths = batch.BatchPaths(fresh_path(spark, "batch"))
     batch.clean_stage(reviews(spark, sf_dir), paths)
     batch.sentiment_stage(spark, paths)
-    batch.evaluation_stage(spark, paths)
-    metrics = spark.read.schema("model string, n bigint, accuracy double, precision_macro double, recall_macro double, f1_macro double")
-    return tidy(metrics.json(f"{paths.sentiment_comparison}/metrics"), "accuracy", "precision_macro", "recall_macro", "f1_macro")
+    return paths
+
+
+@register
+def batch_report(spark, sf_dir):
+    """The batch chain from raw text to the stored report, all tables of it read back as (table, row, name, value)."""
+    paths = batch_paths(spark, sf_dir)
+    parts = []
+    for name, table_ in batch.evaluation_stage(spark, paths).items():
+        read = spark.read.schema(table_.schema).json(f"{paths.sentiment_comparison}/{name}")
+        keys = [c for c in read.columns if c in ("model", "label", "true_label")]
+        row, values = F.concat_ws("/", *keys), [c for c in read.columns if c not in (*keys, "ordinal")]
+        entries = F.array(*[F.struct(F.lit(c).alias("name"), F.bround(F.col(c).cast("double"), 6).alias("value")) for c in values])
+        parts.append(read.select(F.lit(name).alias("part"), row.alias("row"), F.inline(entries)))
+    return reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
+
+
+@register
+def batch_aspects(spark, sf_dir):
+    """The last stage of the batch chain: the scored reviews tagged and stored, and the summary document made of them, read back."""
+    paths = batch_paths(spark, sf_dir)
+    batch.aspect_stage(spark, paths)
+    entry = "struct<total: bigint, positive: bigint, neutral: bigint, negative: bigint, negative_share: double, positive_share: double>"
+    document = spark.read.text(paths.aspect_summary).select(F.from_json(
+        "value", f"aspects map<string, {entry}>, top_complaints array<string>, top_praise array<string>").alias("d"))
+    return document.select(F.array_join("d.top_complaints", ",").alias("top_complaints"), F.array_join("d.top_praise", ",").alias("top_praise"),
+                           F.explode("d.aspects").alias("aspect", "stats")).select("top_complaints", "top_praise", "aspect", "stats.*")
 
 
 @register
@@ -310,6 +347,15 @@ def lexicon_sentiment_tables(spark, sf_dir):
     return scored.select("review_id", "vader_score", "vader_label")
 
 
+@register
+def lexicon_sentiment_context_tables(spark, sf_dir):
+    """The context rules with the valences as a table."""
+    valences = spark.createDataFrame([(w, float(v)) for w, v in vocab.VALENCES.items()], "word string, valence double")
+    keyed = light_reviews(both(spark, sf_dir)).withColumn("rid", F.concat_ws("#", "dataset_id", "review_id"))
+    scored = scoring.score_lexicon_context_with_table(keyed, "rid", valences)
+    return scored.select("dataset_id", "review_id", "vader_score", "vader_label")
+
+
 @register
 def lexicon_sentiment_context(spark, sf_dir):
     scored = scoring.score_lexicon(light_reviews(both(spark, sf_dir)))
@@ -324,8 +370,8 @@ def compound_label(spark, sf_dir):
 
 @register
 def model_sentiment(spark, sf_dir):
-    df = stages.write_stage(light_reviews(reviews(spark, sf_dir)), fresh_path(spark, "light"))
-    scored = scoring.score_model(df, scoring.fit_sentiment_model(df))
+    df = stages.write_stage(light_reviews(reviews(spark, sf_dir)).withColumn("key", F.monotonically_increasing_id()), fresh_path(spark, "light"))
+    scored = scoring.score_model(df, scoring.fit_sentiment_model(df), key="key")
     return scored.select("review_id", F.col("transformer_label").alias("model_label"),
                          F.bround("transformer_confidence", 4).alias("model_confidence"))
 
@@ -362,6 +408,14 @@ QUERIES["analyze"] = QUERIES.pop("analyze_reviews")
 
 
 # --- aspects and topics -----------------------------------------------------------------------------------------
+@register
+def analyze_model(spark, sf_dir):
+    """The interactive chain with a model trained on the ratings, over rows that nothing stored before."""
+    raw = reviews(spark, sf_dir)
+    found = joined_aspects(analyze(raw, model=scoring.fit_sentiment_model(light_reviews(raw))))
+    return tidy(found, "confidence", places=4).select("dataset_id", "review_id", "clean_light", "clean_deep", "word_count", "sentiment", "confidence", "aspects", *FLAGS)
+
+
 def deep_reviews(df: DataFrame) -> DataFrame:
     return df.withColumn("clean_deep", txt.deep_clean(F.col("review_text")))
 
@@ -462,6 +516,31 @@ def sentiment_daily(spark, sf_dir):
     return summary.sentiment_daily(stored_reviews(spark, sf_dir).reviews())
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose datasets write their dates in different ways, some with numbers that only one order can read."""
+    key, day = F.col("review_id"), F.to_date("review_date")
+    styles = {"docs_de": ["dd.MM.yyyy", "d.M.yyyy", "dd-MMM-yyyy"], "docs_fr": ["dd/MM/yyyy", "d/M/yyyy HH:mm", "dd-MM-yyyy"],
+              "docs_es": ["yyyy/MM/dd HH:mm", "d MMM yyyy", "yyyyMMdd"], "docs_en": ["MM/dd/yyyy", "M/d/yyyy h:mm a", "MMM d yyyy", "MMMM d, yyyy"]}
+    source = reviews(spark, sf_dir).withColumn("day", F.date_add(F.lit("2016-12-01").cast("date"), (key % 90).cast("int")))
+    at = source["day"].cast("timestamp") + F.make_dt_interval(hours=(key % 24).cast("int"))
+    written = F.lit(None).cast("string")
+    for dataset, layouts in styles.items():
+        shown = reduce(lambda rest, i: F.when(key % len(layouts) == i, F.date_format(at, layouts[i])).otherwise(rest), range(len(layouts)), F.lit(None).cast("string"))
+        written = F.when(F.col("dataset_id") == dataset, shown).otherwise(written)
+    return source.withColumn("review_date", F.when(key % 13 == 0, "not a date").otherwise(written)).withColumn(
+        "sentiment", F.element_at(F.lit(list(vocab.SENTIMENTS)), (key % 3 + 1).cast("int")))
+
+
+@register
+def sentiment_daily_mixed(spark, sf_dir):
+    return summary.sentiment_daily(dated(spark, sf_dir))
+
+
+@register
+def date_layouts(spark, sf_dir):
+    return summary.date_layouts(dated(spark, sf_dir))
+
+
 @register
 def dates_present(spark, sf_dir):
     return summary.has_dates(stored_reviews(spark, sf_dir).reviews())
@@ -472,6 +551,11 @@ def rating_distribution(spark, sf_dir):
     return profiling.rating_distribution(both(spark, sf_dir))
 
 
+@register
+def loader_profile(spark, sf_dir):
+    return profiling.loader_profile(reviews(spark, sf_dir))
+
+
 @register
 def avg_words(spark, sf_dir):
     return profiling.average_words(reviews(spark, sf_dir))
@@ -623,3 +707,27 @@ def strategy_prompt_fields(spark, sf_dir):
     lines = F.transform("d.aspect_breakdown", lambda a: F.concat_ws("/", a["aspect"], a["total_mentions"]))
     return strategy_prompt(spark, sf_dir).select(document.alias("d")).select(
         "d.dataset_id", "d.total_reviews", F.array_join("d.top_complaint_aspects", ",").alias("top"), F.array_join(lines, ",").alias("breakdown"))
+
+
+def quoting_writer():
+    """A stand-in for a strategy writer: answers with what its prompt says of the dataset and its first complaint."""
+    def load():
+        def write(prompt: str) -> str:
+            context = json.loads(prompt.split("Review analytics:\n", 1)[1].split("\n\nAnswer with one JSON", 1)[0])
+            first = (context["top_complaint_aspects"] or ["nothing"])[0]
+            said = {"executive_summary": f"{context['dataset_id']} has {context['total_reviews']} reviews", "recommendations":
+                    [{"aspect": first, "finding": "f", "recommendation": "r", "priority": "high"}]}
+            return json.dumps(said) if context["total_reviews"] % 2 else f"```json\n{json.dumps(said)}\n```"
+        return write
+    return load
+
+
+@register
+def strategy_answers(spark, sf_dir):
+    """Strategies of all stored datasets, written twice: the second time every answer is there already."""
+    store = stored_reviews(spark, sf_dir)
+    for _ in range(2):
+        datasets.write_strategies(store, quoting_writer(), writer="quoting")
+    times = store.answers().agg(F.count("*").alias("asked"))
+    parsed = strategy.parse_answers(store.strategies(), "strategy_json")
+    return parsed.crossJoin(F.broadcast(times)).select("dataset_id", "executive_summary", F.col("recommendations")[0]["aspect"].alias("aspect"), "asked")

@@ -9,7 +9,7 @@ from suite import oracle, queries
 from suite.compare import compare, connect
 from tests.conftest import SMALL
 
-ROWS_ONLY = {"strategy_prompt", "topic_assign", "topic_assign_text"}
+ROWS_ONLY = {"topic_assign", "topic_assign_text"}
 
 
 @pytest.fixture(scope="module")
