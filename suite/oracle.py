@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
     q["tag_aspects"] = _sql("SELECT dataset_id, review_id, aspects FROM tags JOIN keyed USING (rid)", "tags", "both")
     q["tag_aspects_tables"] = _sql("SELECT review_id, aspects FROM tags JOIN keyed USING (rid)", "tags")
     q["aspect_onehot"] = _sql(f"SELECT review_id, {FLAGS} FROM tags JOIN keyed USING (rid)", "tags")
+    q["topic_discover"] = "SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first_id FROM embeddings"
     q["topic_keywords_ctfidf"] = _sql("SELECT source, position, term, tf, weight FROM keywords", "keywords")
     q["topic_info"] = _sql("""SELECT source, n, concat(source, '_', string_agg(term, '_' ORDER BY position) FILTER (position <= 4)) AS name,
       string_agg(term, ',' ORDER BY position) AS keywords FROM keywords JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source)

@@ -13,7 +13,7 @@ from reviewloom import vocab
 from reviewloom.functions import sentiment as sent
 from reviewloom.functions import text as txt
 from reviewloom.functions.numeric import rating_label
-from reviewloom.operators import (aspects, cleaning, evaluation, profiling, scoring, strategy, summary, topics)
+from reviewloom.operators import (aspects, cleaning, evaluation, profiling, scoring, strategy, summary, topic_tree, topics)
 from reviewloom.plans import batch, datasets
 from reviewloom.plans.analyze import analyze
 from reviewloom.plans.batch import summary_document
@@ -454,6 +454,16 @@ def topic_place(spark, sf_dir):
     return placed.select("vec_id", "topic", F.bround("topic_distance", 6).alias("topic_distance"))
 
 
+@register
+def topic_discover(spark, sf_dir):
+    """Vectors that differ by label in one component, each with the smallest id of the topic it is found in."""
+    vectors = table(spark, sf_dir, "embeddings")
+    parted = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0))
+    found = topic_tree.discover_topics(vectors.withColumn("embedding", parted), noise_quantile=None)
+    first = found.groupBy("topic").agg(F.min("vec_id").alias("first_id"))
+    return found.join(first, "topic").select("vec_id", "first_id")
+
+
 @register
 def topic_assign_text(spark, sf_dir):
     stored = stages.write_stage(light_reviews(reviews(spark, sf_dir)), fresh_path(spark, "light"))
