@@ -1,8 +1,9 @@
-"""An R-tree over vectors of group counts, and the join of its points by a bound on shared tokens."""
+"""An R-tree over vectors of group counts, the join of its points by a bound on shared tokens, and the links that connect sets."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -61,7 +62,6 @@ class CountTree:
     of each group and the smallest size below it, so the same bound holds for everything in it."""
 
     def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
-        self.points = points
         counts = np.stack([folded(p, GROUPS) for p in points]) if points else np.empty((0, GROUPS), np.int64)
         slabs = max(1, int(np.sqrt(len(sizes) / FANOUT)))
         by_size = np.argsort(sizes, kind="stable")
@@ -75,13 +75,11 @@ class CountTree:
             cuts = np.arange(0, len(low), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
-    def join(self, percent: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (i, j) of all pairs of points with different labels that can be similar, by descending from the pair
-        (root, root): a pair of nodes that fails the bound, or that holds one label only, is left with all below it. Pairs of
-        points that are left are bounded again in all the groups they have."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def candidates(self, percent: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices (i, j) of all pairs of points with different labels that can be similar, some thousands at a time, by descending
+        from the pair (root, root): a pair of nodes that fails the bound, or that holds one label only, is left with all below it."""
         if len(self.order) < 2:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return
         smallest = [labels[self.order]]
         largest = [smallest[0]]
         for _, low, _ in self.levels[:-1]:
@@ -106,10 +104,7 @@ class CountTree:
             if not len(a):
                 continue
             if not level:
-                one, two = self.order[a], self.order[b]
-                least = needed(low[a], low[b], percent).tolist()
-                fine = [shared_bound(self.points[i], self.points[j]) >= n for i, j, n in zip(one.tolist(), two.tolist(), least)]
-                found.append((one[fine], two[fine]))
+                yield self.order[a], self.order[b]
                 continue
             below = len(self.levels[level - 1][1])
             steps = np.arange(FANOUT)
@@ -117,6 +112,68 @@ class CountTree:
             j = np.tile(b[:, None] * FANOUT + steps, (1, FANOUT)).ravel()
             inside = (i < below) & (j < below) & (i <= j)
             stack.append((level - 1, i[inside], j[inside]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sorted sets share."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+class Parts:
+    """Which of some numbers links connect."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+        self.parent = first[group]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = int(self.parent[i])
+        return i
+
+    def apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which of many pairs nothing connects yet."""
+        while not np.array_equal(above := self.parent[self.parent], self.parent):
+            self.parent = above
+        return self.parent[one] != self.parent[two]
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+
+    def star(self) -> list[tuple[int, int]]:
+        """Every number that is not the smallest of its part, and that smallest one."""
+        return [(i, r) for i in range(len(self.parent)) if (r := self.root(i)) != i]
+
+
+def spanning(points: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Each point that may be similar to one with a different label, with the first point that such pairs connect it to. Pairs are
+    bounded in all the groups they have, unless others connect them already."""
+    parts = Parts(np.arange(len(sizes)))
+    for one, two in CountTree(points, sizes).candidates(percent, labels):
+        apart = parts.apart(one, two)
+        least = needed(sizes[one[apart]], sizes[two[apart]], percent).tolist()
+        for i, j, n in zip(one[apart].tolist(), two[apart].tolist(), least):
+            if parts.root(i) != parts.root(j) and shared_bound(points[i], points[j]) >= n:
+                parts.link(i, j)
+    return parts.star()
+
+
+def forest(sets: list[np.ndarray], settled: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Each set that is joined to another, by its label or by similarity, with the first set it is joined to over any number of steps.
+
+    Candidates come from a tree over the sets' counts; pairs with one value of `settled` are none. Those that are joined
+    already are passed over; the others are verified on the sets themselves.
+    """
+    parts = Parts(labels)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for one, two in CountTree([group_counts(s) for s in sets], sizes).candidates(percent, settled):
+        apart = parts.apart(one, two)
+        for i, j in zip(one[apart].tolist(), two[apart].tolist()):
+            if parts.root(i) != parts.root(j):
+                shared = shared_tokens(sets[i], sets[j])
+                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    parts.link(i, j)
+    return parts.star()

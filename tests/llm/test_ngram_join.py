@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from reviewloom.llm import ngram_join, shingles
-from reviewloom.llm.count_tree import CountTree, group_counts, needed, shared_bound
+from reviewloom.llm.count_tree import CountTree, forest, group_counts, needed, shared_bound, spanning
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,6 +63,7 @@ def families():
 def test_components_against_brute_force(spark, families, monkeypatch, sample, block):
     monkeypatch.setattr(ngram_join, "SAMPLE", sample)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FAMILY", 125 * block)
     docs = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs).collect()), key=str)
     assert got == brute_force(families)
@@ -73,10 +74,49 @@ def test_awkward_documents(spark, awkward, no_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(awkward).collect()), key=str)
     assert got == brute_force(rows)
     assert ngram_join.similar_documents(no_docs).count() == 0
-    kept = ngram_join.one_of_each_group(awkward)
-    assert kept.columns == awkward.columns
-    stay = {i for i, _, c in brute_force(rows) if i == c}
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, _ in rows if i is None or i in stay)
+
+
+def test_one_of_each_group(spark, awkward, no_docs):
+    """Every row counts by itself: repeated rows, rows without doc_id, and different texts under one doc_id."""
+    long = " ".join(f"w{i}" for i in range(50))
+    more = spark.createDataFrame([(900, long, "x"), (900, "quite another text of seven words", "y"), (3, long + " end", "z"), (None, long, "n")], "doc_id long, text string, source string")
+    docs = awkward.unionByName(more, allowMissingColumns=True)
+    rows = docs.collect()
+    kept = ngram_join.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    component = {r: c for r, _, c in brute_force([(i, r.text) for i, r in enumerate(rows)])}
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(component[i], []).append((r.doc_id is None, r.doc_id or 0, r.text))
+    expected = [min(g)[1:] for g in groups.values()]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in expected)
+    assert ngram_join.one_of_each_group(no_docs).count() == 0
+
+
+def test_family_whose_smallest_member_links_to_few(spark):
+    """Texts that drift from step to step: the first ones link to their neighbours only, and all share a passage."""
+    rng = np.random.default_rng(3)
+    text, rows = [f"d{i}" for i in range(400)], []
+    for i in range(120):
+        rows.append((i, " ".join(text)))
+        text = list(text)
+        for at in rng.integers(0, 340, 3):
+            text[at] = f"n{rng.integers(10**9)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs).collect()), key=str)
+    assert got == brute_force(rows) and len({c for _, _, c in got}) < 60
+
+
+def test_frequent_tokens_are_marked(spark, families):
+    docs = spark.createDataFrame(families, "doc_id long, text string")
+    monkey, ngram_join.SAMPLE = ngram_join.SAMPLE, 1
+    try:
+        bitmap = ngram_join.frequent_tokens(docs, 5)
+    finally:
+        ngram_join.SAMPLE = monkey
+    tokens, counts = np.unique(np.concatenate(shingles.shingle_sets(pa.array([t for _, t in families]))), return_counts=True)
+    assert ngram_join.marked(tokens[counts >= 3], bitmap).all() and len(tokens[counts >= 3]) > 100
+    assert ngram_join.marked(tokens[counts < 3], bitmap).mean() < 0.01
 
 
 def test_shingle_sets_count_like_words():
@@ -98,12 +138,29 @@ def test_tree_join_keeps_every_similar_pair():
             sets.append(np.unique(shingles.mixed(copy)))
     counts, sizes = [group_counts(s) for s in sets], np.array([len(s) for s in sets])
     labels = np.arange(len(sets)) // 2
-    a, b = CountTree(counts, sizes).join(80, labels)
-    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
-    assert len(found) == len(a) and all(labels[x] != labels[y] for x, y in found)
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if labels[i] != labels[j]
-            and 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 80 * len(set(sets[i].tolist()) | set(sets[j].tolist()))}
-    assert want <= found and len(want) > 50
-    exact = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if labels[i] != labels[j]
-             and shared_bound(counts[i], counts[j]) >= needed(sizes[i:i + 1], sizes[j:j + 1], 80)[0]}
-    assert found == exact
+    found = [(min(x, y), max(x, y)) for a, b in CountTree(counts, sizes).candidates(80, labels) for x, y in zip(a.tolist(), b.tolist())]
+    assert len(found) == len(set(found)) and all(labels[x] != labels[y] for x, y in found)
+    shared = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist()))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    want = {(i, j) for i, j in pairs if labels[i] != labels[j] and shared(i, j) >= needed(sizes[i:i + 1], sizes[j:j + 1], 80)[0]}
+    exact = {(i, j) for i, j in pairs if labels[i] != labels[j] and shared_bound(counts[i], counts[j]) >= needed(sizes[i:i + 1], sizes[j:j + 1], 80)[0]}
+    assert exact <= set(found)
+    assert want <= set(found) and len(want) > 50
+    assert all(shared_bound(counts[i], counts[j]) >= shared(i, j) for i, j in pairs)
+
+    def parts(edges, joined=()):
+        root = list(range(len(sets)))
+        for i, j in [*edges, *joined]:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+    twins = [(i, i + 1) for i in range(0, len(sets), 2)]
+    links = forest(sets, labels, labels, 80)
+    assert len(links) < len(sets) and parts(links) == parts(want, twins) and all(i > j for i, j in links) and len({i for i, _ in links}) == len(links)
+    none = np.array([], np.int64)
+    assert forest([], none, none, 80) == [] and forest(sets[:1], labels[:1], labels[:1], 80) == []
+    chosen = spanning(counts, sizes, labels, 80)
+    assert len(chosen) < len(sets) and parts(chosen) == parts(exact)
+    settled = np.arange(len(sets)) // 4  # pairs that are settled are left to others, the rest is linked as before
+    some = {x for x in want if settled[x[0]] != settled[x[1]]}
+    assert parts(forest(sets, settled, labels, 80)) == parts(some, twins)
