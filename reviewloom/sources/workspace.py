@@ -70,6 +70,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as it is stored. How it is split is the scan's business (`spark.sql.files.maxPartitionBytes`)."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """A Parquet table as it is stored. How it is split is the scan's business (`spark.sql.files.maxPartitionBytes`); a row group
+    is never split. `tasks` deals the rows into so many tasks by a shuffle, for small files of a single row group."""
+    df = spark.read.parquet(path)
+    return df if tasks is None else df.repartition(tasks)
