@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import staged
-from reviewloom.llm.shingles import slices, word_hashes
-from reviewloom.llm.token_counts import text_bytes, word_spans
+from reviewloom.llm.shingles import word_hashes
+from reviewloom.llm.token_counts import slices, text_bytes, word_spans
 from reviewloom.sources.workspace import fresh_path
 
 SLICE = 8 << 20      # bytes of text in a slice, about; a longer text is a slice by itself

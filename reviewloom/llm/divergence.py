@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import staged
-from reviewloom.llm.shingles import slices
-from reviewloom.llm.token_counts import text_bytes
+from reviewloom.llm.token_counts import slices, text_bytes
 
 MIN_DOCS = 30           # documents of a language that hold a kept term
 TOP = 50                # ranks reported of a group's terms

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from reviewloom.llm.common import staged
 from reviewloom.llm.components import connected_components
 from reviewloom.llm.count_tree import coarse_counts, forest, group_counts, needed, packed, shared_bound, spanning, unpacked
-from reviewloom.llm.shingles import mixed, shingle_sets, slices
+from reviewloom.llm.shingles import mixed, shingle_sets
+from reviewloom.llm.token_counts import slices
 
 SAMPLE = 32        # one document in so many is looked at for frequent tokens, which only settles the order of tokens
 FREQUENT = 3       # times a frequent token occurs in the sample

@@ -16,16 +16,28 @@ def part_bases(stored: DataFrame) -> DataFrame:
             .withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))))
 
 
+def boundary_records(stored: DataFrame, length: int = 2048) -> DataFrame:
+    """How each part meets its neighbours: part, base, tokens, `window` (the first one it gives ids to), `opened` (the ids earlier
+    parts gave to that window), the ids the part gives to it to complete it (`head`), the whole windows it holds (`whole`), and
+    the ids of the window it leaves open (`tail`). One row per part."""
+    bases = part_bases(stored)
+    head = F.least(F.col("tokens"), F.pmod(-F.col("base"), F.lit(length)))
+    rest = F.col("tokens") - head
+    return bases.select("part", "base", "tokens", F.floor(F.col("base") / length).alias("window"), (F.col("base") % length).alias("opened"),
+                        head.alias("head"), F.floor(rest / length).alias("whole"), (rest % length).alias("tail"))
+
+
 def pack(stored: DataFrame, length: int = 2048) -> DataFrame:
     """The pieces of all documents, laid end to end and cut every `length` ids.
 
-    `stored` is a stored table as `tokenize` makes it. First pass: token totals per part, and their prefix sums. Second
-    pass: the global start of a document is base + local start, and a document is cut where it meets a window's edge.
-    Windows are full but for the last one. Per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
-    Documents without ids give no piece. The bases, one row per task of the first pass, are broadcast.
+    `stored` is a stored table as `tokenize` makes it. First pass: token totals per part, their prefix sums, and from them a boundary
+    record per part. Second pass: a document's place in the windows of its part follows from the record and from the ids before
+    it in the part, and it is cut where it meets a window's edge. Windows are full but for the last one. Per piece: doc_id, start,
+    length, ids, doc_tokens, sequence_id, offset. Documents without ids give no piece. The records are broadcast: one row per
+    task of the first pass.
     """
-    bases = part_bases(stored).select("part", "base")
-    placed = stored.join(F.broadcast(bases), "part").withColumn("_g", F.col("base") + F.col("local_start"))
+    records = boundary_records(stored, length).select("part", "window", "opened")
+    placed = stored.join(F.broadcast(records), "part").withColumn("_g", F.col("opened") + F.col("local_start"))
     end = F.col("_g") + F.col("n_tokens")
 
     def piece(window):
@@ -34,22 +46,13 @@ def pack(stored: DataFrame, length: int = 2048) -> DataFrame:
         start = first - F.col("_g")
         return F.struct(start.alias("start"), size.alias("length"),
                         F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
-                        window.alias("sequence_id"), (first - window * length).alias("offset"))
+                        (F.col("window") + window).alias("sequence_id"), (first - window * length).alias("offset"))
 
     windows = F.sequence(F.floor(F.col("_g") / length), F.floor((end - 1) / length))
     cut = placed.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.explode(F.transform(windows, piece)).alias("p"))
     return cut.select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
 
 
-def boundary_records(stored: DataFrame, length: int = 2048) -> DataFrame:
-    """How each part meets its neighbours: part, base, tokens, the ids it gives to a window begun earlier (`head`), the
-    whole windows it holds (`whole`), and the ids of the window it leaves open (`tail`). One row per part."""
-    bases = part_bases(stored)
-    head = F.least(F.col("tokens"), F.pmod(-F.col("base"), F.lit(length)))
-    rest = F.col("tokens") - head
-    return bases.select("part", "base", "tokens", head.alias("head"), F.floor(rest / length).alias("whole"), (rest % length).alias("tail"))
-
-
 def sequences(pieces: DataFrame) -> DataFrame:
     """sequence_id and its ids in order. A group holds at most one window of ids."""
     run = F.array_sort(F.collect_list(F.struct("offset", "ids")))

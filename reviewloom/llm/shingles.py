@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
-from reviewloom.llm.token_counts import text_bytes, word_spans
-
-CHUNK = 2 << 20  # bytes of text worked on at once; a longer text is worked on alone
+from reviewloom.llm.token_counts import CHUNK, text_bytes, word_spans
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -68,14 +64,3 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
-
-
-def slices(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about CHUNK bytes of text."""
-    sizes = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(batch.column(text_column)).to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        done = sizes[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto

@@ -8,9 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 STATE_BITS = 20
+CHUNK = 2 << 20  # bytes of text worked on at once; a longer text is worked on alone
 
 
 class Automaton:
@@ -95,16 +97,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*texts, b""]), np.uint8), np.cumsum(sizes) - sizes
 
 
+def slices(batch: pa.RecordBatch, text_column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about CHUNK bytes of text."""
+    sizes = np.cumsum([0 if n is None else n for n in pc.binary_length(batch.column(text_column)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, done + CHUNK, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_bytes for every row: the pieces that greedy longest match gives for the words of the
-    whole text, each word read with one space before it. Null, empty and blank texts have no words and no tokens."""
+    whole text, each word read with one space before it. Null, empty and blank texts have no words and no tokens. Repeated rows are
+    counted each; a very long text is worked on alone."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_bytes long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, 1):
                 data, first = text_bytes(some.column(1))
                 starts, lengths = word_spans(data)
                 row = np.searchsorted(first, starts, side="right") - 1

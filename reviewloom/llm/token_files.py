@@ -11,57 +11,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewloom.llm import rans
 from reviewloom.llm.common import staged
 from reviewloom.llm.packing import part_bases
-from reviewloom.llm.tokens import tokenize
+from reviewloom.llm.tokens import id_type, tokenize_and_count
 
 BLOCK = 1 << 20  # a block ends with the document that reaches so many ids
 
 
-def symbol_counts(stored: DataFrame) -> DataFrame:
-    """symbol, n over all ids of all documents; every task sends one row per symbol it has seen."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+def symbol_counts(rows: DataFrame, vocabulary_size: int) -> np.ndarray:
+    """How often each symbol occurs, from the tasks' counts: one number per symbol reaches the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary_size, np.uint64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            more = np.bincount(ids, minlength=len(seen))
-            more[: len(seen)] += seen
-            seen = more
-        found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], names=["symbol", "n"])
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(counts, np.uint64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], names=["symbol", "n"])
 
-    return stored.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    found = rows.select("ids").mapInArrow(add, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(vocabulary_size, np.int64)
+    out[found["symbol"].to_numpy(np.int64)] = found["n"]
+    return out
 
 
-def _encoder(table: rans.Table, doc_type: pa.DataType):
+def _encoder(table: rans.Table, doc_type: pa.DataType, kind: str):
+    """Blocks of whole documents, of (doc_id, n_tokens, ids) in order; a task is a part."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, docs, lengths, ids, held = None, 0, [], [], [], 0
+        part, start, held, waiting = TaskContext.get().partitionId(), 0, 0, []
 
         def block() -> pa.RecordBatch:
-            payload = rans.encode(np.frombuffer(b"".join(ids), "<u4"), table)
+            docs, lengths = (pa.concat_arrays([w[c] for w in waiting]) for c in (0, 1))
+            payload = rans.encode(np.concatenate([w[2] for w in waiting]), table)
+            whole = [pa.array([0, len(docs)], pa.int32())]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([docs], pa.list_(doc_type)),
-                 pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.ListArray.from_arrays(*whole, docs),
+                 pa.ListArray.from_arrays(*whole, lengths), pa.array([payload], pa.binary())],
                 names=["part", "local_start", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for p, s, d, n, i in zip(*[c.to_pylist() for c in batch.slice(at, 500).columns]):
-                    # A stored file is read in order, but a task may read several files, or begin within one.
-                    if docs and (p != part or s != start + held or held >= BLOCK):
-                        yield block()
-                        docs, lengths, ids, held = [], [], [], 0
-                    if not docs:
-                        part, start = p, s
-                    docs.append(d)
-                    lengths.append(n)
-                    ids.append(i)
-                    held += n
-        if docs:
+            ends, at = np.cumsum(batch.column(1).to_numpy()), 0
+            while at < batch.num_rows:
+                # Up to the document with which the block is full.
+                done = int(ends[at - 1]) if at else 0
+                upto = min(batch.num_rows, int(np.searchsorted(ends, done + BLOCK - held, side="left")) + 1)
+                some = batch.slice(at, upto - at)
+                waiting.append((some.column(0), some.column(1), np.frombuffer(b"".join(some.column(2).to_pylist()), kind)))
+                held, at = held + int(ends[upto - 1]) - done, upto
+                if held >= BLOCK:
+                    yield block()
+                    start, held, waiting = start + held, 0, []
+        if waiting:
             yield block()
 
     return encode
@@ -70,22 +75,23 @@ def _encoder(table: rans.Table, doc_type: pa.DataType):
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, vocabulary_size: int, end_id: int) -> None:
     """Encode every text (null: empty), append `end_id`, and write the folder described above.
 
-    Documents are range-partitioned by doc_id, nulls first; each range is one part. The frequency table comes from the
+    Texts become ids, counted at once, before anything is shuffled; the ids are then range-partitioned by doc_id, nulls first, rows
+    with one doc_id by their number of ids and their content, and each range is one part. The frequency table comes from the
     ids of all documents. It has `vocabulary_size` rows at most and is the only thing that passes through the driver.
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    stored = staged(tokenize(ordered, vocabulary, end_id), "token-ids")
-    counts = symbol_counts(stored).toPandas()
-    table = rans.scaled(np.bincount(counts["symbol"].to_numpy(np.int64), counts["n"].to_numpy(), minlength=vocabulary_size))
+    stored = staged(tokenize_and_count(docs, vocabulary, end_id, vocabulary_size), "token-ids")
+    table = rans.scaled(symbol_counts(stored.filter("n_tokens < 0"), vocabulary_size))
     rows = [(int(s), int(table.frequency[s]), table.bits) for s in np.flatnonzero(table.frequency)]
     spark.createDataFrame(rows, "symbol int, frequency long, bits int").coalesce(1).write.parquet(f"{path}/table")
-    kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-    blocks = (stored.select("part", "local_start", "doc_id", "n_tokens", "ids")
-              .mapInArrow(_encoder(table, to_arrow_type(kind)), f"part int, local_start long, doc_ids array<{kind.simpleString()}>, lengths array<long>, payload binary"))
+    kind, order = docs.schema["doc_id"].dataType, ["doc_id", "n_tokens", "_content"]
+    ordered = (stored.filter("n_tokens >= 0").withColumn("_content", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+               .select("doc_id", "n_tokens", "ids"))
+    blocks = ordered.mapInArrow(_encoder(table, to_arrow_type(kind), id_type(vocabulary_size)),
+                                f"part int, local_start long, doc_ids array<{kind.simpleString()}>, lengths array<long>, payload binary")
     blocks.write.option("compression", "snappy").parquet(f"{path}/blocks")
-    part_bases(stored).select("part", "base").coalesce(1).write.parquet(f"{path}/parts")
+    sizes = spark.read.parquet(f"{path}/blocks").select("part", F.explode("lengths").alias("n_tokens"))
+    part_bases(sizes).select("part", "base").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_table(spark: SparkSession, path: str, vocabulary_size: int) -> rans.Table:

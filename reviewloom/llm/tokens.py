@@ -9,8 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from reviewloom.llm.token_counts import slices
+
 # Letters of one byte in Latin-1: every version of Unicode and every library takes these for letters.
 LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 # Letters and then marks, without the apostrophe: both patterns break between them and nowhere in the marks.
@@ -111,6 +114,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive runs of `flat`, `counts` numbers each, as binary values."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+    return pa.array([flat[a: b].tobytes() for a, b in zip(ends[:-1] // flat.itemsize, ends[1:] // flat.itemsize)], pa.binary())
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of (doc_id, text), a few megabytes of texts at a time: the doc_ids, all ids one after the other, and how many each text has."""
+    own, end = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes()
+    for batch in batches:
+        for some in slices(batch, 1):
+            ids = [(own.encode(text) if text else b"") + end for text in some.column(1).to_pylist()]
+            yield some.column(0), np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, part, local_start, n_tokens, ids for every row of `docs`, each text followed by `end_id`.
 
@@ -118,20 +138,34 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     the ids before the row in it; both are meant to be stored with the ids, since a plan that runs again may deal rows anew.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, local_start long, n_tokens long, ids binary"
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, start, own = TaskContext.get().partitionId(), 0, encoder(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                ids = [(own.encode(text) if text else b"") + end for text in some.column(1).to_pylist()]
-                counts = np.asarray([len(x) // 4 for x in ids], np.int64)
-                starts = start + np.cumsum(counts) - counts
-                start += int(counts.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts),
-                     pa.array(ids, pa.binary())], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+        part, start = TaskContext.get().partitionId(), 0
+        for doc_id, flat, counts in _encoded(batches, vocabulary, end_id):
+            starts = start + np.cumsum(counts) - counts
+            start += int(counts.sum())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), pa.array(counts), _binary(flat, counts)],
+                                             names=["doc_id", "part", "local_start", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
+
+
+def tokenize_and_count(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_size: int) -> DataFrame:
+    """doc_id, n_tokens, ids for every row of `docs`, and one more row per task with n_tokens -1 whose ids are the task's counts of all
+    symbols (unsigned 64-bit). Ids are little-endian, as wide as `id_type` says."""
+    kind = id_type(vocabulary_size)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs_type = np.zeros(vocabulary_size, np.uint64), None
+        for doc_id, flat, counts in _encoded(batches, vocabulary, end_id):
+            seen += np.bincount(flat, minlength=vocabulary_size).astype(np.uint64)
+            docs_type = doc_id.type
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(counts), _binary(flat.astype(kind), counts)], names=["doc_id", "n_tokens", "ids"])
+        if docs_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, docs_type), pa.array([-1], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+
+
+def id_type(vocabulary_size: int) -> str:
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reviewloom.llm import gru
 from reviewloom.llm.common import SPACES
-from reviewloom.llm.shingles import _LOWER, _power_tables, mixed, slices
+from reviewloom.llm.shingles import _LOWER, _power_tables, mixed
 from reviewloom.llm.token_counts import text_bytes, word_spans
 
 BEGINNINGS = (4, 5, 6, 7, 8)

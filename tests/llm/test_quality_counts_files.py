@@ -149,6 +149,22 @@ def test_token_files(spark, awkward, no_docs, monkeypatch):
     assert token_files.read_tokens(spark, empty, vocabulary_size=49_408).count() == 0
 
 
+def test_token_files_do_not_depend_on_how_rows_are_dealt(spark):
+    """Rows with one doc_id, or none, come in the order of their lengths and contents."""
+    rows = [(i % 7 if i % 3 else None, f"text {i % 11} " * (i % 5)) for i in range(120)]
+    found = []
+    for parts in (1, 5):
+        path = fresh_path(spark, "test-files")
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), WORDS, path, vocabulary_size=49_408, end_id=2)
+        found.append([(r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in token_files.read_tokens(spark, path, vocabulary_size=49_408).orderBy("start").collect()])
+    assert found[0] == found[1] and len(found[0]) == 120
+    assert [r[0] for r in found[0]] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+
+
+def test_ids_are_as_wide_as_the_vocabulary_asks():
+    assert [token_files.id_type(n) for n in (1, 1 << 16, (1 << 16) + 1)] == ["<u2", "<u2", "<u4"]
+
+
 def greedy(data: bytes, pieces: set, longest: int) -> int:
     at = count = 0
     while at < len(data):
