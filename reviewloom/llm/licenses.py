@@ -119,7 +119,8 @@ SPDX_LETTERS = {licence: chr(0x4E00 + n) for n, licence in enumerate(sorted(set(
 ALL_WORDS = BY_WORDS | {" ".join([SPDX_LINE, *words_of(name)]): SPDX_LETTERS[licence] for name, licence in SPDX.items()}
 ALL_NAMES = {v: k for k, v in LETTERS.items()} | {v: f"spdx-{k}" for k, v in SPDX_LETTERS.items()} | {SPDX_OTHER: "spdx-other"}
 ALL_SEQUENCES = SEQUENCES | {v: k for k, v in SPDX_LETTERS.items()}
-ALL_SENTENCES = SENTENCE_PATTERN + f"|[|/] {SPDX_LINE}(?: [|/] [|/])?(?: [a-z0-9]+)+ [|/]"
+# Possessive, so that the words of a very long line are read in a loop and never given back.
+ALL_SENTENCES = SENTENCE_PATTERN + f"|[|/] {SPDX_LINE}(?: [|/] [|/])?(?: [a-z0-9]++)++ [|/]"
 ALL_RULES = RULE_PATTERN + "|[\u4e00-\u9fff]"
 GAP = "(?: [|/] [|/])? "
 # The clause on names speaks of any holder; what follows its last fixed word does not matter.
@@ -164,7 +165,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Rules are matched from left to right in the sequence of known sentences, the longest first, and use up what they match.
     Identifiers of SPDX-License-Identifier lines are sentences and rules by themselves; one that SPDX does not list is unexplained.
-    Null and empty texts and texts without known sentences have no sentences and no licences (empty strings).
+    Null and empty texts and texts without known sentences have no sentences and no licences (empty strings). Repeated rows are
+    scanned each; texts and lines may be of any length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lowered = F.translate(text, UPPER, LOWER)

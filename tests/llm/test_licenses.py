@@ -76,3 +76,14 @@ def test_licences_beyond_the_first(spark):
     got = {r.doc_id: (r.licences, r.n_unexplained) for r in licenses.scan(docs).collect()}
     assert {i: (got[i], t) for i, (t, licence, rest) in enumerate(cases) if got[i] != (licence, rest)} == {}
     assert [r.sentences for r in licenses.scan(docs).filter("doc_id = 21").collect()] == ["spdx-MIT"]
+
+
+def test_very_long_texts(spark):
+    """Lines of 100,000 words, with and without known sentences around them."""
+    words, mark = "word another " * 50_000, "SPDX-License-Identifier: "
+    cases = [("SPDX License Identifier " + words, "", 1), (words + licenses.SENTENCES["mit-notice"], "", 0), (words + ". " + licenses.SENTENCES["mit-notice"] + " " + words, "MIT", 0),
+             (f"{mark}MIT {words}", "MIT", 0), ((mark + "MIT OR ISC\n") * 2000, ",".join(["MIT", "ISC"] * 2000), 0), ("license " * 100_000, "", 0),
+             ("neither the name of " + words + " endorse or promote products derived from this software", "", 0), ("license.\n" * 100_000, "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_unexplained) for r in licenses.scan(docs).collect()}
+    assert {i: got[i][0][:80] for i, (t, licence, rest) in enumerate(cases) if got[i] != (licence, rest)} == {}
