@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VECTORS, QUERIES, BATCH = 4096, 4096, 256  # vectors and queries of one block, queries that read the lists together
-LARGEST = float(1 << 20)  # with components from here on, sums of products may not fit 64 bits
+LONGEST = 2.0 ** 31  # of a vector times 256; the product of two shorter ones fits 64 bits
 
 
 class SortedLists:
@@ -62,56 +66,96 @@ class SortedLists:
         return result
 
 
-def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+SCHEMA = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.bool_())])
+
+
+def _dealt(queries: pa.Table, vectors: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(t.column(c).to_numpy() for t, c in ((queries, "query_id"), (queries, "query"), (vectors, "vec_id")))
 
+
+def _search(k: int):
     def matrix(column) -> np.ndarray:
         lists = column.combine_chunks()
         return lists.flatten().to_numpy().reshape(len(lists), -1)
 
     def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
-            return schema.empty_table()
-        asked, ids = queries.column("query_id").to_numpy(), vectors.column("vec_id").to_numpy()
-        points, wanted = matrix(vectors.column("x")), matrix(queries.column("q"))
+            return SCHEMA.empty_table()
+        asked, which, ids = _dealt(queries, vectors)
+        points, wanted = matrix(vectors.column("x")), matrix(queries.column("x"))
         lists, out = SortedLists(points), []
         for at in range(0, len(asked), BATCH):
             some = asked[at: at + BATCH]
             for n, found in enumerate(lists.top(wanted[at: at + BATCH], k, some[:, None] == ids)):
                 scores = points[found] @ wanted[at + n]
                 best = np.lexsort((ids[found], -scores))[:k]
-                out.append((np.full(len(best), some[n]), ids[found][best], scores[best]))
-        return pa.table([np.concatenate([o[c] for o in out]) for c in range(3)], schema=schema)
+                out.append((np.full(len(best), some[n]), np.full(len(best), which[at + n]), ids[found][best], scores[best], np.zeros(len(best), bool)))
+        return pa.table([np.concatenate([o[c] for o in out]) for c in range(5)], schema=SCHEMA)
+
+    return search
+
+
+def whole(x: float) -> int:
+    """floor(256 * x) of any finite number; from 2^53 on a double is a whole number."""
+    return int(x) * 256 if abs(x) >= 2.0 ** 53 else math.floor(x * 256)
+
+
+def _search_exactly(k: int):
+    """The same for vectors too long for 64-bit sums: whole numbers of any size, one product after the other."""
+    def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        asked, which, ids = _dealt(queries, vectors)
+        points = [[whole(x) for x in v] for v in vectors.column("raw").to_pylist()]
+        rows, low, high = [], -(1 << 63), (1 << 63) - 1
+        for query, number, vector in zip(asked.tolist(), which.tolist(), queries.column("raw").to_pylist()):
+            wanted = [whole(x) for x in vector]
+            scored = ((-sum(map(operator.mul, wanted, p)), i) for p, i in zip(points, ids.tolist()) if i != query)
+            for score, i in heapq.nsmallest(k, scored):
+                rows.append((query, number, i, min(max(-score, low), high), not low <= -score <= high))
+        return pa.table([pa.array([r[c] for r in rows], SCHEMA.types[c]) for c in range(5)], schema=SCHEMA)
 
     return search
 
 
-def quantised(vector: Column) -> Column:
-    """floor(256 * x) of each component; null for vectors that are null, empty, or hold null, non-finite or huge components."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) >= LARGEST))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * 256))
-    return F.when((F.size(vector) > 0) & ~bad, whole)
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part: it has components, and all are finite numbers."""
+    return (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
 
 
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the `k` highest inner products of each query, ties to smaller vec_id.
 
-    Queries are the rows of `vectors` (vec_id, embedding) whose vec_id is divisible by `every`; candidates are all rows
-    but those with the query's vec_id. Rows without vec_id, and vectors that are null or empty or hold null, non-finite or
-    huge components (2^20 and more), take no part; vectors of different lengths are not compared. Queries and
+    Components count as floor(256 * x). Queries are the rows of `vectors` (vec_id, embedding) whose vec_id is divisible by
+    `every`; candidates are all rows but those with the query's vec_id. Rows without vec_id, and vectors that are null or empty or
+    hold null or non-finite components, take no part; vectors of different lengths are not compared. Queries and
     vectors are dealt into blocks of bounded size, every block of queries meets every block of vectors once, and each
-    meeting returns at most k rows a query. Repeated rows are candidates each, and one query.
+    meeting returns at most k rows a query. Repeated rows are candidates each, and one query; different vectors under one
+    vec_id are queries by themselves, with ranks of their own. The products of a vector longer than LONGEST, which may not fit
+    64 bits, are made one by one in whole numbers of any size; a score among the best that no long can hold is an error.
     """
-    valid = (vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("x"))
-             .filter("x IS NOT NULL").withColumn("dims", F.size("x")))
-    asked = valid.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    sizes = valid.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    v_blocks, q_blocks = -(-sizes["n"] // VECTORS) or 1, -(-sizes["q"] // QUERIES) or 1
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    kept = (vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("raw"))
+            .filter(usable(F.col("raw"))))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x)) * 256
+    valid = kept.withColumns({"dims": F.size("raw"), "long": length >= LONGEST}).withColumn(
+        "x", F.when(~F.col("long"), F.transform("raw", lambda x: F.floor(x * 256))))
+    asked = (valid.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "raw"])
+             .withColumnsRenamed({"vec_id": "query_id"}).withColumn("query", F.xxhash64("raw")))
+    sizes = valid.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.count_if("long").alias("long")).first()
+    block = lambda n, key: F.pmod(F.xxhash64(key, "raw"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    points = valid.withColumn("vb", block(v_blocks)).withColumn("qb", every_block(q_blocks))
-    wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "dims", block(q_blocks).alias("qb")).withColumn("vb", every_block(v_blocks))
     keys = ["dims", "qb", "vb"]
-    found = wanted.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(wanted: DataFrame, points: DataFrame, search) -> DataFrame:
+        v_blocks, q_blocks = -(-sizes["n"] // VECTORS) or 1, -(-sizes["q"] // QUERIES) or 1
+        dealt = points.withColumn("vb", block(v_blocks, "vec_id")).withColumn("qb", every_block(q_blocks))
+        some = wanted.withColumn("qb", block(q_blocks, "query_id")).withColumn("vb", every_block(v_blocks))
+        return some.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id long, query long, vec_id long, score long, beyond boolean")
+
+    small_queries, small = asked.filter("NOT long").select("query_id", "query", "dims", "raw", "x"), valid.filter("NOT long").select("vec_id", "dims", "raw", "x")
+    found = met(small_queries, small, _search(k))
+    if sizes["long"]:
+        exact = [c for c in ("query_id", "query", "dims", "raw")]
+        found = (found.unionByName(met(asked.filter("long").select(*exact), valid.select("vec_id", "dims", "raw"), _search_exactly(k)))
+                 .unionByName(met(asked.filter("NOT long").select(*exact), valid.filter("long").select("vec_id", "dims", "raw"), _search_exactly(k))))
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    score = F.when(F.col("beyond"), F.raise_error(F.lit("a score is too large for a long")).cast("long")).otherwise(F.col("score"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
