@@ -59,6 +59,11 @@ SENTENCES = {
     "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
     "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "epl2-notice-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "gpl3-text": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl2-text": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "agpl3-text": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
 }
 # Licences as ordered identifiers. Known sentences in no rule are counted as n_unexplained.
 RULES = {
@@ -66,11 +71,14 @@ RULES = {
     "Apache-2.0": [["apache-grant", "apache-copy", "apache-as-is"], ["apache-grant", "apache-copy"], ["apache-notice"]],
     "GPL-3.0-or-later": [["gpl3-later", "gpl-hope", "gpl-details"], ["gpl3-later"]],
     "GPL-2.0-or-later": [["gpl2-later", "gpl-hope", "gpl-details"], ["gpl2-later"]],
-    "GPL-3.0-only": [["gpl3-notice"]],
-    "GPL-2.0-only": [["gpl2-only", "gpl-hope", "gpl-details"], ["gpl2-only"], ["gpl2-only-2", "gpl-hope", "gpl-details"], ["gpl2-only-2"], ["gpl2-notice"]],
+    # A copy of a licence text ends with the notice it recommends; the text alone says nothing of later versions.
+    "GPL-3.0-only": [["gpl3-notice"], ["gpl3-text", "gpl3-later", "gpl-hope", "gpl-details"], ["gpl3-text"]],
+    "GPL-2.0-only": [["gpl2-text", "gpl2-later", "gpl-hope", "gpl-details"], ["gpl2-text"], ["gpl2-only", "gpl-hope", "gpl-details"], ["gpl2-only"], ["gpl2-only-2", "gpl-hope", "gpl-details"], ["gpl2-only-2"], ["gpl2-notice"]],
     "LGPL-2.0-or-later": [["lgpl2-later", "lgpl-hope", "lgpl2-details"], ["lgpl2-later"]],
     "LGPL-2.1-or-later": [["lgpl21-later", "lgpl-hope", "lgpl-details"], ["lgpl21-later"]],
     "LGPL-3.0-or-later": [["lgpl3-later", "lgpl-hope", "lgpl-details"], ["lgpl3-later"], ["lgpl3-later-2", "gpl-hope", "lgpl-details"], ["lgpl3-later-2"]],
+    "AGPL-3.0-only": [["agpl3-text", "agpl3-later", "gpl-hope", "agpl-details"], ["agpl3-text"]],
+    "Zlib": [["zlib-as-is", "zlib-grant"], ["zlib-grant"]],
     "AGPL-3.0-or-later": [["agpl3-later", "gpl-hope", "agpl-details"], ["agpl3-later"]],
     "BSD-4-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"]],
     "Apache-1.1": [["bsd-grant", "bsd-source", "bsd-binary", "apache11-ack", "bsd-names"]],
@@ -105,13 +113,14 @@ def words_of(sentence: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).split()
 
 
-# A letter for each identifier, in the order above, so that a sequence of identifiers is a string.
-LETTERS = {name: chr(ord("A") + n) if n < 26 else chr(ord("a") + n - 26) for n, name in enumerate(SENTENCES)}
+# A number for each identifier, in the order above, written as a character, so that a sequence of identifiers is a string.
+FIRST, LAST = "\u3400", "\u4dbf"  # a run of 6,592 characters
+LETTERS = {name: chr(ord(FIRST) + n) for n, name in enumerate(SENTENCES)}
 BY_WORDS = {" ".join(words_of(text)): LETTERS[name] for name, text in SENTENCES.items()}
 # Long sentences are tried first, then long rules; both patterns mean the same in any engine that takes the leftmost match.
 SENTENCE_PATTERN = "[|/] (?:" + "|".join("(?: [|/] [|/])? ".join(words.split()) for words in sorted(BY_WORDS, key=lambda w: (-len(w), w))) + ") [|/]"
 SEQUENCES = {"".join(LETTERS[n] for n in names): licence for licence, rules in RULES.items() for names in rules}
-RULE_PATTERN = "|".join(sorted(SEQUENCES, key=lambda s: (-len(s), s))) + "|[A-Za-z]"
+RULE_PATTERN = "|".join(sorted(SEQUENCES, key=lambda s: (-len(s), s))) + f"|[{FIRST}-{LAST}]"
 
 # Beyond the fixed sentences: what follows has no fixed words, so SCAN_SQL below, made of the fixed ones, does not know it.
 SPDX_LINE, SPDX_OTHER = "spdx license identifier", chr(0x9FFF)
