@@ -140,22 +140,20 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     asked = (valid.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "raw"])
              .withColumnsRenamed({"vec_id": "query_id"}).withColumn("query", F.xxhash64("raw")))
     sizes = valid.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.count_if("long").alias("long")).first()
-    block = lambda n, key: F.pmod(F.xxhash64(key, "raw"), F.lit(n)).cast("int")
+    block = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keys = ["dims", "qb", "vb"]
 
-    def met(wanted: DataFrame, points: DataFrame, search) -> DataFrame:
+    def met(wanted: DataFrame, points: DataFrame, vector: str, search) -> DataFrame:
         v_blocks, q_blocks = -(-sizes["n"] // VECTORS) or 1, -(-sizes["q"] // QUERIES) or 1
-        dealt = points.withColumn("vb", block(v_blocks, "vec_id")).withColumn("qb", every_block(q_blocks))
-        some = wanted.withColumn("qb", block(q_blocks, "query_id")).withColumn("vb", every_block(v_blocks))
+        dealt = points.select("vec_id", "dims", vector).withColumn("vb", block(v_blocks, "vec_id", vector)).withColumn("qb", every_block(q_blocks))
+        some = wanted.select("query_id", "query", "dims", vector).withColumn("qb", block(q_blocks, "query")).withColumn("vb", every_block(v_blocks))
         return some.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id long, query long, vec_id long, score long, beyond boolean")
 
-    small_queries, small = asked.filter("NOT long").select("query_id", "query", "dims", "raw", "x"), valid.filter("NOT long").select("vec_id", "dims", "raw", "x")
-    found = met(small_queries, small, _search(k))
+    found = met(asked.filter("NOT long"), valid.filter("NOT long"), "x", _search(k))
     if sizes["long"]:
-        exact = [c for c in ("query_id", "query", "dims", "raw")]
-        found = (found.unionByName(met(asked.filter("long").select(*exact), valid.select("vec_id", "dims", "raw"), _search_exactly(k)))
-                 .unionByName(met(asked.filter("NOT long").select(*exact), valid.filter("long").select("vec_id", "dims", "raw"), _search_exactly(k))))
+        found = (found.unionByName(met(asked.filter("long"), valid, "raw", _search_exactly(k)))
+                 .unionByName(met(asked.filter("NOT long"), valid.filter("long"), "raw", _search_exactly(k))))
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     score = F.when(F.col("beyond"), F.raise_error(F.lit("a score is too large for a long")).cast("long")).otherwise(F.col("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
