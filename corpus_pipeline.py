@@ -23,7 +23,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The row with the smallest doc_id of each group of near copies."""
     return ngram_join.one_of_each_group(docs)
 
 
@@ -45,6 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that pass all stages. No documents give no pieces. Without trusted or toxic labels the stages that
+    learn from them reject nothing beyond their fixed rules. Every row counts by itself, whatever its doc_id."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
