@@ -154,3 +154,23 @@ def test_pipeline(spark):
         total = len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1
         assert sum(p.length for p in pieces[r.doc_id]) == total * times[r.doc_id]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, no_docs, tmp_path):
+    """Nulls, repeated rows, clashing columns, labels of other documents, no labels, no rows: no stage fails."""
+    from pyspark.sql import functions as F
+    plain = " ".join(f"word{i}" for i in range(60))
+    long = awkward.filter("doc_id IN (7, 8) OR doc_id IS NULL").withColumn("text", F.lit(plain))  # copies under several ids and under none
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (7, None, 1), (10**9, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = awkward.unionByName(long)
+    cases = {"awkward": (docs, labels), "unlabelled": (docs, labels.limit(0)), "empty": (no_docs, labels)}
+    for name, (docs, known) in cases.items():
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        with pytest.warns(UserWarning, match="both kinds"):
+            pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        by_doc = Counter()
+        for r in pieces:
+            by_doc[r.doc_id] += r.length
+        assert (not pieces) == (name == "empty") and all(n > 0 for n in by_doc.values())
+        assert not {8, None} & set(by_doc)  # one of the copies stays, the one with the smallest id
