@@ -90,7 +90,7 @@ def _looked_back(value: Column, distance: int, damping: float) -> Column:
     return sent.let(there, effect)
 
 
-HEAD = 4_096  # words of a model that travel with the plan
+HEAD = 512  # words of a model that travel with the plan
 
 
 @dataclass(frozen=True)
