@@ -52,22 +52,22 @@ def score_lexicon_context_with_table(df: DataFrame, key: str, valences: DataFram
                                      score: str = "vader_score", label: str = "vader_label") -> DataFrame:
     """Score with the context rules for a valence table `(word, valence)` of any size. `key` must be unique and not null.
 
-    Two kinds of words of a text go on: those the table knows, after the join, and intensifiers and negations that it
-    does not know. Each known word then looks back over a frame of three positions of its text. The sums are combined
-    before the shuffle that brings one number per text back to its row.
+    Two kinds of words of a text go on after the join: those the table knows, and intensifiers and negations that it does
+    not know. Each known word then looks back over a frame of three positions of its text. The sums are combined before the
+    shuffle that brings one number per text back to its row. What a whole text tells its words is settled before they are
+    spread: a row per word that still held the text's lists would take the square of the text's length.
     """
     light = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(key, light.alias("_light"), sent.bare_words(light).alias("_words"), F.split(light, " ").alias("_cased"))
-    placed = texts.select(
+    texts = df.select(key, sent.bare_words(light).alias("_words"), F.split(light, " ").alias("_cased"))
+    listed = texts.select(
         key, F.exists("_cased", lambda w: ~sent.is_upper(w)).alias("mixed"), F.array_position("_words", "but").alias("but_at"),
-        F.posexplode_outer(F.arrays_zip(F.col("_words").alias("word"), F.col("_cased").alias("cased"))).alias("at", "w"))
+        F.arrays_zip(F.col("_words").alias("word"), F.col("_cased").alias("cased")).alias("_listed"))
+    placed = listed.select(key, "mixed", "but_at", F.posexplode_outer("_listed").alias("at", "w"))
     words = placed.select(key, "at", "but_at", "w.word", (F.col("mixed") & sent.is_upper(F.col("w.cased"))).alias("shouted"))
-    known = valences.select("word", "valence")
     shaping = sent.one_of(F.col("word"), [*vocab.BOOSTERS, *vocab.NEGATIONS]) | F.col("word").contains("n't")
-    hits = words.join(known, "word")
-    others = words.where(shaping).join(known, "word", "left_anti").withColumn("valence", F.lit(None).cast("double"))
+    seen = words.join(valences.select("word", "valence"), "word", "left").where(F.col("valence").isNotNull() | shaping)
     before = Window.partitionBy(key).orderBy("at").rangeBetween(-len(vocab.BOOST_DAMPING), -1)
-    seen = hits.unionByName(others).withColumn("before", F.collect_list(F.when(F.col("valence").isNull(), F.struct("at", "word", "shouted"))).over(before))
+    seen = seen.withColumn("before", F.collect_list(F.when(F.col("valence").isNull(), F.struct("at", "word", "shouted"))).over(before))
     value = F.col("valence") + F.when(F.col("shouted"), F.signum("valence") * vocab.CAPS_BOOST).otherwise(F.lit(0.0))
     for distance, damping in enumerate(vocab.BOOST_DAMPING, 1):
         value = _looked_back(value, distance, damping)

@@ -212,3 +212,13 @@ def test_context_plan_does_not_grow_with_the_table(spark):
         table = spark.range(n).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1.0).alias("valence"))
         return len(scoring.score_lexicon_context_with_table(df, "i", table)._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(10) - size(1_000_000)) < 100
+
+
+def test_words_of_the_context_rules_carry_no_lists(spark):
+    df = spark.createDataFrame([(1, "Not GOOD but very bad")], "i long, clean_light string")
+    table = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "word string, valence double")
+    scored = scoring.score_lexicon_context_with_table(df, "i", table)
+    spread = [line for line in scored._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert len(spread) == 1 and "_words" not in spread[0].split("), [")[1] and "_cased" not in spread[0].split("), [")[1]
+    literal = scoring.score_lexicon(df, valences={"good": 1.9, "bad": -2.5}).first()
+    assert scored.first()["vader_score"] == literal["vader_score"] != 0
