@@ -11,17 +11,16 @@ from reviewloom import vocab
 from reviewloom.functions.lookup import let, lookup, one_of
 
 
+_MARK = "".join(f"\\x{{{ord(c):x}}}" for c in vocab.PUNCTUATION)
+_BARE = f"([^ {_MARK}][^ ]+[^ {_MARK}])"
+EDGED_WORD = f"(?<![^ ])(?:[{_MARK}]+{_BARE}[{_MARK}]*|{_BARE}[{_MARK}]+)(?![^ ])"
+
+
 def bare_words(text: Column) -> Column:
     """Lower-case words without surrounding punctuation; words that would shrink to two characters (emoticons)
-    stay whole. Only words with punctuation at an end are trimmed, since trimming is the costly part.
+    stay whole. The whole text is trimmed by one pattern, which is cheaper than looking at every word.
     """
-    marks = F.lit(vocab.PUNCTUATION)
-
-    def bare(word: Column) -> Column:
-        edged = F.contains(marks, F.substring(word, 1, 1)) | F.contains(marks, F.substring(word, -1, 1))
-        trimmed = F.btrim(word, marks)
-        return F.when(edged & (F.length(trimmed) > 2), trimmed).otherwise(word)
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), bare)
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), EDGED_WORD, "$1$2"), " ")
 
 
 def compound_label(compound: Column) -> Column:

@@ -165,7 +165,8 @@ def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "cl
         df.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
         keyed = df.sparkSession.read.parquet(path)
     words, none = tokens_of(F.col(text)), F.array(*[F.lit(0.0) for _ in model.classes])
-    rare = keyed.select(F.col(row).alias("_row"), F.explode(F.filter(words, lambda w: ~sent.one_of(w, model.head))).alias("word"))
+    # The outer explode is not preceded by a filter on the list's size, for which Spark would make the list twice.
+    rare = keyed.select(F.col(row).alias("_row"), F.explode_outer(F.filter(words, lambda w: ~sent.one_of(w, model.head))).alias("word"))
     fits = [F.sum(F.log(F.col("n")[c] + 1) - norm).alias(f"_f{i}") for i, (c, norm) in enumerate(zip(model.classes, model.norms))]
     sums = rare.join(model.words, "word").groupBy("_row").agg(*fits)
     add = lambda total, w: F.zip_with(total, sent.lookup(w, model.head, "array<double>"), lambda a, b: a + b)

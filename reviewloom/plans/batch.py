@@ -13,11 +13,12 @@ from reviewloom.operators.aspects import add_aspect_flags, tag_aspects
 from reviewloom.operators.cleaning import drop_blank_reviews, preprocess, with_review_ids
 from reviewloom.operators.evaluation import agreement_rate, classification_metrics, classification_report, confusion_matrix
 from reviewloom.operators.profiling import first_rows
-from reviewloom.operators.scoring import Scorer, fit_sentiment_model, run_sentiment
+from reviewloom.operators.scoring import Scorer, WordModel, fit_sentiment_model, run_sentiment
 from reviewloom.operators.summary import aspect_summary
 from reviewloom.operators.topics import assign_topics_from_text
 from reviewloom.sources.stages import read_stage, write_documents, write_stage
 
+ROW_KEY = "row_key"
 MODELS = {"lexicon": "vader_label", "model": "transformer_label"}
 
 
@@ -32,7 +33,8 @@ class BatchPaths:
 
 
 def clean_stage(raw: DataFrame, paths: BatchPaths) -> DataFrame:
-    return write_stage(preprocess(with_review_ids(drop_blank_reviews(raw))), paths.reviews_clean)
+    """The cleaned reviews, with a key of every row for the next stage."""
+    return write_stage(with_review_ids(preprocess(with_review_ids(drop_blank_reviews(raw))), ROW_KEY), paths.reviews_clean)
 
 
 def sentiment_stage(spark, paths: BatchPaths, sample: int | None = None, model: PipelineModel | None = None,
@@ -43,7 +45,8 @@ def sentiment_stage(spark, paths: BatchPaths, sample: int | None = None, model:
         df = first_rows(df, sample)
     if model is None and load_model is None:
         model = fit_sentiment_model(df)
-    return write_stage(run_sentiment(df, model, load_model), paths.reviews_sentiment)
+    key = ROW_KEY if isinstance(model, WordModel) and ROW_KEY in df.columns else None
+    return write_stage(run_sentiment(df, model, load_model, key).drop(ROW_KEY), paths.reviews_sentiment)
 
 
 def evaluation_stage(spark, paths: BatchPaths) -> dict[str, DataFrame]:

@@ -93,10 +93,11 @@ class ReviewStore:
     def save_analysis(self, df: DataFrame, dataset_id: str | None = None) -> None:
         """Store analysed reviews under `dataset_id`, or each under the value of its own `dataset_id` column.
 
-        The text is analysed once, into a stage of this run; both tables are written from the stage, so a save never
-        reads what was stored before. Readers see both tables of the run or neither, even if it ends half way.
-        Ids that are no numbers are kept as `source_id`, and the rows get ids of their own. Rows of several datasets are
-        gathered per dataset first, in pieces of even size however large one dataset is.
+        The text is analysed once, on the way to the reviews of this run; their aspects are made of the reviews as written, so
+        a save never reads what was stored before. Readers see both tables of the run or neither, even if it ends half way.
+        Ids that are no numbers are kept as `source_id`, and the rows get ids of their own, which are stored before anything
+        is shuffled by them. Rows of several datasets are gathered per dataset first, in pieces of even size however large one
+        dataset is.
         """
         require_columns(df, TEXT, "sentiment", "confidence", "aspects")
         if dataset_id is not None:
@@ -104,19 +105,23 @@ class ReviewStore:
         require_columns(df, "dataset_id")
         if "review_id" in df.columns and not isinstance(df.schema["review_id"].dataType, IntegralType):
             df = df.drop("source_id").withColumnRenamed("review_id", "source_id")
-        df = with_review_ids(df)
+        numbered, df = "review_id" in df.columns, with_review_ids(df)
         for optional in ("clean_deep", RATING, DATE, "source_id"):
             if optional not in df.columns:
                 df = df.withColumn(optional, F.lit(None).cast("string"))
         names = [f.name for f in ANALYZED_REVIEWS.fields]
         stage, run = fresh_path(self.spark, "save"), uuid.uuid4().hex
-        df.withColumn("aspects", F.coalesce(join_list(F.col("aspects")), F.lit(""))).select(*names).write.parquet(stage)
-        rows = self.spark.read.parquet(stage)
+        rows = df.withColumn("aspects", F.coalesce(join_list(F.col("aspects")), F.lit(""))).select(*names)
+        if not numbered:
+            rows.write.parquet(stage)
+            rows = self.spark.read.schema(rows.schema).parquet(stage)
+        even = (lambda part: part) if dataset_id is not None else (lambda part: part.hint("rebalance", F.col("dataset_id")))
+        path = f"{self.table_path('analyzed_reviews')}/{RUN}{run}"
+        self._write(even(rows), "analyzed_reviews", path)
+        written = self.spark.read.schema(ANALYZED_REVIEWS).parquet(path)
         # A review without aspects keeps a row with a null aspect, so that every dataset of a run stands in both tables.
-        children = rows.select("dataset_id", "review_id", "sentiment", F.explode_outer(split_list(F.col("aspects"))).alias("aspect"))
-        for part, table in ((rows, "analyzed_reviews"), (children, "review_aspects")):
-            even = part if dataset_id is not None else part.hint("rebalance", F.col("dataset_id"))
-            self._write(even, table, f"{self.table_path(table)}/{RUN}{run}")
+        children = written.select("dataset_id", "review_id", "sentiment", F.explode_outer(split_list(F.col("aspects"))).alias("aspect"))
+        self._write(even(children), "review_aspects", f"{self.table_path('review_aspects')}/{RUN}{run}")
         self._commit(run)
         remove_path(self.spark, stage)
 

@@ -116,3 +116,46 @@ def test_context_scorer_is_linear_in_capitals(spark):
     small = " ".join(["good"] * 16_000)
     seconds("good")
     assert seconds(small.upper()) < 2 * seconds(small) + 2
+
+
+def test_a_save_of_numbered_reviews_writes_them_once(spark, hot, tmp_path, monkeypatch):
+    from reviewloom.sources import store as module
+    staged = []
+    remove = module.remove_path
+    monkeypatch.setattr(module, "remove_path", lambda spark, path: (staged.append(module.path_exists(spark, path)), remove(spark, path)))
+    store = ReviewStore(spark, str(tmp_path / "s"))
+    store.save_analysis(analyze(hot))
+    assert staged == [False] and store.reviews().count() == 3000 and store.aspects("hot").count() == 2000
+    store.save_analysis(analyze(hot.drop("review_id")), "own")
+    assert staged == [False, True] and store.reviews("own").select("review_id").distinct().count() == 3000
+
+
+def test_texts_are_not_shuffled_for_the_examples(spark, hot, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "s"))
+    store.save_analysis(analyze(hot))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        context = strategy.strategy_context(store.reviews(), store.aspects())
+        text = [line for line in plan_of(context).splitlines() if "Join" in line and "review_id" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(text) == 1 and "BroadcastHashJoin" in text[0]
+
+
+def test_rare_words_are_listed_once(spark, hot):
+    from reviewloom.operators import scoring
+    rows = cleaning.preprocess(hot)
+    scored = scoring.score_model(rows, scoring.fit_sentiment_model(rows), key="review_id")
+    assert "size(filter(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batch_scores_the_stored_rows_as_they_are(spark, hot, tmp_path, monkeypatch):
+    from reviewloom.operators import scoring
+    from reviewloom.plans import batch
+    paths = batch.BatchPaths(str(tmp_path / "b"))
+    batch.clean_stage(hot, paths)
+    fresh = scoring.fresh_path
+    monkeypatch.setattr(scoring, "fresh_path", lambda spark, name: pytest.fail("stored again") if name == "to-score" else fresh(spark, name))
+    scored = batch.sentiment_stage(spark, paths)
+    assert scored.count() == 3000 and "row_key" not in scored.columns

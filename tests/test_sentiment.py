@@ -222,3 +222,13 @@ def test_words_of_the_context_rules_carry_no_lists(spark):
     assert len(spread) == 1 and "_words" not in spread[0].split("), [")[1] and "_cased" not in spread[0].split("), [")[1]
     literal = scoring.score_lexicon(df, valences={"good": 1.9, "bad": -2.5}).first()
     assert scored.first()["vader_score"] == literal["vader_score"] != 0
+
+
+def test_bare_words_trim_the_whole_text(spark):
+    texts = ["...Good!!! :) (ok) a.b, 'tis :D no! «x» *bold*", "", "....", "x" * 50_000 + "..", ".a" * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(sent.bare_words(F.col("t")).alias("w"))
+    def bare(word):
+        core = word.strip(vocab.PUNCTUATION)
+        return core if len(core) > 2 else word
+    assert [r["w"] for r in df.collect()] == [[bare(w) for w in t.lower().split(" ")] for t in texts]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
