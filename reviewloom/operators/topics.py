@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -72,15 +73,21 @@ def assign_topics_from_text(df: DataFrame, k: int, text: str = "clean_light", se
     """
     if not enough_documents(df):
         return df.withColumn(topic, F.lit(None).cast("int"))
-    stages = [
+    counting = PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TERM_BREAK, minTokenLength=2),
         StopWordsRemover(inputCol="_tokens", outputCol="_terms",
                          stopWords=list(vocab.STOP_WORDS if stop_words is None else stop_words)),
         HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=features),
-        LDA(k=k, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="_counts", topicDistributionCol="_mix"),
-    ]
-    safe = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    mixed = Pipeline(stages=stages).fit(safe).transform(safe).withColumn("_mix", vector_to_array("_mix"))
+    ])
+    model = LDA(k=k, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="_counts", topicDistributionCol="_mix")
+    counted = counting.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
+    # Every step of the fit reads the counts, not the texts.
+    counts = counted.select("_counts").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = model.fit(counts)
+    finally:
+        counts.unpersist()
+    mixed = fitted.transform(counted).withColumn("_mix", vector_to_array("_mix"))
     strongest = F.array_max("_mix")
     return mixed.select(*df.columns, (F.array_position("_mix", strongest) - 1).cast("int").alias(topic))
 

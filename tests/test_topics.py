@@ -84,3 +84,10 @@ def test_representatives(spark):
     df = spark.createDataFrame([(i, 0, [float(i), 0.0]) for i in range(5)] + [(9, 1, [1.0, 1.0])], "vec_id long, topic int, embedding array<float>")
     rows = topics.representative_documents(df, "vec_id", 3).orderBy("topic", "position").collect()
     assert [(r["topic"], r["vec_id"]) for r in rows] == [(0, 2), (0, 1), (0, 3), (1, 9)]
+
+
+def test_the_fit_reads_kept_counts(spark, monkeypatch):
+    fit, kept = topics.LDA.fit, []
+    monkeypatch.setattr(topics.LDA, "fit", lambda self, df: (kept.append(df.storageLevel.useDisk), fit(self, df))[1])
+    df = spark.range(60).select(F.concat(F.lit("word"), (F.col("id") % 3).cast("string")).alias("clean_light"))
+    assert topics.assign_topics_from_text(df, 2, iterations=2).count() == 60 and kept == [True]
