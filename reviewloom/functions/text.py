@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +34,7 @@ def _class(ranges: Iterable[tuple[int, int]]) -> str:
 SPACE = (_class(r for r in SPACE_RANGES if r[1] < 0x80)
          + f"[\\x{{85}}-\\x{{3000}}&&[{_class(r for r in SPACE_RANGES if r[1] >= 0x80)}]]")
 SPACE_CHARS = "".join(chr(c) for lo, hi in SPACE_RANGES for c in range(lo, hi + 1))
+NFKC_STEP = 128  # texts
 NOT_SURELY_NFKC = f"[\\x{{80}}-\\x{{10ffff}}&&[^{_class(NFKC_STABLE_RANGES)}]]"
 
 # What light cleaning removes.
@@ -42,10 +43,13 @@ HTML_TAG = "<[^>]+>"
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form. Only texts with a character that may change are sent to Python; the rest travel as nulls."""
-    @F.pandas_udf(T.StringType())
-    def normalize(part: pd.Series) -> pd.Series:
-        return part.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+    """NFKC form. Only texts with a character that may change are sent to Python; the rest travel as nulls. Of a batch a few
+    texts at a time become Python objects."""
+    @F.arrow_udf(T.StringType())
+    def normalize(part: pa.Array) -> pa.Array:
+        steps = (part.slice(at, NFKC_STEP).to_pylist() for at in range(0, len(part), NFKC_STEP))
+        done = [pa.array([None if s is None else unicodedata.normalize("NFKC", s) for s in some], pa.string()) for some in steps]
+        return pa.concat_arrays(done) if done else part
     return F.coalesce(normalize(F.when(text.rlike(NOT_SURELY_NFKC), text)), text)
 
 

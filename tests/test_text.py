@@ -145,3 +145,8 @@ def test_dates_with_names_times_and_dots(spark):
     assert found | {"13 Jan, 2017": None} == cases | {"13 Jan, 2017": None}
     day_first = {r["c"]: r["d"] for r in df.select("c", txt.parse_date(F.col("c"), True).cast("string").alias("d")).collect()}
     assert (day_first["13/01/2017"], day_first["1/13/2017 10:00 AM"], day_first["13.01.2017"]) == ("2017-01-13", None, "2017-01-13")
+
+
+def test_nfkc_of_more_texts_than_a_step(spark):
+    texts = [None if i % 7 == 0 else f"\uff21{i}\u2460" for i in range(txt.NFKC_STEP * 3 + 1)]
+    assert apply(spark, txt.nfkc, texts) == [t and unicodedata.normalize("NFKC", t) for t in texts]
