@@ -53,7 +53,8 @@ def numbered(raw: DataFrame, columns: list[Column], key: str) -> DataFrame:
     pieces = (stored.groupBy("_place.file", "_place.start").agg(F.min("_place.at").alias("first"), F.count("*").alias("n"))
               .select("file", "start", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("_shift")))
     same = (F.col("_place.file") == F.col("file")) & (F.col("_place.start") == F.col("start"))
-    return stored.join(pieces, same).withColumn(key, F.col("_place.at") + F.col("_shift")).drop("_place", "file", "start", "_shift")
+    # A join by file would bring all rows of a file to one task.
+    return stored.join(F.broadcast(pieces), same).withColumn(key, F.col("_place.at") + F.col("_shift")).drop("_place", "file", "start", "_shift")
 
 
 def load_reviews(spark: SparkSession, path: str, mapping: ColumnMapping = ColumnMapping(),

@@ -105,7 +105,8 @@ def load_reviews_in_file_order(spark, sf_dir):
     """An export of several files, read in small pieces: ids follow files and lines whatever the pieces."""
     path = fresh_path(spark, "ordered-csv")
     export = raw_reviews(spark, sf_dir).withColumnsRenamed({"review_text": "Comment", "rating": "Stars", "review_date": "Posted"})
-    ordered = export.repartitionByRange(5, "review_id").sortWithinPartitions("review_id")
+    # Texts hold line breaks, so a file is read by one task: as many files as keep each at 20,000 reviews.
+    ordered = export.repartitionByRange(max(5, -(-export.count() // 20_000)), "review_id").sortWithinPartitions("review_id")
     (ordered.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     loaded = reviews_csv.load_reviews(spark, path, ColumnMapping("Comment", "Stars", "Posted"), line_ids="line")
@@ -392,8 +393,9 @@ def external_model_sentiment(spark, sf_dir):
 
 @register
 def run_sentiment(spark, sf_dir):
-    cleaned = stages.write_stage(cleaning.preprocess(reviews(spark, sf_dir)), fresh_path(spark, "clean"))
-    scored = scoring.run_sentiment(cleaned, scoring.fit_sentiment_model(cleaned))
+    keyed = cleaning.preprocess(reviews(spark, sf_dir)).withColumn("key", F.monotonically_increasing_id())
+    cleaned = stages.write_stage(keyed, fresh_path(spark, "clean"))
+    scored = scoring.run_sentiment(cleaned, scoring.fit_sentiment_model(cleaned), key="key")
     return tidy(scored, "transformer_confidence", places=4).select(
         "review_id", "vader_score", "vader_label", "transformer_label", "transformer_confidence", "rating_sentiment")
 

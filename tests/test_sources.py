@@ -205,3 +205,10 @@ def test_staged_paths_can_be_removed(spark, monkeypatch):
     spark.range(3).write.parquet(path)
     assert workspace.path_exists(spark, path) and workspace.remove_staged(spark) == 1
     assert not workspace.path_exists(spark, path) and workspace.remove_staged(spark) == 0
+
+
+def test_records_are_not_shuffled_for_their_line_ids(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(100).selectExpr("id AS n", "concat('text ', id) AS review_text").repartition(4).write.option("header", True).csv(path)
+    plan = load_reviews(spark, path, line_ids="line")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
