@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,7 +117,6 @@ def _steps(texts: list[str | None]) -> Iterator[list[str | None]]:
 def fit(texts: list[str | None], labels: np.ndarray, *, features: int, least: int, epochs: int, seed: int) -> Model:
     """A model of labelled texts. Features are those of at least `least` texts, the `features` most common ones."""
     if len(set(labels.tolist())) < 2:
-        warnings.warn("toxicity: no labelled texts of both kinds among the documents, every score is 0 and nothing is filtered", stacklevel=2)
         return Model(np.empty(0, np.uint64), None)
     words, keys, hashes, places = [], [], [], []
     for step in _steps(texts):
@@ -163,7 +164,12 @@ def room(sizes: np.ndarray, total: int, longest: int, most: int) -> int:
     return longest
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int, longest: int):
+def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int, longest: int) -> pd.DataFrame:
+    """The rows of `training_sample`, by doc_id."""
+    return training_sample(docs, labels, per_label=per_label, longest=longest).toPandas().sort_values("doc_id")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, *, per_label: int, longest: int) -> DataFrame:
     """`per_label` labelled texts of `docs` of each label (all, if there are fewer), in the order of a hash: the bounded sample that the
     network is fitted on. A text longer than its label's `room` brings pieces of about `longest` bytes, chosen by a hash,
     from anywhere in it. Rows whose crc32(doc_id) mod 5 is 0 are never among them; neither are null and blank texts."""
@@ -184,7 +190,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int, longest
     pieces = F.array_join(F.transform(taken, lambda i: F.substring("text", i * chars + 1, chars)), "\n")
     cut = F.when(F.octet_length("text") <= F.col("room"), F.col("text")).otherwise(pieces)
     return (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", cut.alias("text"))
-            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id"))
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,9 +199,21 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, *, per_label: int = 5_000, longest: int = 2_500, features: int = 60_000, least: int = 5,
            epochs: int = 8, seed: int = 17) -> Model:
-    """The model of a bounded sample of the labelled rows of `docs`: `per_label` texts of each label, `longest` bytes of each on average at most."""
-    sample = training_rows(docs, labels, per_label=per_label, longest=longest)
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), features=features, least=least, epochs=epochs, seed=seed)
+    """The model of a bounded sample of the labelled rows of `docs`: `per_label` texts of each label, `longest` bytes of each on average at most.
+    It is trained in a task, so that neither the sample nor the memory of the training is the driver's."""
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [part for part in parts if len(part)]
+        if known:
+            rows = pd.concat(known).sort_values("doc_id")
+            model = fit(rows["text"].tolist(), rows["toxic"].to_numpy(), features=features, least=least, epochs=epochs, seed=seed)
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    sample = training_sample(docs, labels, per_label=per_label, longest=longest)
+    row = sample.repartition(1).mapInPandas(learn, "model binary").first()
+    model = Model(np.empty(0, np.uint64), None) if row is None else pickle.loads(row["model"])
+    if model.net is None:
+        warnings.warn("toxicity: no labelled texts of both kinds among the documents, every score is 0 and nothing is filtered", stacklevel=2)
+    return model
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:

@@ -174,3 +174,13 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, no_docs, tmp_path)
             by_doc[r.doc_id] += r.length
         assert (not pieces) == (name == "empty") and all(n > 0 for n in by_doc.values())
         assert not {8, None} & set(by_doc)  # one of the copies stays, the one with the smallest id
+
+
+def test_the_network_is_not_trained_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'foul' if i % 2 else 'kind'} word {i % 5} " * 5) for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    sample = toxicity.training_rows(docs, labels, per_label=50, longest=400)
+    here = toxicity.fit(sample["text"].tolist(), sample["toxic"].to_numpy(), features=100, least=2, epochs=2, seed=1)
+    monkeypatch.setattr(toxicity.gru, "train", lambda *a, **b: pytest.fail("trained in the driver"))
+    there = toxicity.fitted(docs, labels, per_label=50, longest=400, features=100, least=2, epochs=2, seed=1)
+    assert np.array_equal(here.known, there.known) and all(np.allclose(w, there.net.weights[k], atol=1e-4) for k, w in here.net.weights.items())
