@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import vocab
 from reviewloom.functions.lookup import one_of
+from reviewloom.operators.lda import LDA
 
 MIN_DOCUMENTS = 50
 NOISE_ACCURACY = 1_000_000
@@ -73,23 +73,27 @@ def assign_topics_from_text(df: DataFrame, k: int, text: str = "clean_light", se
     """
     if not enough_documents(df):
         return df.withColumn(topic, F.lit(None).cast("int"))
-    counting = PipelineModel([
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TERM_BREAK, minTokenLength=2),
-        StopWordsRemover(inputCol="_tokens", outputCol="_terms",
-                         stopWords=list(vocab.STOP_WORDS if stop_words is None else stop_words)),
-        HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=features),
-    ])
-    model = LDA(k=k, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="_counts", topicDistributionCol="_mix")
-    counted = counting.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
-    # Every step of the fit reads the counts, not the texts.
-    counts = counted.select("_counts").persist(StorageLevel.MEMORY_AND_DISK)
+    numbers = term_numbers(F.col(text), features, vocab.STOP_WORDS if stop_words is None else stop_words)
+    # Every step of the fit reads the numbers, not the texts.
+    kept = df.select(numbers.alias("_terms")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = model.fit(counts)
+        fitted = LDA(k, seed, iterations, features).fit(kept)
     finally:
-        counts.unpersist()
-    mixed = fitted.transform(counted).withColumn("_mix", vector_to_array("_mix"))
-    strongest = F.array_max("_mix")
-    return mixed.select(*df.columns, (F.array_position("_mix", strongest) - 1).cast("int").alias(topic))
+        kept.unpersist()
+    sent = df.sparkSession.sparkContext.broadcast(fitted)
+
+    @F.arrow_udf("int")
+    def strongest(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.weights(texts).argmax(axis=1), pa.int32())
+    return df.withColumn(topic, strongest(numbers))
+
+
+def term_numbers(text: Column, features: int, stop_words: Sequence[str]) -> Column:
+    """The terms of a text hashed to numbers below `features`: a sorted list with repeats. Terms are words of two or more UTF-16
+    units that are not stop words."""
+    stop = [w.lower() for w in stop_words]
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_BREAK), lambda w: ((F.length(w) >= 2) | (F.octet_length(w) > 3)) & ~one_of(w, stop))
+    return F.sort_array(F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(features)).cast("int")))
 
 
 def topic_terms(df: DataFrame, topic: str = "topic", text: str = "clean_light",
