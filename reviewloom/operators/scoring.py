@@ -144,13 +144,14 @@ def fit_sentiment_model(df: DataFrame, text: str = "clean_light", rating: str =
 
 
 def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "clean_light", label: str = "transformer_label",
-                confidence: str = "transformer_confidence", key: str | None = None) -> DataFrame:
+                confidence: str = "transformer_confidence", key: str | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Add the most probable label and its probability. Null text is scored as ''.
 
     With a word model, the model's commonest words are scored within the row. Only the other words are shuffled, once, to
     the model's table, so no word that stands in very many texts meets all its copies in one task; their sums, combined
     before the next shuffle, come back by row. `key` names a unique column without nulls of a stored table; without it
     `df` is stored first, so that its rows have keys that do not change. A streaming `df` needs another kind of model.
+    With `sums`, the stored `rare_sums` of these rows, small enough for a broadcast, no text is shuffled.
     """
     if not isinstance(model, WordModel):
         scored = model.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
@@ -165,10 +166,7 @@ def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "cl
         df.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
         keyed = df.sparkSession.read.parquet(path)
     words, none = tokens_of(F.col(text)), F.array(*[F.lit(0.0) for _ in model.classes])
-    # The outer explode is not preceded by a filter on the list's size, for which Spark would make the list twice.
-    rare = keyed.select(F.col(row).alias("_row"), F.explode_outer(F.filter(words, lambda w: ~sent.one_of(w, model.head))).alias("word"))
-    fits = [F.sum(F.log(F.col("n")[c] + 1) - norm).alias(f"_f{i}") for i, (c, norm) in enumerate(zip(model.classes, model.norms))]
-    sums = rare.join(model.words, "word").groupBy("_row").agg(*fits)
+    sums = rare_sums(keyed, row, model, text) if sums is None else F.broadcast(sums)
     add = lambda total, w: F.zip_with(total, sent.lookup(w, model.head, "array<double>"), lambda a, b: a + b)
     common = F.aggregate(F.filter(words, lambda w: sent.one_of(w, model.head)), none, add) if model.head else none
     scores = F.array(*[F.struct((F.get("_common", F.lit(i)) + F.coalesce(f"_f{i}", F.lit(0.0)) + prior).alias("s"), F.lit(-c).alias("c"))
@@ -180,6 +178,14 @@ def score_model(df: DataFrame, model: WordModel | PipelineModel, text: str = "cl
             .drop(*([] if key else ["_doc"]), "_row", "_common", "_scores", "_best", *[f"_f{i}" for i in range(len(model.classes))]))
 
 
+def rare_sums(df: DataFrame, key: str, model: WordModel, text: str = "clean_light") -> DataFrame:
+    """What the words outside the model's commonest ones add to the score of each class: `(_row, _f0, _f1, ...)`, for rows with such words."""
+    # The outer explode is not preceded by a filter on the list's size, for which Spark would make the list twice.
+    rare = df.select(F.col(key).alias("_row"), F.explode_outer(F.filter(tokens_of(F.col(text)), lambda w: ~sent.one_of(w, model.head))).alias("word"))
+    fits = [F.sum(F.log(F.col("n")[c] + 1) - norm).alias(f"_f{i}") for i, (c, norm) in enumerate(zip(model.classes, model.norms))]
+    return rare.join(model.words, "word").groupBy("_row").agg(*fits)
+
+
 Scorer = Callable[[Sequence[str]], Iterable[tuple[str, float]]]
 loaded: dict[str, Scorer] = {}  # the callers' models of this worker process
 
@@ -213,15 +219,15 @@ def score_external(df: DataFrame, load_model: Callable[[], Scorer], text: str =
 
 
 def run_sentiment(df: DataFrame, model: WordModel | PipelineModel | None = None,
-                  load_model: Callable[[], Scorer] | None = None, key: str | None = None) -> DataFrame:
+                  load_model: Callable[[], Scorer] | None = None, key: str | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Both scorers side by side, and the rating's label where a rating column exists.
 
-    The second scorer is a fitted model (`model`, with `key` as in `score_model`) or a caller's model (`load_model`); give exactly one.
+    The second scorer is a fitted model (`model`, with `key` and `sums` as in `score_model`) or a caller's model (`load_model`); give exactly one.
     """
     if (model is None) == (load_model is None):
         raise ValueError("give either model or load_model")
     out = score_lexicon(df)
-    out = score_model(out, model, key=key) if model is not None else score_external(out, load_model)
+    out = score_model(out, model, key=key, sums=sums) if model is not None else score_external(out, load_model)
     if RATING in df.columns:
         out = out.withColumn("rating_sentiment", rating_label(F.col(RATING)))
     return out

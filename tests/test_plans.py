@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom import analyze, vocab
+from reviewloom.operators import scoring
 from reviewloom.plans import batch
 
 
@@ -62,3 +63,58 @@ def test_batch_chain(spark, reviews, tmp_path):
     assert stored.count() == 60 and "topic" in stored.columns
     summary = json.loads(spark.read.text(paths.aspect_summary).first()[0])
     assert set(summary) == {"aspects", "top_complaints", "top_praise"} and list(summary["aspects"]) == list(vocab.ASPECT_KEYWORDS)
+
+
+@pytest.fixture
+def many(spark, reviews):
+    rows = reviews.crossJoin(spark.range(40).withColumnRenamed("id", "copy"))
+    words = F.concat_ws(" ", "review_text", *[F.concat(F.lit(w), ((F.col("copy") + F.col("review_id")) % m).cast("string")) for w, m in (("odd", 5), ("rare", 11), ("word", 17))])
+    return rows.select((F.col("copy") * 10 + F.col("review_id")).alias("review_id"), words.alias("review_text"), "rating", "review_date").repartition(3)
+
+
+def test_parts_score_as_the_whole(spark, many, tmp_path, monkeypatch):
+    """Texts meet the scores of their words in broadcasts of one part, with no shuffle; all rows are there once."""
+    monkeypatch.setattr(scoring, "HEAD", 8)
+    paths = batch.BatchPaths(str(tmp_path / "b"))
+    clean = batch.clean_stage(many, paths)
+    model = scoring.fit_sentiment_model(clean)
+    expected = scoring.run_sentiment(clean, model, key=batch.ROW_KEY).drop(batch.ROW_KEY)
+    plans, run = [], batch.run_sentiment
+    monkeypatch.setattr(batch, "run_sentiment", lambda *a, **b: (plans.append(run(*a, **b)), plans[-1])[1])
+    for size, rounds in ((1000, 1), (40, 3)):
+        monkeypatch.setattr(batch, "PART_ROWS", size)
+        monkeypatch.setattr(batch, "ROUNDS", rounds)
+        plans.clear()
+        scored = batch.sentiment_stage(spark, paths, model=model)
+        assert len(plans) == (1 if size == 1000 else len(batch.row_parts(clean, batch.ROW_KEY, 40))) and scored.columns == expected.columns
+        found = {r["review_id"]: r for r in scored.collect()}
+        assert scored.count() == 280 == len(found)
+        for r in expected.collect():
+            mine = found[r["review_id"]].asDict()
+            assert mine.pop("transformer_confidence") == pytest.approx(r["transformer_confidence"], abs=1e-12)
+            assert mine == {k: v for k, v in r.asDict().items() if k != "transformer_confidence"}
+        shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+        assert all("BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p for p in shown)
+
+
+def test_parts_cover_all_rows(spark, many, tmp_path):
+    paths = batch.BatchPaths(str(tmp_path / "b"))
+    clean = batch.clean_stage(many, paths)
+    keys = sorted(r[0] for r in clean.select(batch.ROW_KEY).collect())
+    for size in (7, 100, 1000):
+        parts = batch.row_parts(clean, batch.ROW_KEY, size)
+        inside = [[k for k in keys if first <= k <= last] for first, last, _ in parts]
+        assert [len(p) for p in inside] == [n for *_, n in parts] and max(map(len, inside)) <= size
+        assert [k for p in inside for k in p] == keys
+
+
+def test_a_failed_part_leaves_the_stored_table(spark, many, tmp_path, monkeypatch):
+    paths = batch.BatchPaths(str(tmp_path / "b"))
+    batch.clean_stage(many, paths)
+    assert batch.sentiment_stage(spark, paths).count() == 280
+    monkeypatch.setattr(batch, "PART_ROWS", 100)
+    runs, run = [], batch.run_sentiment
+    monkeypatch.setattr(batch, "run_sentiment", lambda *a, **b: run(*a, **b) if not runs.append(1) and len(runs) < 3 else pytest.fail("no third part"))
+    with pytest.raises(pytest.fail.Exception):
+        batch.sentiment_stage(spark, paths)
+    assert batch.read_stage(spark, paths.reviews_sentiment).count() == 280

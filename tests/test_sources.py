@@ -212,3 +212,28 @@ def test_records_are_not_shuffled_for_their_line_ids(spark, tmp_path):
     spark.range(100).selectExpr("id AS n", "concat('text ', id) AS review_text").repartition(4).write.option("header", True).csv(path)
     plan = load_reviews(spark, path, line_ids="line")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_that_repeat_each_other_are_stored_once(spark, tmp_path):
+    import random
+    draw = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(2000))
+        rows.append((text, i, text.upper() if i % 50 == 0 else text[3:], None if i % 7 == 0 else text))
+    df = spark.createDataFrame(rows, "review_text string, i long, clean_light string, clean_deep string").coalesce(1)
+    size = lambda path: sum(f.stat().st_size for f in path.glob("*.parquet"))
+    stored = stages.write_stage(df, str(tmp_path / "t"), ("review_text", "clean_light", "none", "clean_deep"))
+    assert stored.schema.names == df.columns and sorted(stored.collect()) == sorted(df.collect())
+    stages.write_stage(df, str(tmp_path / "each"))
+    assert size(tmp_path / "t") < 0.5 * size(tmp_path / "each")
+    assert stages.write_stage(df.select("i", "review_text"), str(tmp_path / "one"), ("review_text", "clean_deep")).columns == ["i", "review_text"]
+
+
+def test_shuffle_files_are_removed(spark):
+    before = spark.conf.get(workspace.SHUFFLE_CLEANUP, None)
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    kept = shuffles()
+    with workspace.shuffles_removed(spark):
+        assert len(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().collect()) == 10
+    assert shuffles() <= kept and spark.conf.get(workspace.SHUFFLE_CLEANUP, None) == before
