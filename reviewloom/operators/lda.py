@@ -182,7 +182,7 @@ class LDA:
 
     In a step every task settles the topics of its texts and sums what goes to each topic by term; the sums are combined by
     term, and only they, one row per term, come to the driver. So that they do not grow with the texts there is a fixed number
-    of tasks per core. Nothing is sampled, and the result does not depend on how the texts are dealt out.
+    of tasks per core. Nothing is sampled, and beyond rounding the result does not depend on how the texts are dealt out.
     """
 
     def __init__(self, k: int, seed: int, iterations: int, features: int):
